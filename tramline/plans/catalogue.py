@@ -1,4 +1,580 @@
-"""Registered queries over the driver tables, and the same in SQL."""
+"""Registered queries over the driver tables, and the same in SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Doubles are rounded on both sides: to 6 places, kurtosis and spectra to 4.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import balance, digest, features, metrics, ml, reports, sessions, snapshot, splits, windows
+from ..sources import readers
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+SEED = 7
+KEYS = ["session_id", "window_start_ms"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), places).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def md5_key(*columns: str) -> str:
+    return f"md5('{SEED}|' || " + " || '|' || ".join(columns) + ")"
+
+
+# Sessions ------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.EW} SELECT * FROM e_s")
+def session_stats(spark, d):
+    return sessions.session_stats(V.event_sessions(spark, d), V.STEP)
+
+
+@query(f"WITH {V.EW} SELECT session_id, count(*) AS n FROM es SEMI JOIN (SELECT session_id FROM e_s WHERE (last_ms - first_ms) / 1000.0 BETWEEN 1728000 AND 2160000) k USING (session_id) GROUP BY session_id")
+def duration_filter(spark, d):
+    kept = sessions.filter_duration(V.event_sessions(spark, d), 20 * 86400, 25 * 86400)
+    return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.EW} SELECT session_id, interval_ms FROM e_s WHERE n > 3")
+def sampling_interval(spark, d):
+    return sessions.session_stats(V.event_sessions(spark, d), V.STEP).where("n > 3").select("session_id", "interval_ms")
+
+
+@query(f"WITH {V.ES} SELECT session_id, count(*) AS n FROM es WHERE session_id NOT IN (SELECT session_id FROM es GROUP BY session_id HAVING count(*) >= 12) GROUP BY session_id")
+def new_sessions_anti(spark, d):
+    own = V.event_sessions(spark, d)
+    done = own.groupBy("session_id").count().where("count >= 12")
+    return sessions.pending(own, done).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.ES} SELECT session_id FROM es EXCEPT SELECT session_id FROM es WHERE domain = 'collector'")
+def pending_sessions_except(spark, d):
+    own = V.event_sessions(spark, d)
+    return own.select("session_id").distinct().exceptAll(own.where("domain = 'collector'").select("session_id").distinct())
+
+
+@query(f"""WITH {V.EW}, c AS (SELECT DISTINCT session_id, vehicle_type, domain FROM es), x AS (SELECT c.*, (last_ms - first_ms) / 1000.0 AS s FROM c JOIN e_s USING (session_id))
+SELECT CASE WHEN domain = 'collector' THEN 'already_processed' WHEN vehicle_type = 'click' THEN 'ignored' WHEN NOT s BETWEEN 1728000 AND 2160000 THEN 'duration_filtered' ELSE 'ingested' END AS status, count(*) AS sessions FROM x GROUP BY 1""")
+def ingest_status_counts(spark, d):
+    own = V.event_sessions(spark, d)
+    each = own.groupBy("session_id", "vehicle_type", "domain").agg(((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000.0).alias("seconds"))
+    known = own.select("vehicle_type").distinct().where("vehicle_type <> 'click'")
+    return sessions.status_counts(each, each.where("domain = 'collector'"), known, 20 * 86400, 25 * 86400)
+
+
+# Windows -------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.EW} SELECT * FROM e_w")
+def window_grid(spark, d):
+    return windows.window_grid(sessions.session_stats(V.event_sessions(spark, d), V.STEP), V.WINDOW, V.STEP)
+
+
+@query(f"WITH {V.EW} SELECT session_id, window_start_ms, event_id FROM e_r")
+def window_assign(spark, d):
+    return V.windowed(spark, d).select(*KEYS, "event_id")
+
+
+def _values(spark, d):
+    return V.windowed(spark, d).withColumn("v", F.col("p"))
+
+
+@query(f"""WITH {V.EW} SELECT session_id, window_start_ms, count(p) AS n, round(min(p), 6) AS minimum, round(max(p), 6) AS maximum, round(avg(p), 6) AS mean, round(max(p) - min(p), 6) AS range,
+round(var_pop(p), 6) AS variance, round(stddev_pop(p), 6) AS standard_deviation FROM e_r GROUP BY ALL""")
+def window_basic_stats(spark, d):
+    return rounded(features.statistics(_values(spark, d), KEYS, features.BASIC))
+
+
+@query(f"""WITH {V.EW}, m AS (SELECT *, avg(p) OVER (PARTITION BY session_id, window_start_ms) AS mu FROM e_r),
+x AS (SELECT session_id, window_start_ms, count(p) AS n, avg(pow(p - mu, 4)) AS m4, avg(pow(p - mu, 2)) AS m2, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) AS iqr FROM m GROUP BY ALL)
+SELECT session_id, window_start_ms, n, round(CASE WHEN m2 = 0 THEN 0 WHEN n > 3 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) ELSE m4 / (m2 * m2) - 3 END, 4) AS kurtosis, round(iqr, 4) AS interquartile_range FROM x""")
+def window_shape_stats(spark, d):
+    return rounded(features.statistics(_values(spark, d), KEYS, features.SHAPE), 4)
+
+
+@query(f"""WITH {V.EW}, b AS (SELECT session_id, arg_min(p, timestamp_ms) AS b FROM es GROUP BY session_id)
+SELECT session_id, window_start_ms, count(p) AS n, round(arg_max(p, timestamp_ms) - arg_min(p, timestamp_ms), 6) AS delta_from_window_start, round(avg(p) - any_value(b), 6) AS delta_from_session_baseline FROM e_r JOIN b USING (session_id) GROUP BY ALL""")
+def window_deltas(spark, d):
+    own = V.event_sessions(spark, d)
+    base = features.baselines(own, {"pressure": ("p",)}).withColumnRenamed("baseline_pressure", "baseline")
+    return rounded(features.statistics(_values(spark, d).join(base, "session_id"), KEYS, ("delta_from_window_start", "delta_from_session_baseline")))
+
+
+@query(f"WITH {V.ES} SELECT session_id, round(arg_min(p, timestamp_ms), 6) AS first_value, round(median(p), 6) AS median_value FROM es GROUP BY session_id")
+def session_baselines(spark, d):
+    own = V.event_sessions(spark, d)
+    both = features.baselines(own, {"pressure": ("p",), "magnetometer": ("p",)})
+    return rounded(both.select("session_id", F.col("baseline_pressure").alias("first_value"), F.col("baseline_magnetometer").alias("median_value")))
+
+
+@query(f"""WITH {V.EW}, m AS (SELECT *, avg(p) OVER (PARTITION BY session_id, window_start_ms) AS mu FROM e_r)
+SELECT session_id, window_start_ms, count(p) AS n, round(avg(abs(p - mu)), 9) AS mean_absolute_deviation FROM m GROUP BY ALL""")
+def window_mad(spark, d):
+    return rounded(features.statistics(_values(spark, d), KEYS, ("mean_absolute_deviation",)), 9)
+
+
+@query(f"""WITH {V.EW}, j AS (SELECT *, (p - lag(p) OVER o) / nullif((timestamp_ms - lag(timestamp_ms) OVER o) / 1000.0, 0) * 1000 AS j FROM e_r WINDOW o AS (PARTITION BY session_id, window_start_ms ORDER BY timestamp_ms))
+SELECT session_id, window_start_ms, count(p) AS n, round(coalesce(avg(abs(j)), 0), 4) AS jerk, round(coalesce(stddev_pop(j), 0), 4) AS jerk_deviation FROM j GROUP BY ALL""")
+def window_jerk(spark, d):
+    out = features.statistics(_values(spark, d), KEYS, ("mean_absolute_jerk", "jerk_standard_deviation"))
+    return rounded(out.select(*KEYS, "n", (F.col("mean_absolute_jerk") * 1000).alias("jerk"), (F.col("jerk_standard_deviation") * 1000).alias("jerk_deviation")), 4)
+
+
+_CONTEXTS = f"c AS (SELECT e_r.*, context_ms FROM e_r, (VALUES ({V.CONTEXTS[0]}::BIGINT), ({V.CONTEXTS[1]}::BIGINT)) t(context_ms) WHERE timestamp_ms >= window_end_ms - context_ms)"
+
+
+@query(f"WITH {V.EW}, {_CONTEXTS} SELECT session_id, window_start_ms, context_ms, count(*) AS n, round(avg(p), 6) AS mean, round(max(p) - min(p), 6) AS range FROM c GROUP BY ALL")
+def multi_context_features(spark, d):
+    rows = windows.with_contexts(_values(spark, d), V.CONTEXTS)
+    return rounded(features.statistics(rows, [*KEYS, "context_ms"], ("mean", "range")))
+
+
+@query(f"""WITH {V.EW}, {_CONTEXTS}, g AS (SELECT *, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY session_id, window_start_ms, context_ms ORDER BY timestamp_ms) AS gap FROM c),
+k AS (SELECT session_id, window_start_ms, context_ms, count(*) >= greatest(1, ceil(context_ms / 1000.0 * 0.000003)) AND greatest(coalesce(max(gap), 0), min(timestamp_ms) - (any_value(window_end_ms) - context_ms), any_value(window_end_ms) - max(timestamp_ms)) <= {4 * V.DAY} AS good FROM g GROUP BY session_id, window_start_ms, context_ms)
+SELECT session_id, window_start_ms FROM k GROUP BY ALL HAVING bool_and(good) AND count(*) = 2""")
+def window_quality_gate(spark, d):
+    rows = windows.with_contexts(V.windowed(spark, d), V.CONTEXTS)
+    return windows.quality_gate(rows, {"pressure": "p"}, V.CONTEXTS, {"pressure": 0.000003}, 4 * V.DAY)
+
+
+_TIE = ", ".join(V.LINE_TIE)
+_DEDUPED = f"dd AS (SELECT * FROM l_r QUALIFY row_number() OVER (PARTITION BY session_id, window_start_ms, timestamp_ms ORDER BY {_TIE}) = 1)"
+
+
+def _lines(spark, d):
+    own = V.line_vectors(spark, d).repartition("session_id")
+    return windows.assign_windows(own, sessions.session_stats(own, V.LINE_STEP), V.LINE_WINDOW, V.LINE_STEP)
+
+
+@query(f"WITH {V.LW}, {_DEDUPED} SELECT session_id, window_start_ms, count(*) AS n, round(avg(sqrt(ax*ax+ay*ay+az*az)), 6) AS mean, round(max(sqrt(ax*ax+ay*ay+az*az)), 6) AS maximum FROM dd GROUP BY ALL")
+def vector_magnitude_features(spark, d):
+    rows = features.first_per_time(_lines(spark, d), KEYS, list(V.LINE_TIE)).withColumn("v", S.magnitude(("ax", "ay", "az")))
+    return rounded(features.statistics(rows, KEYS, ("mean", "maximum")))
+
+
+@query(f"WITH {V.LV} SELECT session_id, timestamp_ms, l_orderkey, l_linenumber, l_partkey FROM lv QUALIFY row_number() OVER (PARTITION BY session_id, timestamp_ms ORDER BY {_TIE}) = 1")
+def timestamp_dedupe(spark, d):
+    return features.first_per_time(V.line_vectors(spark, d), ["session_id"], list(V.LINE_TIE)).select("session_id", "timestamp_ms", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _pearson(a: str, b: str) -> str:
+    return f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN abs(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))) END"
+
+
+@query(f"""WITH {V.LW}, x AS (SELECT session_id, window_start_ms, count(*) AS n, {_pearson('ax', 'ay')} AS a, {_pearson('ax', 'az')} AS b, {_pearson('ay', 'az')} AS c FROM l_r GROUP BY ALL)
+SELECT session_id, window_start_ms, round(CASE WHEN n < 2 THEN 0 ELSE coalesce((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 0) END, 6) AS mean_axis_correlation FROM x""")
+def axis_correlation(spark, d):
+    return rounded(features.axis_correlation(_lines(spark, d), KEYS, ("ax", "ay", "az")))
+
+
+@query(f"""WITH {V.EW}, o AS (SELECT session_id, window_start_ms, timestamp_ms, p, row_number() OVER w AS i, lead(timestamp_ms) OVER w AS t1, lead(p) OVER w AS p1 FROM e_r WINDOW w AS (PARTITION BY session_id, window_start_ms ORDER BY timestamp_ms)),
+m AS (SELECT session_id, window_start_ms, count(*) AS n, min(timestamp_ms) AS t0, max(timestamp_ms) AS tn, median(t1 - timestamp_ms) FILTER (t1 > timestamp_ms) AS step FROM o GROUP BY ALL),
+h AS (SELECT *, ceil((tn + step / 2 - t0) / step)::INT AS g FROM m WHERE n >= 4),
+q AS (SELECT session_id, window_start_ms, step, g, t0, tn, unnest(range(0, g)) AS i FROM h WHERE g >= 4),
+v AS (SELECT q.session_id, q.window_start_ms, q.step, q.g, q.i, CASE WHEN t0 + i_ * step >= tn THEN last ELSE o.p + (o.p1 - o.p) * (t0 + i_ * step - o.timestamp_ms) / (o.t1 - o.timestamp_ms) END AS y
+  FROM (SELECT q.*, q.i AS i_, l.p AS last FROM q JOIN o l ON l.session_id = q.session_id AND l.window_start_ms = q.window_start_ms AND l.timestamp_ms = q.tn) q
+  LEFT JOIN o ON o.session_id = q.session_id AND o.window_start_ms = q.window_start_ms AND o.timestamp_ms <= t0 + i_ * step AND o.t1 > t0 + i_ * step),
+z AS (SELECT *, y - avg(y) OVER (PARTITION BY session_id, window_start_ms) AS c FROM v),
+f AS (SELECT session_id, window_start_ms, any_value(step) AS step, g, k, (pow(sum(c * cos(2 * pi() * k * i / g)), 2) + pow(sum(c * sin(2 * pi() * k * i / g)), 2)) / (g * g) AS power
+  FROM (SELECT *, unnest(range(1, g // 2 + 1)) AS k FROM z) GROUP BY session_id, window_start_ms, g, k),
+s AS (SELECT session_id, window_start_ms, sum(power) AS e, -sum(CASE WHEN power > 0 THEN power * ln(power) ELSE 0 END) AS u, count(*) AS bins FROM f GROUP BY ALL)
+SELECT w.session_id, w.window_start_ms, round(coalesce(e, 0), 4) AS spectral_energy, round(CASE WHEN e > 0 THEN (u / e + ln(e)) / CASE WHEN bins > 1 THEN ln(bins) ELSE 1 END ELSE 0 END, 4) AS spectral_entropy
+FROM m w LEFT JOIN s ON s.session_id = w.session_id AND s.window_start_ms = w.window_start_ms""")
+def spectral_features(spark, d):
+    return rounded(features.spectral(_values(spark, d), KEYS).drop("dominant_frequency_hz"), 4)
+
+
+@query()
+def spectral_dominant(spark, d):
+    return rounded(features.spectral(_values(spark, d), KEYS).select(*KEYS, (F.col("dominant_frequency_hz") * 86400).alias("cycles_a_day")), 4)
+
+
+@query(f"""WITH {V.EW}, {_CONTEXTS}, i AS (SELECT session_id, window_start_ms, any_value(window_end_ms) AS window_end_ms, any_value(domain) AS domain, any_value(participant_id) AS participant_id, any_value(label) AS label, any_value(phone_position) AS phone_position FROM e_r GROUP BY session_id, window_start_ms),
+a AS (SELECT session_id, window_start_ms, context_ms, avg(p) AS m, max(p) - min(p) AS r FROM c GROUP BY ALL)
+SELECT i.*, round(l.m::FLOAT::DOUBLE, 2) AS mean, round(l.r::FLOAT::DOUBLE, 2) AS range, round(s.m::FLOAT::DOUBLE, 2) AS mean_short, round(s.r::FLOAT::DOUBLE, 2) AS range_short FROM i JOIN a l ON l.session_id = i.session_id AND l.window_start_ms = i.window_start_ms AND l.context_ms = {V.CONTEXTS[1]}
+JOIN a s ON s.session_id = i.session_id AND s.window_start_ms = i.window_start_ms AND s.context_ms = {V.CONTEXTS[0]}""")
+def feature_wide(spark, d):
+    own = V.event_sessions(spark, d).select("domain", "participant_id", "session_id", "label", "phone_position", "timestamp_ms", "p", "event_id")
+    wide = features.window_features(own, {"pressure": ("p",)}, V.WINDOW, V.STEP, V.CONTEXTS, ("mean", "range"), tie=("event_id",))
+    name = lambda a, c: F.round(F.col(f"`{features.feature_name('pressure', a, c, V.WINDOW)}`").cast("double"), 2)
+    return wide.select(*KEYS, "window_end_ms", "domain", "participant_id", "label", "phone_position", name("mean", V.CONTEXTS[1]).alias("mean"), name("range", V.CONTEXTS[1]).alias("range"), name("mean", V.CONTEXTS[0]).alias("mean_short"), name("range", V.CONTEXTS[0]).alias("range_short"))
+
+
+# Ingest expressions ----------------------------------------------------------------------
+
+
+_RAW = "raw AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'android.sensor.accelerometer' WHEN 1 THEN ' Android.Sensor.PRESSURE!' WHEN 2 THEN 'android.sensor.magnetic_field' WHEN 3 THEN 'com.x.gyroscope' ELSE 'light' END AS sensor_type, CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE round(value, 3)::VARCHAR END AS value_0, 't' || (epoch_us(ts) // 1000) || 'ms' AS time, user_id FROM events)"
+
+
+def _raw(spark, d):
+    kind = F.col("event_id") % 5
+    name = F.when(kind == 0, "android.sensor.accelerometer").when(kind == 1, " Android.Sensor.PRESSURE!").when(kind == 2, "android.sensor.magnetic_field").when(kind == 3, "com.x.gyroscope").otherwise("light")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id", "user_id", name.alias("sensor_type"), F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.round("value", 3).cast("string")).alias("value_0"), F.concat(F.lit("t"), ms.cast("string"), F.lit("ms")).alias("time")
+    )
+
+
+_SENSOR = "CASE event_id % 5 WHEN 0 THEN 'accelerometer' WHEN 1 THEN 'pressure' WHEN 2 THEN 'magnetometer' WHEN 3 THEN 'gyroscope' END"
+
+
+@query(f"WITH {_RAW} SELECT {_SENSOR} AS sensor, count(*) AS n FROM raw GROUP BY 1")
+def canonical_sensor(spark, d):
+    return _raw(spark, d).groupBy(S.us_sensor(F.col("sensor_type")).alias("sensor")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_RAW} SELECT event_id, round(try_cast(value_0 AS DOUBLE), 3) AS value, regexp_extract(time, '[0-9]+')::BIGINT AS timestamp_ms FROM raw")
+def lenient_cast(spark, d):
+    return _raw(spark, d).select("event_id", F.round(S.number(F.col("value_0")), 3).alias("value"), S.digits_ms(F.col("time")).alias("timestamp_ms"))
+
+
+@query("SELECT event_id, round(CASE WHEN user_id % 2 = 0 AND event_id % 2 = 0 THEN value * 9.80665 WHEN user_id % 2 = 0 THEN value * 10 ELSE value END, 8) AS value FROM events")
+def unit_scale(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    raw = rows.select(
+        F.col("event_id").cast("string").alias("installationId"), F.lit("1").alias("journeyNumber"), F.lit("1").alias("tripNumber"), F.lit("m").alias("manufacturer"), F.lit("x").alias("model"),
+        F.col("ts").cast("string").alias("timestamp"), F.lit("CAR").alias("transportType"), F.when(F.col("event_id") % 2 == 0, "Accelerometer").otherwise("RelativePressure").alias("typeString"), F.lit("hand").alias("deviceLocation"),
+        *[F.col("value").alias(f"value_{i}") for i in range(3)], F.when(F.col("user_id") % 2 == 0, "iOS").otherwise("Android").alias("OS"),
+    )
+    events = readers.normalize_nor(raw, {"car": 0})
+    return events.select(F.col("participant_id").cast("bigint").alias("event_id"), F.round(F.coalesce("ax", "p"), 8).alias("value"))
+
+
+@query(f"""WITH {_RAW}, x AS (SELECT event_id, {_SENSOR} AS s, try_cast(value_0 AS DOUBLE) AS v FROM raw) SELECT event_id, CASE WHEN s = 'accelerometer' THEN v END AS ax, CASE WHEN s = 'gyroscope' THEN v END AS gx, CASE WHEN s = 'magnetometer' THEN v END AS mx, CASE WHEN s = 'pressure' THEN v END AS p FROM x WHERE s IS NOT NULL AND v IS NOT NULL""")
+def sensor_widen(spark, d):
+    v = S.number(F.col("value_0"))
+    rows = _raw(spark, d).withColumn("sensor", S.us_sensor(F.col("sensor_type"))).where(F.col("sensor").isNotNull() & readers.complete(F.col("sensor"), [v, v, v]))
+    return rows.select("event_id", *readers.widen(F.col("sensor"), [v, v, v])).select("event_id", "ax", "gx", "mx", "p")
+
+
+def _payloads(spark, d):
+    """Payload and sidecar of each user, derived from events."""
+    own = V.event_sessions(spark, d)
+    one = own.groupBy("participant_id").agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"), F.sort_array(F.collect_list(F.struct(F.col("timestamp_ms").cast("string").alias("ts"), F.col("p").cast("string").alias("p")))).alias("samples"))
+    u = F.expr("cast(substr(participant_id, 2) as int)")
+    none = lambda c, k: F.when(u % k != 0, c)
+    samples = F.transform("samples", lambda x: F.struct(x["ts"].alias("ts"), *[(x["p"] if c == "p" else F.lit(None).cast("string")).alias(c) for c in readers.VALUES]))
+    payload = one.select(
+        F.concat(F.lit("/in/"), "participant_id", F.lit(".json")).alias("path"), samples.alias("samples"), F.concat(F.lit("p-"), "participant_id").alias("participant_id"), none(F.concat(F.lit("s-"), "participant_id"), 4).alias("session_id"),
+        F.lit(None).cast("string").alias("device_uuid"), none(F.lit("Car"), 5).alias("vehicle_type"), F.lit("").alias("phone_position"), none((F.col("a") + 86400000).cast("string"), 2).alias("trimmed_start_ms"), F.col("b").cast("string").alias("trimmed_end_ms"),
+    )
+    empty = {c: F.lit(None).cast("string") for c in readers.SIDECAR.names}
+    made = empty | {"participant_id": none(F.concat(F.lit("q-"), "participant_id"), 3), "vehicle_type": F.lit("bus"), "session_id": F.concat(F.lit("z-"), "participant_id"), "phone_position": F.lit("hand")}
+    side = one.where(u % 7 != 0).select(F.concat(F.lit("/in/"), "participant_id", F.lit(".json.metadata.json")).alias("path"), *[x.alias(c) for c, x in made.items()])
+    return readers.with_sidecars(payload, side)
+
+
+_META = f"""WITH {V.ES}, u AS (SELECT participant_id AS k, substr(participant_id, 2)::INT AS u, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM es GROUP BY 1, 2),
+m AS (SELECT k, u, a, b, u % 7 <> 0 AS side, CASE WHEN u % 7 <> 0 AND u % 3 <> 0 THEN 'q-' || k ELSE 'p-' || k END AS participant_id, CASE WHEN u % 4 <> 0 THEN 's-' || k WHEN u % 7 <> 0 THEN 'z-' || k ELSE k END AS session_id,
+CASE WHEN u % 5 <> 0 THEN 'car' WHEN u % 7 <> 0 THEN 'bus' END AS vehicle_type, CASE WHEN u % 7 <> 0 THEN 'hand' ELSE 'unknown' END AS phone_position, CASE WHEN u % 2 <> 0 THEN a + 86400000 END AS s FROM u)"""
+
+
+@query(f"{_META} SELECT participant_id, session_id, vehicle_type, phone_position FROM m WHERE vehicle_type IS NOT NULL AND (s IS NULL OR s <= b)")
+def metadata_fallback(spark, d):
+    return readers.normalize_collector(_payloads(spark, d), {"car": 0, "bus": 1}).select("participant_id", "session_id", "vehicle_type", "phone_position").distinct()
+
+
+@query(f"{_META} SELECT m.session_id, count(*) AS n, round(sum(es.p), 4) AS total FROM m JOIN es ON es.participant_id = m.k WHERE m.vehicle_type IS NOT NULL AND (s IS NULL OR timestamp_ms BETWEEN s AND b) GROUP BY 1")
+def trim_range(spark, d):
+    return rounded(readers.normalize_collector(_payloads(spark, d), {"car": 0, "bus": 1}).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")), 4)
+
+
+# Splits, balancing, weights ----------------------------------------------------------------
+
+
+@query(f"WITH {V.ES} SELECT participant_id, count(DISTINCT label) AS n_label, count(DISTINCT phone_position) AS n_phone_position FROM es GROUP BY 1 HAVING count(DISTINCT label) > 1 OR count(DISTINCT phone_position) > 1")
+def group_purity(spark, d):
+    return splits.impure(V.event_sessions(spark, d), "participant_id", "label", "phone_position")
+
+
+@query(f"WITH {V.ES} SELECT label, count(DISTINCT participant_id) AS participants FROM es GROUP BY 1")
+def mode_participants(spark, d):
+    return splits.mode_participants(V.event_sessions(spark, d))
+
+
+@query(f"WITH {V.ES} SELECT DISTINCT label FROM es WHERE label NOT IN (0, 1, 2)")
+def unknown_labels(spark, d):
+    return splits.unknown_labels(V.event_sessions(spark, d), [0, 1, 2])
+
+
+@query(f"""WITH {V.ES}, g AS (SELECT DISTINCT label, session_id FROM es WHERE domain = 'collector'), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5_key('session_id')}, session_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM g)
+SELECT label, session_id, CASE WHEN k <= greatest(1, least(floor(n * 0.6), n - 1)) THEN 'calibration' ELSE 'holdout' END AS role FROM r""")
+def calibration_holdout_split(spark, d):
+    return splits.holdout(V.event_sessions(spark, d).where("domain = 'collector'"), 0.6, SEED, "session_id")
+
+
+@query(f"WITH {V.ES}, g AS (SELECT DISTINCT session_id FROM es WHERE domain = 'collector') SELECT session_id, ((row_number() OVER (ORDER BY {md5_key('session_id')}, session_id) - 1) % 5)::INT AS fold FROM g")
+def group_kfold(spark, d):
+    return splits.group_kfold(V.event_sessions(spark, d).where("domain = 'collector'"), 5, SEED, "session_id")
+
+
+@query(f"WITH {V.ES}, g AS (SELECT DISTINCT participant_id FROM es WHERE domain = 'collector') SELECT a.participant_id AS fold, b.participant_id, CASE WHEN a.participant_id = b.participant_id THEN 'test' ELSE 'train' END AS role FROM g a, g b")
+def lopo_folds(spark, d):
+    return splits.leave_one_out(V.event_sessions(spark, d).where("domain = 'collector'"))
+
+
+@query()
+def stratified_group_kfold(spark, d):
+    return splits.stratified_group_kfold(V.event_sessions(spark, d).where("domain = 'collector'"), 5, SEED)
+
+
+_DURATIONS = V.FR + """,
+b AS (SELECT *, max(window_end_ms) OVER (PARTITION BY session_id ORDER BY window_start_ms, window_end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fr),
+du AS (SELECT domain, session_id, participant_id, label, sum(greatest(0, window_end_ms - greatest(window_start_ms, coalesce(reach, window_start_ms)))) / 1000.0 AS seconds FROM b GROUP BY 1, 2, 3, 4)"""
+_CHOSEN = _DURATIONS + f""",
+t AS (SELECT min(s) AS target FROM (SELECT sum(seconds) AS s FROM du WHERE domain = 'collector' GROUP BY label)),
+ro AS (SELECT *, row_number() OVER (PARTITION BY label, participant_id ORDER BY {md5_key('session_id')}, session_id) AS round FROM du WHERE domain = 'collector'),
+ch AS (SELECT * FROM (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY label ORDER BY round, participant_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ro), t WHERE before < target)"""
+
+
+@query(f"WITH {_DURATIONS} SELECT session_id, participant_id, label, round(seconds, 3) AS seconds FROM du")
+def covered_duration(spark, d):
+    return rounded(balance.session_durations(V.feature_rows(spark, d)), 3)
+
+
+@query(f"WITH {_CHOSEN} SELECT session_id, window_start_ms, label FROM fr WHERE domain <> 'collector' OR session_id IN (SELECT session_id FROM ch)")
+def duration_balance(spark, d):
+    return balance.balance_durations(V.feature_rows(spark, d), SEED).select("session_id", "window_start_ms", "label")
+
+
+@query(f"WITH {_CHOSEN} SELECT label, round(any_value(target), 3) AS target, count(*) AS sessions, round(sum(seconds), 3) AS seconds FROM ch GROUP BY label")
+def duration_balance_report(spark, d):
+    return rounded(balance.balance_report(V.feature_rows(spark, d), SEED), 3)
+
+
+@query(f"WITH {V.FR} SELECT session_id, window_start_ms, round(count(*) OVER () / ((SELECT count(DISTINCT label) FROM fr) * count(*) OVER (PARTITION BY label)) * CASE WHEN domain = 'collector' THEN 2.0 ELSE 1.0 END, 6) AS weight FROM fr")
+def weights_class_balanced(spark, d):
+    return rounded(balance.class_weights(V.feature_rows(spark, d), 2.0).select(*KEYS, "weight"))
+
+
+@query(f"""WITH {V.FR}, s AS (SELECT domain, label, participant_id, session_id, count(*) AS r FROM fr GROUP BY ALL), p AS (SELECT domain, label, participant_id, count(*) AS s FROM s GROUP BY ALL), m AS (SELECT domain, label, count(*) AS p, CASE WHEN domain = 'collector' THEN 2.0 ELSE 1.0 END AS mass FROM p GROUP BY ALL)
+SELECT session_id, window_start_ms, round(mass / p / s / r * (SELECT count(*) FROM fr) / (SELECT sum(mass) FROM m), 6) AS weight FROM fr JOIN s USING (domain, label, participant_id, session_id) JOIN p USING (domain, label, participant_id) JOIN m USING (domain, label)""")
+def weights_hierarchical(spark, d):
+    return rounded(balance.hierarchical_weights(V.feature_rows(spark, d), 2.0).select(*KEYS, "weight"))
+
+
+# Metrics -----------------------------------------------------------------------------------
+
+
+_GRID = "l AS (SELECT unnest(range(0, 5))::INT AS label)"
+_REPORT = "SELECT {by} l.label, sum((truth = l.label AND prediction = l.label)::INT) AS tp, sum((truth = l.label)::INT) AS support, sum((prediction = l.label)::INT) AS chosen FROM {pr}, l GROUP BY ALL"
+_SCORES = "coalesce(tp / nullif(chosen, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2.0 * tp / nullif(chosen + support, 0), 0) AS f1"
+_MEANS = "round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy, round(avg(f1), 6) AS macro_f1, round(min(recall), 6) AS minimum_class_recall, round(avg(precision), 6) AS macro_precision, round(sum(precision * support) / sum(support), 6) AS weighted_precision, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, sum(support)::BIGINT AS rows"
+
+
+def _conf(spark, d):
+    return metrics.confusion(V.predictions(spark, d), V.LABELS)
+
+
+@query(f"WITH {V.PR}, {_GRID} SELECT a.label AS truth, b.label AS prediction, count(pr.truth) AS n FROM l a CROSS JOIN l b LEFT JOIN pr ON pr.truth = a.label AND pr.prediction = b.label GROUP BY 1, 2")
+def confusion_matrix(spark, d):
+    return _conf(spark, d)
+
+
+@query(f"WITH {V.PR}, {_GRID}, c AS (SELECT a.label AS truth, b.label AS prediction, count(pr.truth) AS n FROM l a CROSS JOIN l b LEFT JOIN pr ON pr.truth = a.label AND pr.prediction = b.label GROUP BY 1, 2) SELECT *, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 0), 6) AS share FROM c")
+def confusion_normalized(spark, d):
+    return rounded(metrics.normalized(_conf(spark, d)))
+
+
+@query(f"WITH {V.PR}, {_GRID}, r AS ({_REPORT.format(by='', pr='pr')}) SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM (SELECT *, {_SCORES} FROM r)")
+def class_report(spark, d):
+    return rounded(metrics.class_report(_conf(spark, d)))
+
+
+@query(f"WITH {V.PR}, {_GRID}, r AS ({_REPORT.format(by='', pr='pr')}) SELECT {_MEANS} FROM (SELECT *, {_SCORES} FROM r)")
+def overall_metrics(spark, d):
+    return rounded(metrics.overall(_conf(spark, d)))
+
+
+_SLICES = "x AS (SELECT 'all' AS slice, 'all' AS value, truth, prediction FROM pr UNION ALL SELECT 'phone_position', phone_position, truth, prediction FROM pr UNION ALL SELECT 'participant_id', participant_id, truth, prediction FROM pr)"
+
+
+@query(f"WITH {V.PR}, {_GRID}, {_SLICES}, r AS ({_REPORT.format(by='slice, value,', pr='x')}) SELECT slice, value, {_MEANS} FROM (SELECT *, {_SCORES} FROM r) GROUP BY slice, value")
+def metrics_by_slice(spark, d):
+    return rounded(metrics.by_slice(V.predictions(spark, d), V.LABELS, ["phone_position", "participant_id"]))
+
+
+_VOTES = "n AS (SELECT session_id, prediction, count(*) AS c FROM pr GROUP BY ALL), v AS (SELECT session_id, arg_max(prediction, c * 10 - prediction) AS prediction FROM n GROUP BY 1), t AS (SELECT session_id, min(truth) AS truth, count(DISTINCT truth) AS truths FROM pr GROUP BY 1), vt AS (SELECT session_id, truth, prediction, truths FROM v JOIN t USING (session_id))"
+
+
+@query(f"WITH {V.PR}, {_VOTES} SELECT * FROM vt")
+def session_vote(spark, d):
+    return metrics.session_vote(V.predictions(spark, d), V.LABELS)
+
+
+@query(f"WITH {V.PR}, {_GRID}, {_VOTES}, r AS ({_REPORT.format(by='', pr='vt')}) SELECT {_MEANS} FROM (SELECT *, {_SCORES} FROM r)")
+def session_vote_metrics(spark, d):
+    return rounded(metrics.overall(metrics.confusion(metrics.session_vote(V.predictions(spark, d), V.LABELS), V.LABELS)))
+
+
+@query(f"""WITH {V.PR}, {_GRID}, g AS (SELECT participant_id AS grp, row_number() OVER (ORDER BY participant_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT participant_id FROM pr)),
+c AS (SELECT participant_id AS grp, truth, prediction, count(*) AS n FROM pr GROUP BY ALL),
+dr AS (SELECT t.it, ('0x' || substr(md5('{SEED}-' || t.it || '-' || g.i), 1, 8))::BIGINT % g.n AS i FROM g, (SELECT unnest(range(0, 40)) AS it) t),
+cc AS (SELECT it, truth, prediction, sum(c.n) AS n FROM dr JOIN g ON g.i = dr.i JOIN c ON c.grp = g.grp GROUP BY ALL),
+r AS (SELECT it, l.label, sum(CASE WHEN truth = l.label AND prediction = l.label THEN n ELSE 0 END) AS tp, sum(CASE WHEN truth = l.label THEN n ELSE 0 END) AS support, sum(CASE WHEN prediction = l.label THEN n ELSE 0 END) AS chosen FROM cc, l GROUP BY ALL),
+s AS (SELECT *, {_SCORES} FROM r), o AS (SELECT it, sum(recall * support) / sum(support) AS accuracy, avg(recall) AS balanced_accuracy, avg(f1) AS macro_f1, min(recall) AS minimum_class_recall FROM s GROUP BY it),
+x AS (SELECT metric, x FROM (UNPIVOT (SELECT accuracy, balanced_accuracy, macro_f1, minimum_class_recall FROM o) ON accuracy, balanced_accuracy, macro_f1, minimum_class_recall INTO NAME metric VALUE x) UNION ALL SELECT 'recall_' || label, recall FROM s WHERE support > 0)
+SELECT metric, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x GROUP BY metric""")
+def participant_bootstrap_ci(spark, d):
+    return rounded(metrics.bootstrap_ci(V.predictions(spark, d), V.LABELS, 40, SEED))
+
+
+# Digests, snapshots, reports -----------------------------------------------------------------
+
+
+@query(f"""WITH {V.ES} SELECT count(DISTINCT session_id) AS session_count, sha256('["' || string_agg(DISTINCT session_id, '","' ORDER BY session_id) || '"]') AS session_id_digest FROM es""")
+def session_digest(spark, d):
+    return digest.session_digest(V.event_sessions(spark, d))
+
+
+@query(f"""WITH {V.ES}, h AS (SELECT domain, ('0x' || substr(md5(session_id || chr(31) || timestamp_ms), 1, 15))::BIGINT AS h FROM es), s AS (SELECT domain, count(*) AS rows, sum(h) AS s, bit_xor(h) AS x FROM h GROUP BY domain)
+SELECT domain, rows, substr(sha256('session_id:string,timestamp_ms:bigint|' || rows || '|' || s || '|' || x), 1, 36) AS digest FROM s""")
+def dataset_digest(spark, d):
+    return digest.dataset_digest(V.event_sessions(spark, d), ["session_id", "timestamp_ms"], ("domain",))
+
+
+def _index(spark, d):
+    """A session index derived from users: one row a session."""
+    own = V.event_sessions(spark, d)
+    one = own.groupBy("session_id", "participant_id", "vehicle_type").agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"), F.count(F.lit(1)).alias("n"))
+    u = F.expr("cast(substr(participant_id, 2) as int)")
+    who = F.when(u % 4 == 0, F.concat(F.lit("test_"), F.lpad(u.cast("string"), 3, "0"))).otherwise(F.concat(F.lit("participant_"), F.lpad(u.cast("string"), 3, "0")))
+    return one.select(
+        "session_id", who.alias("participant_id"), "vehicle_type", F.concat(F.lit("raw/"), F.when(u % 5 == 0, F.lit("other")).otherwise(who), F.lit("/"), "session_id").alias("s3_key"),
+        F.concat(F.lpad(F.col("a").cast("string"), 15, "0"), F.lit("#"), "session_id").alias("sync_key"), F.when(u % 6 == 0, "pending").otherwise("received").alias("sync_partition"),
+        F.col("n").cast("string").alias("sample_count"), F.when(u % 2 == 0, F.col("a")).cast("string").alias("trimmed_start_ms"), F.col("b").cast("string").alias("trimmed_end_ms"),
+        F.col("a").cast("string").alias("started_at_ms"), F.when(u % 3 != 0, F.col("b") - 5000).cast("string").alias("stopped_at_ms"), F.when(u % 7 == 0, "12.5").alias("duration_seconds"),
+    )
+
+
+_IX = f"""{V.ES}, ix0 AS (SELECT session_id, vehicle_type, substr(participant_id, 2)::INT AS u, min(timestamp_ms) AS a, max(timestamp_ms) AS b, count(*) AS n FROM es GROUP BY ALL),
+ix AS (SELECT session_id, vehicle_type, u, a, b, n, CASE WHEN u % 4 = 0 THEN 'test_' ELSE 'participant_' END || left(lpad(u::VARCHAR, 3, '0'), 3) AS participant_id, lpad(a::VARCHAR, 15, '0') || '#' || session_id AS sync_key FROM ix0)"""
+
+
+@query(f"WITH {_IX} SELECT session_id, participant_id FROM ix WHERE u % 4 <> 0 AND u % 5 <> 0 AND u % 6 <> 0")
+def eligible_sessions(spark, d):
+    return snapshot.since(_index(spark, d), None).where(snapshot.is_eligible()).select("session_id", "participant_id")
+
+
+@query(f"WITH {_IX} SELECT max(sync_key) AS sync_key FROM ix WHERE u % 6 <> 0 AND sync_key > '000001704000000'")
+def sync_high_water_mark(spark, d):
+    return snapshot.high_water_mark(snapshot.since(_index(spark, d), "000001704000000"))
+
+
+_SN = f"{_IX}, sn AS (SELECT *, CASE WHEN u % 7 = 0 THEN 12.5 WHEN u % 2 = 0 THEN (b - a) / 1000.0 WHEN u % 3 <> 0 AND b - 5000 >= a THEN (b - 5000 - a) / 1000.0 END AS seconds FROM ix)"
+
+
+@query(f"WITH {_SN} SELECT session_id, n AS sample_count, round(seconds, 3) AS duration_seconds FROM sn")
+def session_snapshot(spark, d):
+    return rounded(snapshot.snapshot_sessions(_index(spark, d)).select("session_id", "sample_count", "duration_seconds"), 3)
+
+
+@query(f"WITH {_SN} SELECT coalesce(vehicle_type, 'Total') AS mode, count(*) AS sessions, count(DISTINCT participant_id) AS participants, round(sum(seconds), 3) AS seconds, sum(n)::BIGINT AS samples FROM sn GROUP BY ROLLUP (vehicle_type)")
+def mode_summary_rollup(spark, d):
+    return rounded(snapshot.mode_summary(snapshot.snapshot_sessions(_index(spark, d))), 3)
+
+
+@query(f"WITH {_SN} SELECT coalesce(participant_id, 'Total') AS participant, round(nullif(sum(seconds) FILTER (vehicle_type = 'click'), 0), 3) AS click, round(nullif(sum(seconds) FILTER (vehicle_type = 'view'), 0), 3) AS view, round(nullif(sum(seconds), 0), 3) AS Total FROM sn GROUP BY ROLLUP (participant_id)")
+def participant_mode_crosstab(spark, d):
+    return rounded(snapshot.participant_mode(snapshot.snapshot_sessions(_index(spark, d)), ["click", "view"]), 3)
+
+
+@query(f"WITH {_SN} SELECT session_id, CASE WHEN seconds IS NOT NULL THEN format('{{:02d}}:{{:02d}}:{{:02d}}', floor(seconds)::BIGINT // 3600, floor(seconds)::BIGINT % 3600 // 60, floor(seconds)::BIGINT % 60) END AS duration FROM sn")
+def duration_hms(spark, d):
+    own = snapshot.snapshot_sessions(_index(spark, d))
+    return own.select("session_id", F.when(F.col("duration_seconds").isNotNull(), S.hms(F.col("duration_seconds"))).alias("duration"))
+
+
+def _runs(spark, d):
+    """Each participant's metrics as a run."""
+    return metrics.overall(metrics.confusion(V.predictions(spark, d), V.LABELS, ("participant_id",)), ("participant_id",)).withColumnRenamed("participant_id", "run")
+
+
+_RUNS = f"{V.PR}, {_GRID}, r AS ({_REPORT.format(by='participant_id AS run,', pr='pr')}), sc AS (SELECT *, {_SCORES} FROM r), ru AS (SELECT run, {_MEANS} FROM sc GROUP BY run)"
+
+
+@query(f"WITH {_RUNS} SELECT run, macro_f1, accuracy FROM ru ORDER BY macro_f1 DESC, run LIMIT 10")
+def top_runs_by_metric(spark, d):
+    return reports.top_runs(rounded(_runs(spark, d).select("run", "macro_f1", "accuracy")), "macro_f1", 10, ["run"])
+
+
+@query(f"WITH {_RUNS} SELECT run, minimum_class_recall FROM ru ORDER BY minimum_class_recall DESC, run LIMIT 1")
+def best_run(spark, d):
+    return reports.top_runs(rounded(_runs(spark, d).select("run", "minimum_class_recall")), "minimum_class_recall", 1, ["run"])
+
+
+@query(f"WITH {_RUNS} SELECT run, " + ", ".join(f"round(max(recall) FILTER (label = {i} AND support > 0), 6) AS mode_{i}" for i in V.LABELS) + " FROM sc GROUP BY run")
+def recall_pivot(spark, d):
+    report = metrics.class_report(metrics.confusion(V.predictions(spark, d), V.LABELS, ("participant_id",)), ("participant_id",)).where("support > 0")
+    wide = reports.pivot(report.withColumn("mode", F.concat(F.lit("mode_"), F.col("label").cast("string"))), "participant_id", "mode", "recall", [f"mode_{i}" for i in V.LABELS])
+    return rounded(wide.withColumnRenamed("participant_id", "run"))
+
+
+@query(f"WITH {_RUNS} SELECT run, accuracy FROM ru")
+def run_dedupe(spark, d):
+    runs = rounded(_runs(spark, d).select("run", "accuracy"))
+    return reports.dedupe(runs.union(runs), "run", ["accuracy"])[0]
+
+
+@query(f"WITH {V.PR}, {_GRID}, c AS (SELECT a.label AS truth, list(n ORDER BY b) AS ns FROM (SELECT a.label AS label, b.label AS b, count(pr.truth) AS n FROM l a CROSS JOIN l b LEFT JOIN pr ON pr.truth = a.label AND pr.prediction = b.label GROUP BY 1, 2) a GROUP BY 1) SELECT truth, round(ns[1] / list_sum(ns), 6) AS share_0, list_sum(ns)::BIGINT AS support FROM c")
+def matrix_normalized(spark, d):
+    rows = _conf(spark, d).groupBy("truth").agg(F.transform(F.sort_array(F.collect_list(F.struct("prediction", "n"))), lambda x: x["n"]).alias("ns"))
+    share = F.get(F.get(reports.normalized_matrix(F.array("ns")), F.lit(0)), F.lit(0))
+    return rows.select("truth", F.round(share, 6).alias("share_0"), F.aggregate("ns", F.lit(0).cast("bigint"), lambda t, x: t + x).alias("support"))
+
+
+# Models: rows only -----------------------------------------------------------------------------
+
+
+def _model_rows(spark, d):
+    rows = balance.class_weights(V.feature_rows(spark, d)).where("label < 3")
+    return rows, [c for c in rows.columns if "#" in c]
+
+
+def _holdout_metrics(spark, d, family, params):
+    rows, names = _model_rows(spark, d)
+    held = splits.holdout(rows.where("domain = 'collector'"), 0.5, SEED, "session_id").where("role = 'holdout'").select("session_id")
+    model = ml.fit(rows.join(held, "session_id", "left_anti"), names, family, params, weight="weight", classes=3)
+    return metrics.overall(metrics.confusion(ml.predict(model, rows.join(held, "session_id", "left_semi"), names, [0, 1, 2]), [0, 1, 2]))
+
+
+@query()
+def rf_holdout_metrics(spark, d):
+    return _holdout_metrics(spark, d, "random_forest", {"numTrees": 10, "maxDepth": 5})
+
+
+@query()
+def ovr_gbt_metrics(spark, d):
+    return _holdout_metrics(spark, d, "gradient_boosting", {"maxIter": 3, "maxDepth": 3})
+
+
+@query()
+def mlp_metrics(spark, d):
+    return _holdout_metrics(spark, d, "multilayer_perceptron", {"hidden": 8, "maxIter": 30})
+
+
+@query()
+def tuning_oof(spark, d):
+    rows, names = _model_rows(spark, d)
+    folds = splits.group_kfold(rows, 3, SEED, "session_id")
+    found = ml.tune(rows, folds, "session_id", names, [0, 1, 2], "random_forest", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 5}])
+    return spark.createDataFrame([(i, s, str(p)) for i, (s, p) in enumerate(found)], "place int, score double, parameters string")
