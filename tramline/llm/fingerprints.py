@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 #: Ids in one bucket of the neighbour search, and buckets in one group.
 BUCKET, GROUP = 256, 1024
 
@@ -94,7 +96,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole = Window.orderBy(F.desc("group"))
     after = tops.select("group", F.coalesce(F.lead("top").over(whole), F.first("top").over(whole)).alias("next_top"))
     below = heads.withColumn("next_head", F.lead("head").over(Window.partitionBy("group").orderBy(F.desc("bucket"))))
-    wanted = below.join(after, "group").select("bucket", F.coalesce("next_head", "next_top").alias("id"))
+    # Written, so that the size of this table of ids decides whether texts move for it.
+    wanted = materialize(below.join(after, "group").select("bucket", F.coalesce("next_head", "next_top").alias("id")))
     firsts = rows.join(wanted, "id").groupBy("bucket").agg(F.min("text").alias("head_text")).withColumn("head_vector", vector(F.col("head_text")))
     own = Window.partitionBy("bucket").orderBy(F.desc("id"), "text")
     near = rows.select("id", "text", bucket(F.col("id")).alias("bucket"), vector(F.col("text")).alias("vector"))
