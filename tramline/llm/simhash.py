@@ -28,6 +28,8 @@ from ._common import WORD, materialize, texts
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 64
+#: Shares of up to so many fingerprints are compared by array operations over many shares.
+SMALL = 8
 
 
 def fingerprint(text: str, size: int = 4) -> int:
@@ -116,9 +118,10 @@ def _chains(nodes: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarra
 def links(own: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
     """(a, b): chains that connect all nodes within `bits` bits. `own`: (node, bits), both distinct."""
     entries = _entries(own, bits)
-    counts = materialize(entries.groupBy("entry").count().where("count > 1"))
-    found = entries.join(counts, "entry")
-    blocks = F.ceil(F.col("count") / block).cast("int")
+    # Only entries above a block need their counts; all others are one share.
+    large = materialize(entries.groupBy("entry").count().where(F.col("count") > block))
+    found = entries.join(large, "entry", "left")
+    blocks = F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
     dealt = found.select("entry", "node", "bits", F.explode(both).alias("p")).select("entry", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "bits")
@@ -147,7 +150,15 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
             near = pair[np.bitwise_count(value[pair] ^ value[pair + 1]) <= bits] if len(pair) else pair
             heads.append(np.minimum(node[near], node[near + 1]) if len(near) else node[:0])
             tails.append(np.maximum(node[near], node[near + 1]) if len(near) else node[:0])
-            for k in np.flatnonzero(size > 2):
+            # Small shares: every pair of places at once, for all shares of a size.
+            for n in range(3, SMALL + 1):
+                own = bounds[:-1][size == n]
+                for x in range(n if len(own) else 0):
+                    for y in range(x + 1, n):
+                        near = own[np.bitwise_count(value[own + x] ^ value[own + y]) <= bits]
+                        heads.append(np.minimum(node[near + x], node[near + y]))
+                        tails.append(np.maximum(node[near + x], node[near + y]))
+            for k in np.flatnonzero(size > SMALL):
                 a, b = _chains(node[bounds[k] : bounds[k + 1]], value[bounds[k] : bounds[k + 1]], bits)
                 heads.append(a)
                 tails.append(b)
