@@ -8,6 +8,10 @@ pairs; entries above `block` fingerprints are dealt out in pairs of blocks, so n
 gathered whole and no link is lost. Components come from the chains by label propagation with
 shortcuts, every round written to the shared folder.
 
+Links may further be verified by a second lane of 64 bits, made from the same shingle hashes:
+then both lanes together must differ in `total` bits at most. `keep_one` uses this to reach
+wider links (similarities from about 0.8) without linking strangers.
+
 Equal fingerprints are merged before indexing. A null or empty text has the fingerprint zero,
 which is linked like any other. Rows that share an id belong to one document each.
 """
@@ -32,34 +36,47 @@ WIDTH = 64
 SMALL = 8
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str, size: int = 4) -> int:
     """SimHash of the word shingles, repeats included; fewer words: of the whole sequence; none: 0."""
+    return lanes(text, size, 1)[0]
+
+
+def lanes(text: str, size: int = 4, count: int = 2) -> list[int]:
+    """`count` fingerprints: that of the shingles' hashes, then those of the hashes multiplied and shifted."""
     words = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     if not words:
-        return 0
+        return [0] * count
     raw = [w.encode() for w in words]
     size = min(size, len(raw))
     ends = np.cumsum([len(w) + 1 for w in raw])
     joined, starts = b" ".join(raw), [0, *ends[: len(raw) - size].tolist()]
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(WIDTH, np.int64)
+    total = np.zeros((count, WIDTH), np.int64)
     bounds = list(zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True))
     for i in range(0, len(bounds), 8192):
         own = np.array([digest(joined[a:b], 42) for a, b in bounds[i : i + 8192]], np.uint64)
-        total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(bounds), bitorder="little").view(np.uint64)[0])
+        for k in range(count):
+            total[k] += _bits(own)
+            own = (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            own ^= own >> np.uint64(32)
+    return np.packbits(total * 2 > len(bounds), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(df: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bits): the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", count: int = 1) -> DataFrame:
+    """(id, bits[, more]): the fingerprint, and the second lane, as signed 64-bit numbers."""
+    names = ["id", "bits", "more"][: count + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([fingerprint(x, size) for x in texts(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(own.view(np.int64))], names=["id", "bits"])
+            own = np.array([lanes(x, size, count) for x in texts(batch)], np.uint64).reshape(-1, count).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(own[:, k]) for k in range(count))], names=names)
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, bits long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -76,7 +93,7 @@ def _entries(own: DataFrame, bits: int) -> DataFrame:
         value = F.shiftrightunsigned("bits", first).bitwiseAND((1 << size) - 1 if size < 64 else -1)
         for at in range(size):
             made.append(F.struct(F.lit(first + at).alias("w"), value.bitwiseAND(((1 << size) - 1) ^ (1 << at) if size < 64 else ~(1 << at) if at < 63 else (1 << 63) - 1).alias("v")))
-    return own.select("node", "bits", F.explode(F.array(*made)).alias("e")).select(F.xxhash64("e.w", "e.v").alias("entry"), "node", "bits")
+    return own.select("*", F.explode(F.array(*made)).alias("e")).select(F.xxhash64("e.w", "e.v").alias("entry"), *own.columns)
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -86,14 +103,18 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def _chains(nodes: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Chains through the sets of nodes that links of up to `bits` bits connect."""
+def _near(values: list[np.ndarray], one, two, bits: int, total: int) -> np.ndarray:
+    """Which of the rows `one` and `two` (places that broadcast) are linked, by one lane or two."""
+    apart = np.bitwise_count(values[0][one] ^ values[0][two])
+    near = apart <= bits
+    return near if len(values) == 1 else near & (apart + np.bitwise_count(values[1][one] ^ values[1][two]) <= total)
+
+
+def _chains(nodes: np.ndarray, values: list[np.ndarray], bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chains through the sets of nodes that links connect."""
     n = len(nodes)
     order = np.argsort(nodes, kind="stable")
-    nodes, values = nodes[order], values[order]
-    if n == 2:
-        near = int(values[0] ^ values[1]).bit_count() <= bits
-        return (nodes[:1], nodes[1:]) if near else (nodes[:0], nodes[:0])
+    nodes, values = nodes[order], [v[order] for v in values]
     root = np.arange(n)
     todo = np.ones(n, bool)
     # Grow one set at a time; each node is compared once with all that aren't in a set yet.
@@ -106,7 +127,7 @@ def _chains(nodes: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarra
             rest = np.flatnonzero(todo)
             if not len(rest):
                 break
-            near = rest[np.bitwise_count(values[rest] ^ values[stack.pop()]) <= bits]
+            near = rest[_near(values, rest, stack.pop(), bits, total)]
             todo[near] = False
             root[near] = start
             stack.extend(near.tolist())
@@ -115,8 +136,12 @@ def _chains(nodes: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarra
     return nodes[order][:-1][same], nodes[order][1:][same]
 
 
-def links(own: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
-    """(a, b): chains that connect all nodes within `bits` bits. `own`: (node, bits), both distinct."""
+def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0) -> DataFrame:
+    """(a, b): chains that connect all nodes within `bits` bits (and `total` bits of both lanes).
+
+    `own`: (node, bits[, more]), nodes and fingerprints distinct.
+    """
+    kept = own.columns
     entries = _entries(own, bits)
     # Only entries above a block need their counts; all others are one share.
     large = materialize(entries.groupBy("entry").count().where(F.col("count") > block))
@@ -124,18 +149,18 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
     blocks = F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    dealt = found.select("entry", "node", "bits", F.explode(both).alias("p")).select("entry", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "bits")
+    dealt = found.select("entry", *kept, F.explode(both).alias("p")).select("entry", F.col("p.i").alias("i"), F.col("p.j").alias("j"), *kept)
     # An entry's share arrives sorted and whole: all its rows have one (entry, i, j).
     dealt = dealt.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64) for _ in range(5)]
+        rest = [np.zeros(0, np.int64) for _ in range(3 + len(kept))]
         end = False
         batches = iter(batches)
         while not end:
             batch = next(batches, None)
             end = batch is None
-            columns = rest if end else [np.concatenate([r, np.asarray(batch[c]).astype(np.int64)]) for r, c in zip(rest, ("entry", "i", "j", "node", "bits"), strict=True)]
+            columns = rest if end else [np.concatenate([r, np.asarray(batch[c]).astype(np.int64)]) for r, c in zip(rest, ("entry", "i", "j", *kept), strict=True)]
             n = len(columns[0])
             if not n:
                 continue
@@ -145,21 +170,18 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
             heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             bounds = np.array(bounds)
             size = np.diff(bounds)
-            pair = bounds[:-1][size == 2]
-            node, value = columns[3], columns[4].view(np.uint64)
-            near = pair[np.bitwise_count(value[pair] ^ value[pair + 1]) <= bits] if len(pair) else pair
-            heads.append(np.minimum(node[near], node[near + 1]) if len(near) else node[:0])
-            tails.append(np.maximum(node[near], node[near + 1]) if len(near) else node[:0])
+            node, values = columns[3], [c.view(np.uint64) for c in columns[4:]]
             # Small shares: every pair of places at once, for all shares of a size.
-            for n in range(3, SMALL + 1):
-                own = bounds[:-1][size == n]
-                for x in range(n if len(own) else 0):
+            for n in range(2, SMALL + 1):
+                first = bounds[:-1][size == n]
+                for x in range(n if len(first) else 0):
                     for y in range(x + 1, n):
-                        near = own[np.bitwise_count(value[own + x] ^ value[own + y]) <= bits]
+                        near = first[_near(values, first + x, first + y, bits, total)]
                         heads.append(np.minimum(node[near + x], node[near + y]))
                         tails.append(np.maximum(node[near + x], node[near + y]))
             for k in np.flatnonzero(size > SMALL):
-                a, b = _chains(node[bounds[k] : bounds[k + 1]], value[bounds[k] : bounds[k + 1]], bits)
+                part = slice(bounds[k], bounds[k + 1])
+                a, b = _chains(node[part], [v[part] for v in values], bits, total)
                 heads.append(a)
                 tails.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], names=["a", "b"])
@@ -188,20 +210,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
-    """(id, bits, component_id): each document's fingerprint and the smallest id reachable by links."""
-    own = materialize(fingerprints(df, size, id_col, text_col))
-    nodes = materialize(own.groupBy("bits").agg(F.min("id").alias("node")))
-    label = components(materialize(links(nodes, bits, block)))
-    named = materialize(nodes.join(label, "node", "left").select("bits", F.coalesce("label", "node").alias("component_id")))
-    return own.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
+def linked(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, total: int = 0) -> DataFrame:
+    """(id, bits[, more], component_id): each document's fingerprint and the smallest id reachable by links."""
+    lanes_ = ["bits", "more"] if total else ["bits"]
+    own = materialize(fingerprints(df, size, id_col, text_col, len(lanes_)))
+    nodes = materialize(own.groupBy(*lanes_).agg(F.min("id").alias("node")).select("node", *lanes_))
+    label = components(materialize(links(nodes, bits, block, total)))
+    named = materialize(nodes.join(label, "node", "left").select(*lanes_, F.coalesce("label", "node").alias("component_id")))
+    return own.join(named, lanes_).select(F.col("id").alias(id_col), *lanes_, "component_id")
 
 
-def keep_one(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df` that are the first document (smallest id) of their component; all columns stay.
 
-    Rows without an id stay. Documents without words are no copies of each other: they stay too.
+    By default over shingles of five words, links of similarity from about 0.8. Rows without an
+    id stay. Documents without words are no copies of each other: they stay too.
     """
-    found = linked(df.where(F.col(text_col).rlike(WORD)), bits, size, id_col, text_col)
+    found = linked(df.where(F.col(text_col).rlike(WORD)), bits, size, id_col, text_col, total=total)
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
     return df.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")

@@ -124,7 +124,7 @@ def judge_joined(df: DataFrame, keys: DataFrame, id_col: str = "page_id", url_co
         F.max(F.when(F.col("is_rule"), F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("r"),
         F.max(F.when(~F.col("is_rule"), F.struct(F.length("key").alias("n"), "key"))).alias("l"),
     )
-    return rows.distinct().join(best, (rows["id"].eqNullSafe(best["id"])) & (rows["url"].eqNullSafe(best["url"])), "left").select(
-        rows["id"].alias(id_col), "host", "path", F.col("r.key").alias("rule"),
-        F.coalesce(F.col("r.verdict"), F.when(F.col("l").isNotNull(), "block"), F.lit("allow")).alias("verdict"), F.col("l.key").alias("listed"),
-    )
+    best = best.select(F.col("id").alias("_id"), F.col("url").alias("_url"), "r", "l")
+    out = rows.distinct().join(best, F.col("id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")), "left")
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("l").isNotNull(), "block"), F.lit("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.key").alias("rule"), verdict.alias("verdict"), F.col("l.key").alias("listed"))
