@@ -546,7 +546,8 @@ def matrix_normalized(spark, d):
 
 
 def _model_rows(spark, d):
-    rows = balance.class_weights(V.feature_rows(spark, d)).where("label < 3")
+    # Fitted many times: kept in the executors' storage, recomputed where one is lost.
+    rows = balance.class_weights(V.feature_rows(spark, d)).where("label < 3").cache()
     return rows, [c for c in rows.columns if "#" in c]
 
 
