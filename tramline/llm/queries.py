@@ -76,7 +76,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's score, learned from labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where((fold(3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    found = toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id")))
+    found = toxicity.score(docs, toxicity.fit(docs, known))
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import texts
+from ._common import materialize, texts
 
 MARKER = bytes(range(128, 160))
 GRAM = 5
@@ -118,14 +118,20 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(df: DataFrame, max_toxic: int = 600, max_ordinary: int = 2400, max_chars: int = 50_000, toxic_size: int = 700, ordinary_size: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most `max_toxic` + `max_ordinary` labelled texts of up to `max_chars` characters.
+def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, max_ordinary: int = 2400, max_chars: int = 50_000, toxic_size: int = 700, ordinary_size: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on at most `max_toxic` + `max_ordinary` labelled texts, those of up to `max_chars` characters.
 
-    The rows are those of the smallest hashes of the id. Half of them train, half calibrate.
+    `labels` (id, label) may come apart from the texts. The rows are those of the smallest hashes
+    of the id, chosen by id alone, so texts neither move nor meet; half train, half calibrate.
     """
-    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-    own = {t: [r["text"] for r in rows.where(F.col("toxic") == t).orderBy("key", "id").limit(n).collect()] for t, n in ((True, max_toxic), (False, max_ordinary))}
+    known = (df if labels is None else labels).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic")).withColumn("key", F.xxhash64(F.col("id").cast("string")))
+    first = [known.where(F.col("toxic") == t).orderBy("key", "id").limit(n) for t, n in ((True, max_toxic), (False, max_ordinary))]
+    # At most max_toxic + max_ordinary ids.
+    chosen = F.broadcast(materialize(first[0].union(first[1])))
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").where(F.length("text") <= max_chars).collect()
+    found.sort(key=lambda r: (r["key"], r["id"], r["text"]))
+    own = {t: [r["text"] for r in found if r["toxic"] == t] for t in (True, False)}
     return train(own[True], own[False], toxic_size, ordinary_size)
 
 
