@@ -97,15 +97,23 @@ class Filters:
 def fit(df: DataFrame, max_per_language: int = 1500, max_chars: int = 6_000_000, keep: float = 0.35, slots: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters learned from whole texts with a language, at most `max_per_language` a language.
 
-    The documents are those of the smallest hashes; texts are counted on the executors. Up to
-    64 languages, the most frequent ones if there are more; rows without a text are passed over.
-    A text of more than `max_chars` characters isn't learned from.
+    The documents are those of the smallest hashes of the id, chosen by language and id alone, so
+    texts don't move; they are counted on the executors. Up to 64 languages, those of the most
+    documents if there are more; rows without a text, and texts of more than `max_chars`
+    characters, aren't learned from.
     """
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-    ids = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-    first = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("n") <= max_per_language)
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = rows.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("key"))
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    if not sizes:
+        return Filters([], np.zeros(slots, np.uint64), np.zeros(0))
+    # Hashes below twice the share that is needed: some 2 * max_per_language ids a language, however many it has.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * max_per_language / n))])
+    near = ids.where(F.col("key") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")])
+    first = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("n") <= max_per_language)
+    # At most 64 * max_per_language ids.
     chosen = F.broadcast(first.select("id").distinct())
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi")
+    sample = rows.join(chosen, "id", "left_semi").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
