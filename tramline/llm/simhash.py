@@ -34,6 +34,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 64
 #: Shares of up to so many fingerprints are compared by array operations over many shares.
 SMALL = 8
+#: Pairs of larger shares that are compared at once.
+PAIRS = 1 << 17
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -110,8 +112,23 @@ def _near(values: list[np.ndarray], one, two, bits: int, total: int) -> np.ndarr
     return near if len(values) == 1 else near & (apart + np.bitwise_count(values[1][one] ^ values[1][two]) <= total)
 
 
+def _touching(values: list[np.ndarray], bits: int, total: int) -> np.ndarray:
+    """Places of the nodes that have a link, by array operations over blocks of all pairs."""
+    n = len(values[0])
+    step = max(1, PAIRS // n)
+    some = np.zeros(n, bool)
+    for a in range(0, n, step):
+        own = np.arange(a, min(n, a + step))
+        near = _near(values, own[:, None], slice(None), bits, total)
+        near[own - a, own] = False
+        some[own] = near.any(axis=1)
+    return np.flatnonzero(some)
+
+
 def _chains(nodes: np.ndarray, values: list[np.ndarray], bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Chains through the sets of nodes that links connect."""
+    some = _touching(values, bits, total)
+    nodes, values = nodes[some], [v[some] for v in values]
     n = len(nodes)
     order = np.argsort(nodes, kind="stable")
     nodes, values = nodes[order], [v[order] for v in values]
