@@ -25,7 +25,7 @@ def docs(spark):
     texts = TEXTS + [" ".join(rng.choices(words, k=rng.randint(0, 80))) for _ in range(60)]
     rows = [(i * 7, x, i) for i, x in enumerate(texts)]
     # Columns that clash with names used inside.
-    return spark.createDataFrame(rows, "doc_id long, text string, id int").withColumns({"bits": F.lit("x"), "node": F.lit(1), "n": F.lit(2), "length": F.lit(3)}).repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, id int").withColumns({"bits": F.lit("x"), "node": F.lit(1), "n": F.lit(2), "length": F.lit(3), "_id": F.lit(4), "_runs": F.lit("y")}).repartition(3)
 
 
 def rows_of(docs):

@@ -41,6 +41,14 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or the first of name_, name__ and so on that isn't a column of `df` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts have about `max_bytes` together (a longer text stands alone)."""
     for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, texts
+from ._common import WORD, free_name, materialize, texts
 
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -244,5 +244,6 @@ def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, id_c
     id stay. Documents without words are no copies of each other: they stay too.
     """
     found = linked(df.where(F.col(text_col).rlike(WORD)), bits, size, id_col, text_col, total=total)
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    key = free_name(df, "_id")
+    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct())
+    return df.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, text_chunks
+from ._common import WORD, free_name, materialize, text_chunks
 
 _WORD = re.compile(WORD)
 _U = np.uint64
@@ -192,8 +192,10 @@ def _removed(n: int, runs: np.ndarray, window: int) -> np.ndarray:
 
 
 def _with_runs(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    runs = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.shiftleft("start", 8) + F.col("windows")).alias("_runs"))
-    return df.join(runs, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    """`df` and, as its last column, each row's runs (start * 256 + windows)."""
+    key, runs = free_name(df, "_id"), free_name(df, "_runs")
+    own = found.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.shiftleft("start", 8) + F.col("windows")).alias(runs))
+    return df.join(own, F.col(id_col).cast("long") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in df.columns], runs)
 
 
 def dedup(df: DataFrame, window: int = 20, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
