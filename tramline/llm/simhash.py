@@ -18,7 +18,6 @@ which is linked like any other. Rows that share an id belong to one document eac
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,6 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, free_name, materialize, texts
 
-_WORD = re.compile(WORD)
-_LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 64
 #: Shares of up to so many fingerprints are compared by array operations over many shares.
 SMALL = 8
@@ -49,16 +46,17 @@ def fingerprint(text: str, size: int = 4) -> int:
 
 def lanes(text: str, size: int = 4, count: int = 2) -> list[int]:
     """`count` fingerprints: that of the shingles' hashes, then those of the hashes multiplied and shifted."""
-    words = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
-    if not words:
+    # Of bytes, lower() changes A-Z only, and split() splits at the code points that WORD leaves out.
+    raw = text.encode().lower().split()
+    if not raw:
         return [0] * count
-    raw = [w.encode() for w in words]
     size = min(size, len(raw))
-    ends = np.cumsum([len(w) + 1 for w in raw])
-    joined, starts = b" ".join(raw), [0, *ends[: len(raw) - size].tolist()]
+    joined = b" ".join(raw)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, stops = [0, *(gaps + 1)[: len(raw) - size].tolist()], [*gaps.tolist(), len(joined)][size - 1 :]
     digest = xxhash.xxh64_intdigest
     total = np.zeros((count, WIDTH), np.int64)
-    bounds = list(zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True))
+    bounds = list(zip(starts, stops, strict=True))
     for i in range(0, len(bounds), 8192):
         own = np.array([digest(joined[a:b], 42) for a, b in bounds[i : i + 8192]], np.uint64)
         for k in range(count):
