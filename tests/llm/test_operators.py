@@ -221,6 +221,46 @@ def test_simhash_dense_groups(spark):
         assert {i: label.get(i, i) for i in expected} == expected
 
 
+def copies(rng, n, share, count):
+    """Pairs of texts of n shingles of five words; `share` of each one's shingles are common."""
+    words = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    for _ in range(count):
+        own = words(n + 4)
+        kept = round(n * share) + 4
+        yield " ".join(own), " ".join(own[:kept] + words(n + 4 - kept))
+
+
+def test_keep_one_leaves_texts_below_similarity(spark):
+    rng, pairs = random.Random(11), []
+    while len(pairs) < 8:
+        # Similarity 60 / 80, near by both lanes.
+        for a, b in copies(rng, 70, 60 / 70, 20):
+            d = [int(x ^ y).bit_count() for x, y in zip(simhash.lanes(a, 5), simhash.lanes(b, 5))]
+            if d[0] <= 10 and sum(d) <= 26:
+                pairs.append((a, b))
+    df = spark.createDataFrame(enumerate(x for p in pairs for x in p), "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 2 * len(pairs)
+
+
+def test_exact_links_in_blocks(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"a{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(12)]
+    many = [" ".join([*x.split()[: 60 - k], *(f"b{i}x{k}x{j}" for j in range(k))]) for i, x in enumerate(texts) for k in (0, 3, 8, 25)]
+    sets = [np.unique(simhash._hashes(x, 5)) for x in many]
+    parent = list(range(len(many)))
+    for i in range(len(many)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = simhash._find(parent, i), simhash._find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    group = spark.createDataFrame([(i, int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)), 0) for i, x in enumerate(sets)], "node long, key long, label long")
+    for most in (1 << 20, 400):
+        label = {r["node"]: r["label"] for r in simhash.components(simhash.verified(rows, group, 5, 0.8, most)).collect()}
+        assert [label.get(i, i) for i in range(len(many))] == [simhash._find(parent, i) for i in range(len(many))]
+
+
 def test_secrets(spark):
     rng = random.Random(8)
     hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(120)]

@@ -8,9 +8,10 @@ pairs; entries above `block` fingerprints are dealt out in pairs of blocks, so n
 gathered whole and no link is lost. Components come from the chains by label propagation with
 shortcuts, every round written to the shared folder.
 
-Links may further be verified by a second lane of 64 bits, made from the same shingle hashes:
-then both lanes together must differ in `total` bits at most. `keep_one` uses this to reach
-wider links (similarities from about 0.8) without linking strangers.
+Links may further be verified by more lanes of 64 bits, made from the same shingle hashes:
+then all lanes together must differ in `total` bits at most. `keep_one` takes such links as
+candidates only: within each group that they connect, the sets of hashed shingles themselves
+are compared, and similarities (Jaccard) of `least` or more are its links.
 
 Equal fingerprints are merged before indexing. A null or empty text has the fingerprint zero,
 which is linked like any other. Rows that share an id belong to one document each.
@@ -26,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, free_name, materialize, texts
+from ._common import WORD, free_name, materialize, text_chunks, texts
 
 WIDTH = 64
+#: Columns of the lanes.
+LANES = ("bits", "more", "most")
 #: Shares of up to so many fingerprints are compared by array operations over many shares.
 SMALL = 8
 #: Pairs of larger shares that are compared at once.
@@ -46,24 +49,32 @@ def fingerprint(text: str, size: int = 4) -> int:
 
 def lanes(text: str, size: int = 4, count: int = 2) -> list[int]:
     """`count` fingerprints: that of the shingles' hashes, then those of the hashes multiplied and shifted."""
+    return _lanes(_hashes(text, size), count)
+
+
+def _hashes(text: str, size: int) -> np.ndarray:
+    """The hash of every word shingle, repeats included; fewer words: of the whole sequence; none: empty."""
     # Of bytes, lower() changes A-Z only, and split() splits at the code points that WORD leaves out.
     raw = text.encode().lower().split()
     if not raw:
-        return [0] * count
+        return np.zeros(0, np.uint64)
     size = min(size, len(raw))
     joined = b" ".join(raw)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, stops = [0, *(gaps + 1)[: len(raw) - size].tolist()], [*gaps.tolist(), len(joined)][size - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def _lanes(hashes: np.ndarray, count: int) -> list[int]:
     total = np.zeros((count, WIDTH), np.int64)
-    bounds = list(zip(starts, stops, strict=True))
-    for i in range(0, len(bounds), 8192):
-        own = np.array([digest(joined[a:b], 42) for a, b in bounds[i : i + 8192]], np.uint64)
+    for i in range(0, len(hashes), 8192):
+        own = hashes[i : i + 8192]
         for k in range(count):
             total[k] += _bits(own)
             own = (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
             own ^= own >> np.uint64(32)
-    return np.packbits(total * 2 > len(bounds), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+    return np.packbits(total * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
 def fingerprints(df: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", count: int = 1) -> DataFrame:
@@ -104,10 +115,15 @@ def _find(parent: list[int], x: int) -> int:
 
 
 def _near(values: list[np.ndarray], one, two, bits: int, total: int) -> np.ndarray:
-    """Which of the rows `one` and `two` (places that broadcast) are linked, by one lane or two."""
+    """Which of the rows `one` and `two` (places that broadcast) are linked, by one lane or more."""
     apart = np.bitwise_count(values[0][one] ^ values[0][two])
     near = apart <= bits
-    return near if len(values) == 1 else near & (apart + np.bitwise_count(values[1][one] ^ values[1][two]) <= total)
+    if len(values) > 1:
+        # The other lanes only of pairs that the first one leaves.
+        at = np.nonzero(near)
+        one, two = (np.broadcast_to(np.arange(len(values[0]))[x] if isinstance(x, slice) else x, near.shape)[at] for x in (one, two))
+        near[at] = sum((np.bitwise_count(v[one] ^ v[two]) for v in values[1:]), apart[at].astype(np.int64)) <= total
+    return near
 
 
 def _touching(values: list[np.ndarray], bits: int, total: int) -> np.ndarray:
@@ -235,13 +251,110 @@ def linked(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id",
     return own.join(named, lanes_).select(F.col("id").alias(id_col), *lanes_, "component_id")
 
 
-def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(df: DataFrame, size: int, count: int) -> DataFrame:
+    """(id, key, bits, more, ...): digest and lanes of each row's set of shingles; `df`: (id, text)."""
+    names = ["id", "key", *LANES[:count]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            found = [np.unique(_hashes(x, size)) for x in texts(batch)]
+            own = np.array([[xxhash.xxh3_64_intdigest(x.tobytes()), *_lanes(x, count)] for x in found], np.uint64).reshape(-1, count + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(own[:, k]) for k in range(count + 1))], names=names)
+
+    return df.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _similar(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Chains through the sets of nodes that pairs of similarity `least` and more connect."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    kinds, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    flag = np.zeros(len(kinds), bool)
+    rest, heads, tails = np.arange(1, n), [], []
+    stack, last = [0], 0
+    # Each node is compared once with all that aren't in a set yet; their codes lie side by side.
+    held = codes[start[1] :]
+    while len(rest):
+        if not stack:
+            last, held, rest = rest[0], held[size[rest[0]] :], rest[1:]
+            stack = [last]
+            continue
+        x = stack.pop()
+        mine = codes[start[x] : start[x + 1]]
+        flag[mine] = True
+        both = np.add.reduceat(flag[held], np.concatenate([[0], np.cumsum(size[rest])[:-1]]), dtype=np.int64)
+        flag[mine] = False
+        # A margin for division: a share of exactly `least` is a link.
+        near = both >= least * (size[rest] + size[x] - both) - 1e-9
+        if near.any():
+            for y in rest[near].tolist():
+                heads.append(nodes[last])
+                tails.append(nodes[y])
+                last = y
+            stack.extend(rest[near].tolist())
+            held, rest = held[np.repeat(~near, size[rest])], rest[~near]
+    return np.array(heads, np.int64), np.array(tails, np.int64)
+
+
+def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: int = 1 << 20) -> DataFrame:
+    """(a, b): chains that connect all nodes of a group whose sets of shingles are similar by `least`.
+
+    `rows`: (id, text). `group`: (node, key, label), the id and digest of the set of each node,
+    and its group. Groups of more than `most` shingles are dealt out in pairs of blocks.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            found = [np.unique(_hashes(x, size)) for x in texts(batch)]
+            # Of rows that share an id, those of the node's own set.
+            same = [i for i, (x, key) in enumerate(zip(found, batch["key"].to_pylist(), strict=True)) if xxhash.xxh3_64_intdigest(x.tobytes()) == key % (1 << 64)]
+            yield pa.RecordBatch.from_arrays([batch["label"].take(pa.array(same, pa.int64())), batch["node"].take(pa.array(same, pa.int64())), pa.array([found[i].tobytes() for i in same], pa.binary())], names=["label", "node", "own"])
+
+    found = rows.join(group, F.col("id") == F.col("node")).select("label", "node", "key", "text").mapInArrow(sets, "label long, node long, own binary")
+    found = materialize(found)
+    large = materialize(found.groupBy("label").agg(F.sum(F.length("own") / 8).alias("count")).where(F.col("count") > most))
+    blocks = F.coalesce(F.ceil(F.col("count") / most).cast("int"), F.lit(1))
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    dealt = found.join(large, "label", "left").select("label", "node", "own", F.explode(both).alias("p")).select("label", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "own")
+    # A group's share arrives sorted and whole: all its rows have one (label, i, j).
+    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, nodes, own = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                a, b = _similar(np.array(nodes, np.int64), own, least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for *at, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != share:
+                    yield from done()
+                    share, nodes, own = at, [], []
+                nodes.append(node)
+                own.append(np.frombuffer(raw, np.uint64))
+        yield from done()
+
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df` that are the first document (smallest id) of their component; all columns stay.
 
-    By default over shingles of five words, links of similarity from about 0.8. Rows without an
-    id stay. Documents without words are no copies of each other: they stay too.
+    Links are similarities of `least` and more, by the sets of shingles of `size` words, of pairs
+    in one group of candidates. Rows without an id stay. Documents without words are no copies of
+    each other: they stay too.
     """
-    found = linked(df.where(F.col(text_col).rlike(WORD)), bits, size, id_col, text_col, total=total)
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(WORD)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    lanes_ = list(LANES[:2])
+    own = materialize(_sets(rows, size, len(lanes_)))
+    nodes = materialize(own.groupBy("key", *lanes_).agg(F.min("id").alias("node")))
+    group = components(materialize(links(nodes.select("node", *lanes_), bits, total=total)))
+    label = components(materialize(verified(rows, materialize(nodes.select("node", "key").join(group, "node")), size, least)))
+    named = materialize(nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
     key = free_name(df, "_id")
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct())
+    gone = materialize(own.join(named, "key").where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct())
     return df.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
