@@ -242,6 +242,13 @@ def test_keep_one_leaves_texts_below_similarity(spark):
     assert simhash.keep_one(df).count() == 2 * len(pairs)
 
 
+def test_keep_one_finds_copies_of_exact_similarity(spark):
+    rng = random.Random(13)
+    pairs = [p for n in (9, 90, 270) for p in copies(rng, n, 8 / 9, 60)]
+    df = spark.createDataFrame(enumerate(x for p in pairs for x in p), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(range(0, 2 * len(pairs), 2))
+
+
 def test_exact_links_in_blocks(spark):
     rng = np.random.default_rng(12)
     texts = [" ".join(f"a{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(12)]

@@ -167,12 +167,13 @@ def _chains(nodes: np.ndarray, values: list[np.ndarray], bits: int, total: int)
     return nodes[order][:-1][same], nodes[order][1:][same]
 
 
-def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0) -> DataFrame:
-    """(a, b): chains that connect all nodes within `bits` bits (and `total` bits of both lanes).
+def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut: int | None = None) -> DataFrame:
+    """(a, b): chains that connect all nodes within `bits` bits (and `total` bits of all lanes).
 
-    `own`: (node, bits[, more]), nodes and fingerprints distinct.
+    `own`: (node, bits[, more, ...]), nodes and fingerprints distinct. With `cut`, `bits` only sets
+    the segments that bring nodes together, and up to `cut` bits of the lane are accepted.
     """
-    kept = own.columns
+    kept, reach = own.columns, bits if cut is None else cut
     entries = _entries(own, bits)
     # Only entries above a block need their counts; all others are one share.
     large = materialize(entries.groupBy("entry").count().where(F.col("count") > block))
@@ -207,12 +208,12 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0) -> D
                 first = bounds[:-1][size == n]
                 for x in range(n if len(first) else 0):
                     for y in range(x + 1, n):
-                        near = first[_near(values, first + x, first + y, bits, total)]
+                        near = first[_near(values, first + x, first + y, reach, total)]
                         heads.append(np.minimum(node[near + x], node[near + y]))
                         tails.append(np.maximum(node[near + x], node[near + y]))
             for k in np.flatnonzero(size > SMALL):
                 part = slice(bounds[k], bounds[k + 1])
-                a, b = _chains(node[part], [v[part] for v in values], bits, total)
+                a, b = _chains(node[part], [v[part] for v in values], reach, total)
                 heads.append(a)
                 tails.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], names=["a", "b"])
@@ -341,7 +342,22 @@ def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: i
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(nodes: DataFrame, bits: int = 10, cut: int = 24, total: int = 54, indexed: int = 2) -> DataFrame:
+    """(a, b): chains between nodes that `indexed` lanes, each an alternative to the others, bring together.
+
+    At similarity 0.8 lanes differ in about 10 bits each; `cut` (of the lane) and `total` (of all
+    three lanes) lie well above that. `nodes`: (node, bits, more, most).
+    """
+    found = None
+    for lane in LANES[:indexed]:
+        # One lane at a time, written, so that the shuffle files of one are held only.
+        own = nodes.select("node", F.col(lane).alias("bits"), *[F.col(x).alias(f"{x}_") for x in LANES if x != lane])
+        made = materialize(links(own, bits, total=total, cut=cut))
+        found = made if found is None else found.union(made)
+    return found.distinct()
+
+
+def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 54, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df` that are the first document (smallest id) of their component; all columns stay.
 
     Links are similarities of `least` and more, by the sets of shingles of `size` words, of pairs
@@ -349,10 +365,10 @@ def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 26, leas
     each other: they stay too.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(WORD)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lanes_ = list(LANES[:2])
+    lanes_ = list(LANES)
     own = materialize(_sets(rows, size, len(lanes_)))
     nodes = materialize(own.groupBy("key", *lanes_).agg(F.min("id").alias("node")))
-    group = components(materialize(links(nodes.select("node", *lanes_), bits, total=total)))
+    group = components(materialize(candidates(nodes.select("node", *lanes_), bits, total=total)))
     label = components(materialize(verified(rows, materialize(nodes.select("node", "key").join(group, "node")), size, least)))
     named = materialize(nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
     key = free_name(df, "_id")
