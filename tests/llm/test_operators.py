@@ -221,6 +221,18 @@ def test_simhash_dense_groups(spark):
         assert {i: label.get(i, i) for i in expected} == expected
 
 
+def test_toxicity_of_rare_words():
+    rng = random.Random(14)
+    words = ["".join(rng.choices("aehinorst", k=6)) for _ in range(300)]
+    rare = ["".join(rng.choices("bcdfgjklmpquvwxyz", k=9)) for _ in range(30)]
+    text = lambda own: " ".join(rng.sample([*rng.choices(words, k=40), *own], 40 + len(own)))
+    # Each rare word in ten of 300 toxic texts: below 4 % of them.
+    toxic, ordinary = [text([rare[i // 2 % 30]]) for i in range(600)], [text([]) for _ in range(1200)]
+    model = toxicity.train(toxic[:300], ordinary[:600])
+    assert np.mean([model.distance(x) >= model.threshold for x in toxic[300:]]) >= 0.9
+    assert np.mean([model.distance(x) >= model.threshold for x in ordinary[600:]]) <= 0.05
+
+
 def copies(rng, n, share, count):
     """Pairs of texts of n shingles of five words; `share` of each one's shingles are common."""
     words = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]

@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on what sets toxic text
-apart (stretches of short character n-grams that many toxic texts and few ordinary ones
-have, each in several contexts). A window of text is compressed with either; its distance is
+apart (words that some toxic texts and, by share, few ordinary ones have; the floor is a
+number of texts, so that the words of rarer languages stay). Either one ends with all its
+words, the most frequent last. A window of text is compressed with either; its distance is
 the ordinary length less the toxic one. A text's largest distance is compared with a
 threshold calibrated on labelled texts that neither dictionary was trained on.
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from ._common import materialize, texts
 
 MARKER = bytes(range(128, 160))
-GRAM = 5
 CACHE = 300_000
+#: Bytes of the trained part of either dictionary.
+TRAINED = 65536
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -82,32 +84,15 @@ def _plain(text: str) -> str:
     return " " + " ".join(text.lower().split()) + " "
 
 
-def _grams(text: str) -> set[str]:
-    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+def telling(toxic: list[str], ordinary: list[str], ratio: float = 20, least: int = 4) -> list[str]:
+    """Words in at least `least` toxic texts, `ratio` times as frequent there; the most frequent first."""
+    many, few = (Counter(w for x in own for w in dict.fromkeys(x.split())) for own in (toxic, ordinary))
+    return [w for w, n in many.most_common() if n >= least and n / len(toxic) >= ratio * (few[w] + 0.5) / max(1, len(ordinary))]
 
 
-def telling(toxic: list[str], ordinary: list[str], ratio: float = 20, share: float = 0.04, least: int = 4) -> set[str]:
-    """n-grams in at least `least` toxic texts (and `share` of them), `ratio` times as frequent there, in as many contexts."""
-    many = Counter(g for x in toxic for g in _grams(x))
-    floor = max(least, share * len(toxic))
-    frequent = {g for g, n in many.items() if n >= floor}
-    few = Counter(g for x in ordinary for g in _grams(x) & frequent)
-    good = {g for g in frequent if many[g] / len(toxic) >= ratio * (few[g] + 0.5) / max(1, len(ordinary))}
-    around = {(x[i : i + GRAM], x[max(0, i - 9) : max(0, i - 3)]) for x in toxic for i in range(len(x) - GRAM + 1) if x[i : i + GRAM] in good}
-    contexts = Counter(g for g, _ in around)
-    return {g for g in good if contexts[g] >= floor}
-
-
-def _stretches(text: str, good: set[str]) -> list[str]:
-    out, start, end = [], 0, -1
-    for i in range(len(text) - GRAM + 1):
-        if text[i : i + GRAM] in good:
-            if i > end:
-                if end > 0:
-                    out.append(text[start:end])
-                start = i
-            end = i + GRAM
-    return [*out, text[start:end]] if end > 0 else out
+def _words(own: list[str], size: int) -> bytes:
+    """The words, first ones last, where offsets are shortest."""
+    return " ".join(["", *reversed(own), ""]).encode()[-size:]
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -118,7 +103,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, max_ordinary: int = 2400, max_chars: int = 50_000, toxic_size: int = 700, ordinary_size: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, max_ordinary: int = 2400, max_chars: int = 50_000, toxic_size: int = 1 << 20, ordinary_size: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most `max_toxic` + `max_ordinary` labelled texts, those of up to `max_chars` characters.
 
     `labels` (id, label) may come apart from the texts. The rows are those of the smallest hashes
@@ -135,18 +120,18 @@ def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, ma
     return train(own[True], own[False], toxic_size, ordinary_size)
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_size: int = 700, ordinary_size: int = 65536) -> Model:
+def train(toxic: list[str], ordinary: list[str], toxic_size: int = 1 << 20, ordinary_size: int = 1 << 20) -> Model:
     """A model of labelled texts."""
     bad, good = [_plain(x) for x in toxic], [_plain(x) for x in ordinary]
-    marks = telling(bad[::2], good[::2]) if bad else set()
-    samples = [s.strip().join("  ").encode() for x in bad[::2] for s in _stretches(x, marks)]
+    marks = telling(bad[::2], good[::2]) if bad else []
+    told = set(marks)
+    samples = [f" {w} ".encode() for x in bad[::2] for w in x.split() if w in told]
     words = [w.join("  ").encode() for x in good[::2] for w in x.split()]
     step = max(1, len(words) // 20_000)
     lines = [b" ".join(words[i : i + 4]) for i in range(0, len(words), 4 * step)]
-    counted = [s for s, _ in Counter(samples).most_common()]
-    # The content ends with whole stretches, the most frequent last, where offsets are shortest.
-    content = (_dictionary(samples, toxic_size) if samples else b"") + b"".join(reversed(counted))[-toxic_size:]
-    model = Model(_dictionary(lines, ordinary_size) if lines else b"", content, 1.0)
+    counted = [w for w, _ in Counter(w for x in good[::2] for w in dict.fromkeys(x.split())).most_common() if w not in told]
+    content = (_dictionary(samples, TRAINED) if samples else b"") + _words(marks, toxic_size)
+    model = Model((_dictionary(lines, TRAINED) if lines else b"") + _words(counted, ordinary_size), content, 1.0)
     held = [(model.distance(x), y) for texts_, y in ((toxic[1::2], 1), (ordinary[1::2], 0)) for x in texts_]
     # The threshold of the best F1, from 2 bytes up; ties: the higher one.
     best = (-1.0, 0)
