@@ -298,3 +298,17 @@ def test_secrets(spark):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, net).collect()}
     assert "[SECRET]" in clean[0] and hexes[0] not in clean[0] and clean[507] is None and clean[503] == hard[3]
     assert secrets.scan(df.where("doc_id < 0"), secrets.fit(df.where("doc_id < 0"))).count() == 0
+
+
+def test_secret_candidates_whole():
+    text = "before " + "folder/" * 30 + "k3y" * 12 + " after the key"
+    (own,) = secrets.candidates(text)
+    seen = secrets.windows(text, *own)
+    codes = [max(ord(c), 31) - 30 for c in text[: own[1] + 10]]
+    assert all(any(codes[i : i + 8] == w[j : j + 8].tolist() for w in seen for j in range(secrets.WINDOW - 7)) for i in range(len(codes) - 7))
+    assert [text[s:e] for text in ("a qwertzuiopasdfgh b", "a abcde-fghij-klmno b") for s, e in secrets.candidates(text)] == ["qwertzuiopasdfgh", "abcde-fghij-klmno"]
+    # Where labels can't be told apart, recall asks for a threshold below one half.
+    rng = np.random.default_rng(15)
+    x, y = rng.integers(1, 98, (400, secrets.WINDOW)).astype(np.uint8), (rng.random(400) < 0.3).astype(np.float32)
+    net = secrets.Network.train(x, y, epochs=1)
+    assert net.threshold < 0.5
