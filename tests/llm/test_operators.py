@@ -275,8 +275,8 @@ def test_exact_links_in_blocks(spark):
                 parent[max(a, b)] = min(a, b)
     rows = spark.createDataFrame(list(enumerate(many)), "id long, text string")
     group = spark.createDataFrame([(i, int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)), 0) for i, x in enumerate(sets)], "node long, key long, label long")
-    for most in (1 << 20, 400):
-        label = {r["node"]: r["label"] for r in simhash.components(simhash.verified(rows, group, 5, 0.8, most)).collect()}
+    for most, block in ((1 << 20, 512), (400, 512), (1 << 20, 9)):
+        label = {r["node"]: r["label"] for r in simhash.components(simhash.verified(rows, group, 5, 0.8, most, block)).collect()}
         assert [label.get(i, i) for i in range(len(many))] == [simhash._find(parent, i) for i in range(len(many))]
 
 

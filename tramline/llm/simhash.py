@@ -231,7 +231,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     for _ in range(max_rounds):
         seen = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        lower = seen.where("lb < la").select(F.explode(F.array("a", "la")).alias("node"), F.col("lb").alias("label"))
+        # One row for each node first, however many edges a large group gives it.
+        seen = seen.where("lb < la").groupBy("a", "la").agg(F.min("lb").alias("lb"))
+        lower = seen.select(F.explode(F.array("a", "la")).alias("node"), F.col("lb").alias("label"))
         lowered = materialize(label.union(lower).groupBy("node").agg(F.min("label").alias("label")))
         followed = lowered.join(lowered.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.least("label", "next").alias("label"))
         followed = materialize(followed)
@@ -298,11 +300,11 @@ def _similar(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[n
     return np.array(heads, np.int64), np.array(tails, np.int64)
 
 
-def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: int = 1 << 20) -> DataFrame:
+def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: int = 1 << 20, block: int = 512) -> DataFrame:
     """(a, b): chains that connect all nodes of a group whose sets of shingles are similar by `least`.
 
     `rows`: (id, text). `group`: (node, key, label), the id and digest of the set of each node,
-    and its group. Groups of more than `most` shingles are dealt out in pairs of blocks.
+    and its group. Groups of more than `most` shingles, or `block` nodes, are dealt out in pairs of blocks.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +316,9 @@ def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: i
 
     found = rows.join(group, F.col("id") == F.col("node")).select("label", "node", "key", "text").mapInArrow(sets, "label long, node long, own binary")
     found = materialize(found)
-    large = materialize(found.groupBy("label").agg(F.sum(F.length("own") / 8).alias("count")).where(F.col("count") > most))
-    blocks = F.coalesce(F.ceil(F.col("count") / most).cast("int"), F.lit(1))
+    parts = F.greatest(F.ceil(F.sum(F.length("own") / 8) / most), F.ceil(F.count("*") / block)).cast("int")
+    large = materialize(found.groupBy("label").agg(parts.alias("parts")).where(F.col("parts") > 1))
+    blocks = F.coalesce("parts", F.lit(1))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
     dealt = found.join(large, "label", "left").select("label", "node", "own", F.explode(both).alias("p")).select("label", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "own")
