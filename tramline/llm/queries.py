@@ -25,7 +25,7 @@ def fold(mod: int, id_col: str = "doc_id") -> Column:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, then decoded."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+    out = sentencepieces.round_trip(table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -9,12 +9,14 @@ Two adjacent tokens are compatible if byte pair merging would leave both standin
 their merges from the latest one back, no earlier merge may join a part of the left token
 with a part of the right one.
 
-A null text is an empty one; an empty text has begin and end ids only.
+A null text is an empty one; an empty text has begin and end ids only. Rows are taken one by
+one, so repeated rows and ids give repeated results.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,18 +26,25 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import text_chunks, texts
+
 SPACE = "▁"
 #: Texts are cut where no piece crosses: before a run of spaces and around line feeds.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 FREE = 1 << 30
+#: Units held of either generation of the cache.
 CACHE = 200_000
 
 
 class PrefixTable(dict):
-    """Encoder of text units; as a dictionary, unit -> little-endian uint32 ids, bounded in size."""
+    """Encoder of text units; as a dictionary, unit -> little-endian uint32 ids, bounded in size.
+
+    A full cache becomes the old generation, from which units that are met again are taken back.
+    """
 
     def __init__(self, model_file: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = [i for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.id_of = {sp.id_to_piece(i): i for i in ids}
@@ -65,14 +74,16 @@ class PrefixTable(dict):
                     break
         automaton.make_automaton()
         self.automaton = automaton
+        self.size = [len(p) for p in self.text]
         self.ids = np.array([self.id_of[p] for p in self.text], np.uint32)
+        self.id_list = self.ids.tolist()
 
     def _add(self, piece: str, rank: int, parts: tuple[int, int], automaton) -> None:
         n = self.number[piece] = len(self.text)
         self.text.append(piece)
         self.rank.append(rank)
         self.parts.append(parts)
-        automaton.add_word(piece, (n, len(piece)))
+        automaton.add_word(piece, n)
 
     def _compatible(self, left: int, right: int, limit: int = FREE) -> bool:
         """Whether both stay when their joint text is merged with ranks below `limit`."""
@@ -91,26 +102,30 @@ class PrefixTable(dict):
 
     def known(self, text: str) -> list[int]:
         """Token numbers of a text whose characters are all pieces."""
-        last, pairs = [(-1, 0)] * len(text), self.pairs
-        for end, (token, size) in self.automaton.iter(text):
-            start = end - size
-            if start < 0:
-                last[end] = (token, size)
+        last, pairs, size = [-1] * len(text), self.pairs, self.size
+        done = -1
+        # Of the tokens that end at a place the longest comes first; once one is found, the rest can't be it.
+        for end, token in self.automaton.iter(text):
+            if end == done:
                 continue
-            before, own = last[start][0], pairs.get(key := last[start][0] << 20 | token)
-            if own is None:
-                if len(pairs) > 4 * CACHE:
-                    pairs.clear()
-                own = pairs[key] = self._compatible(before, token)
-            if own:
-                last[end] = (token, size)
+            start = end - size[token]
+            if start >= 0:
+                own = pairs.get(key := last[start] << 20 | token)
+                if own is None:
+                    if len(pairs) > 4 * CACHE:
+                        pairs.clear()
+                    own = pairs[key] = self._compatible(last[start], token)
+                if not own:
+                    continue
+            last[end] = token
+            done = end
         out, at = [], len(text) - 1
         while at >= 0:
-            token, size = last[at]
-            if not size:
+            token = last[at]
+            if token < 0:
                 raise ValueError(f"no token ends at {at} of {text!r}")
             out.append(token)
-            at -= size
+            at -= size[token]
         return out[::-1]
 
     def _run(self, n: int) -> list[int]:
@@ -137,16 +152,20 @@ class PrefixTable(dict):
         for at, c in enumerate(unit):
             if c not in self.number:
                 if at > start:
-                    ids += self.ids[self.known(unit[start:at])].tolist()
+                    ids += [self.id_list[t] for t in self.known(unit[start:at])]
                 ids += [self.byte_of[c.encode()[i : i + 1]] for i in range(len(c.encode()))]
                 start = at + 1
         if start < len(unit):
-            ids += self.ids[self.known(unit[start:])].tolist()
+            ids += [self.id_list[t] for t in self.known(unit[start:])]
         return ids
 
     def __missing__(self, unit: str) -> bytes:
-        out = np.array(self._unit(unit), "<u4").tobytes()
+        out = self.old.get(unit)
+        if out is None:
+            ids = self._unit(unit)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         if len(unit) < 64:
             self[unit] = out
@@ -158,6 +177,15 @@ class PrefixTable(dict):
         body = map(self.__getitem__, UNIT.findall(SPACE + text.replace(" ", SPACE))) if text else ()
         return edge[0] + b"".join(body) + edge[1]
 
+    def decode(self, many: list[bytes]) -> list[str]:
+        """The texts that the library makes of little-endian uint32 ids."""
+        some = [i for i, x in enumerate(many) if x]
+        out = [""] * len(many)
+        if some:
+            for i, text in zip(some, self.library.decode([np.frombuffer(many[i], "<u4").tolist() for i in some]), strict=True):
+                out[i] = text
+        return out
+
 
 _tables: dict[str, PrefixTable] = {}
 
@@ -169,13 +197,27 @@ def table(model_file: str) -> PrefixTable:
     return _tables[model_file]
 
 
+def round_trip(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) as `decode` of `encode` gives them, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table(model_file)
+        for batch in text_chunks(batches):
+            ids = [own.encode(x) for x in texts(batch)]
+            columns = [batch[0], pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
+
+
 def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as binary, little-endian uint32, begin and end ids included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table(model_file)
-        for batch in batches:
-            ids = pa.array((own.encode(x.as_py() or "") for x in batch[1]), pa.binary(), size=batch.num_rows)
+        for batch in text_chunks(batches):
+            ids = pa.array([own.encode(x) for x in texts(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch[0], ids], names=["id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -186,10 +228,10 @@ def decode(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str
     """(id, ids, decoded): the text that the library makes of all ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = table(model_file).library
-        for batch in batches:
-            decoded = (library.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) or "" for x in batch[1])
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(decoded, pa.string(), size=batch.num_rows)], names=["id", "ids", "decoded"])
+        own = table(model_file)
+        for batch in text_chunks(batches, "ids"):
+            decoded = own.decode([x or b"" for x in batch[1].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
