@@ -6,7 +6,8 @@ counts only if the stored full string equals the candidate, so equal digests do
 
 A key fits its host and all subdomains, if the url's path starts with the key's path. Among
 fitting rules the longest wins; where no rule fits, a listed key blocks. A null url, or one
-without `://`, has an empty host and path, fits nothing and is allowed.
+without `://`, has an empty host and path, fits nothing and is allowed. Rows are judged one by
+one, so repeated rows and ids give repeated results.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import text_chunks
+
 #: The key list is sent to the workers up to this many characters; a longer one is joined instead.
 MAX_SENT_CHARS = 64_000_000
 
@@ -41,7 +44,9 @@ class DigestArray:
     def __init__(self, keys: Iterable[str]):
         strings = sorted(set(keys), key=lambda k: (xxhash.xxh64_intdigest(k), k))
         self.strings = np.array(strings, object)
+        #: Sizes of the keys' paths, and the longest host among them.
         self.sizes = sorted({len(k) - k.index("/") for k in strings})
+        self.longest = max((k.index("/") for k in strings), default=0)
         digests = np.array([xxhash.xxh64_intdigest(k) for k in strings], np.uint64)
         self.file = tempfile.TemporaryFile()
         self.file.write(digests.tobytes() or bytes(8))
@@ -64,11 +69,25 @@ class DigestArray:
         return hit
 
 
-def candidates(host: str, path: str, sizes: Sequence[int]) -> list[str]:
-    """Each suffix of the host from a label's start, with each prefix of the path of a listed size."""
-    labels = host.split(".")
-    ends = [".".join(labels[i:]) for i in range(len(labels))]
-    return [e + path[:n] for e in ends for n in sizes if n <= len(path) and (n or not path)]
+def candidates(host: str, path: str, sizes: Sequence[int], longest: int) -> list[str]:
+    """Each suffix of the host from a label's start, `longest` characters at most, with each prefix of the path of a listed size."""
+    ends, at = [host] if len(host) <= longest else [], max(0, len(host) - longest - 1)
+    while (at := host.find(".", at) + 1) > 0:
+        ends.append(host[at:])
+    starts = [path[:n] for n in sizes if 0 < n <= len(path)]
+    return [e + s for e in ends for s in starts]
+
+
+_arrays: dict[tuple[int, str], DigestArray] = {}
+
+
+def array(keys: Sequence[str]) -> DigestArray:
+    """The digest array of these keys in this Python worker; one list is held at a time."""
+    name = len(keys), xxhash.xxh3_128_hexdigest("\n".join(keys))
+    if name not in _arrays:
+        _arrays.clear()
+        _arrays[name] = DigestArray(keys)
+    return _arrays[name]
 
 
 def judge(df: DataFrame, rules: dict[str, str], blocked: Sequence[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -81,9 +100,9 @@ def judge(df: DataFrame, rules: dict[str, str], blocked: Sequence[str], id_col:
     order = {k: (len(k), k) for k in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = DigestArray([*rules, *blocked])
-        for batch in batches:
-            probes = [candidates(h, p, own.sizes) for h, p in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True)]
+        own = array([*rules, *blocked])
+        for batch in text_chunks(batches, "path"):
+            probes = [candidates(h, p, own.sizes, own.longest) for h, p in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True)]
             flat = np.array([k for keys in probes for k in keys], object)
             row = np.repeat(np.arange(batch.num_rows), [len(keys) for keys in probes])
             hit = own.found(flat)
@@ -108,10 +127,13 @@ def judge_joined(df: DataFrame, keys: DataFrame, id_col: str = "page_id", url_co
 
     (id, url) identify a row; repeated rows give one result row.
     """
-    sizes = F.broadcast(keys.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().agg(F.collect_set("n").alias("sizes")))
+    at = F.instr("key", "/")
+    sizes = F.broadcast(keys.agg(F.collect_set(F.length("key") - at + 1).alias("sizes"), F.max(at - 1).alias("longest")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Only the end of a host that a key can reach is cut at its dots, with what stands before it.
+    end = F.right("host", (F.col("longest") + 1).cast("int"))
+    dots = F.filter(F.sequence(F.lit(0), F.length(end)), lambda i: ((i == 0) & (F.length("host") <= F.col("longest"))) | ((i > 0) & (F.substring(end, i, F.lit(1)) == ".")))
+    ends = F.transform(dots, lambda i: F.substring(end, i + 1, F.length(end)))
     probes = (
         rows.crossJoin(sizes)
         .select("id", "url", "host", "path", F.explode(ends).alias("end"), "sizes")
