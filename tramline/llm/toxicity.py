@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on what sets toxic text
-apart (words that some toxic texts and, by share, few ordinary ones have; the floor is a
+apart (words whose start some toxic texts and, by share, few ordinary ones have; the floor is a
 number of texts, so that the words of rarer languages stay). Either one ends with all its
 words, the most frequent last. A window of text is compressed with either; its distance is
 the ordinary length less the toxic one. A text's largest distance is compared with a
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, texts
+from ._common import materialize, text_chunks, texts
 
 MARKER = bytes(range(128, 160))
 CACHE = 300_000
@@ -84,10 +84,10 @@ def _plain(text: str) -> str:
     return " " + " ".join(text.lower().split()) + " "
 
 
-def telling(toxic: list[str], ordinary: list[str], ratio: float = 20, least: int = 4) -> list[str]:
-    """Words in at least `least` toxic texts, `ratio` times as frequent there; the most frequent first."""
-    many, few = (Counter(w for x in own for w in dict.fromkeys(x.split())) for own in (toxic, ordinary))
-    return [w for w, n in many.most_common() if n >= least and n / len(toxic) >= ratio * (few[w] + 0.5) / max(1, len(ordinary))]
+def telling(toxic: list[str], ordinary: list[str], ratio: float = 20, least: int = 4, short: int = 4) -> set[str]:
+    """Starts of words, `short` characters and longer, in at least `least` toxic texts and `ratio` times as frequent there."""
+    many, few = (Counter(p for x in own for p in {w[:k] for w in set(x.split()) for k in range(short, len(w) + 1)}) for own in (toxic, ordinary))
+    return {p for p, n in many.items() if n >= least and n / len(toxic) >= ratio * (few[p] + 0.5) / max(1, len(ordinary))}
 
 
 def _words(own: list[str], size: int) -> bytes:
@@ -123,13 +123,14 @@ def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, ma
 def train(toxic: list[str], ordinary: list[str], toxic_size: int = 1 << 20, ordinary_size: int = 1 << 20) -> Model:
     """A model of labelled texts."""
     bad, good = [_plain(x) for x in toxic], [_plain(x) for x in ordinary]
-    marks = telling(bad[::2], good[::2]) if bad else []
-    told = set(marks)
-    samples = [f" {w} ".encode() for x in bad[::2] for w in x.split() if w in told]
+    told = telling(bad[::2], good[::2]) if bad else set()
+    tells = lambda w: any(w[:k] in told for k in range(1, len(w) + 1))
+    marks = [w for w, _ in Counter(w for x in bad[::2] for w in dict.fromkeys(x.split())).most_common() if tells(w)]
+    samples = [f" {w} ".encode() for x in bad[::2] for w in x.split() if tells(w)]
     words = [w.join("  ").encode() for x in good[::2] for w in x.split()]
     step = max(1, len(words) // 20_000)
     lines = [b" ".join(words[i : i + 4]) for i in range(0, len(words), 4 * step)]
-    counted = [w for w, _ in Counter(w for x in good[::2] for w in dict.fromkeys(x.split())).most_common() if w not in told]
+    counted = [w for w, _ in Counter(w for x in good[::2] for w in dict.fromkeys(x.split())).most_common() if not tells(w)]
     content = (_dictionary(samples, TRAINED) if samples else b"") + _words(marks, toxic_size)
     model = Model((_dictionary(lines, TRAINED) if lines else b"") + _words(counted, ordinary_size), content, 1.0)
     held = [(model.distance(x), y) for texts_, y in ((toxic[1::2], 1), (ordinary[1::2], 0)) for x in texts_]
@@ -147,7 +148,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """(id, distance, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             found = np.array([model.distance(x) for x in texts(batch)], np.int64)
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(found), pa.array([model.score(d) for d in found], pa.float64())], names=["id", "distance", "score"])
 
