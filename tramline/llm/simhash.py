@@ -5,8 +5,8 @@ bits some segment differs by one bit at most. Every fingerprint is indexed under
 with each of its bits as a wildcard; fingerprints that share an entry are verified against
 each other. Links of one entry leave the task as a chain through each linked set, not as
 pairs; entries above `block` fingerprints are dealt out in pairs of blocks, so none is ever
-gathered whole and no link is lost. Components come from the chains by label propagation with
-shortcuts, every round written to the shared folder.
+gathered whole and no link is lost. Components come from the chains by contraction, every round
+written to the shared folder.
 
 Links may further be verified by more lanes of 64 bits, made from the same shingle hashes:
 then all lanes together must differ in `total` bits at most. `keep_one` takes such links as
@@ -98,13 +98,17 @@ def segments(bits: int) -> list[tuple[int, int]]:
 
 
 def _entries(own: DataFrame, bits: int) -> DataFrame:
-    """(entry, node, bits): one row for each segment and wildcard of every fingerprint."""
-    made = []
+    """(entry, node, bits): one row for each segment and wildcard of every fingerprint.
+
+    An entry is the wildcard's bit above the segment's value, as far as both fit in 63 bits, so that rows compress.
+    """
+    made, widest = [], max(size for _, size in segments(bits))
     for first, size in segments(bits):
         value = F.shiftrightunsigned("bits", first).bitwiseAND((1 << size) - 1 if size < 64 else -1)
         for at in range(size):
             made.append(F.struct(F.lit(first + at).alias("w"), value.bitwiseAND(((1 << size) - 1) ^ (1 << at) if size < 64 else ~(1 << at) if at < 63 else (1 << 63) - 1).alias("v")))
-    return own.select("*", F.explode(F.array(*made)).alias("e")).select(F.xxhash64("e.w", "e.v").alias("entry"), *own.columns)
+    entry = F.shiftleft(F.col("e.w").cast("long"), widest).bitwiseOR(F.col("e.v")) if widest <= 57 else F.xxhash64("e.w", "e.v")
+    return own.select("*", F.explode(F.array(*made)).alias("e")).select(entry.alias("entry"), *own.columns)
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -224,26 +228,41 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each node's component, for all nodes of `edges` (a, b).
 
-    Each round lowers the label of every node, and of its label's node, to the smallest label
-    seen across its edges, then follows labels once. It ends when nothing changes.
+    Each round hangs every node below its smallest neighbour, if that is smaller than itself,
+    follows these links to their roots, and keeps the edges between different roots only. So edges
+    are joined about once, however large a group is; what is left after a round are its smallest
+    nodes. It ends when no edge is left.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    rest = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    label = None
     for _ in range(max_rounds):
-        seen = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        # One row for each node first, however many edges a large group gives it.
-        seen = seen.where("lb < la").groupBy("a", "la").agg(F.min("lb").alias("lb"))
-        lower = seen.select(F.explode(F.array("a", "la")).alias("node"), F.col("lb").alias("label"))
-        lowered = materialize(label.union(lower).groupBy("node").agg(F.min("label").alias("label")))
-        followed = lowered.join(lowered.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.least("label", "next").alias("label"))
-        followed = materialize(followed)
-        moved = followed.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        label = followed
-        if not moved:
+        # The smaller end of each edge is a root until it hangs below another itself.
+        hung = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        roots = _followed(materialize(hung.unionByName(rest.select(F.col("a").alias("node"), F.col("a").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))), max_rounds)
+        if label is None:
+            label = roots
+        else:
+            up = roots.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            label = materialize(label.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        for end in ("a", "b"):
+            rest = rest.join(roots.select(F.col("node").alias(end), F.col("label").alias("_root")), end).withColumn(end, F.col("_root")).drop("_root")
+        rest = materialize(rest.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if rest.isEmpty():
             return label
     raise RuntimeError("components did not settle")
 
 
+def _followed(label: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, label) with every link followed to its end; the way halves in each round."""
+    for _ in range(max_rounds):
+        up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        nearer = materialize(label.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
+        label = nearer.select("node", "label")
+        if nearer.where("moved").isEmpty():
+            return label
+    raise RuntimeError("links did not end")
+
+
 def linked(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, total: int = 0) -> DataFrame:
     """(id, bits[, more], component_id): each document's fingerprint and the smallest id reachable by links."""
     lanes_ = ["bits", "more"] if total else ["bits"]
