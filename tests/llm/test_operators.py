@@ -43,7 +43,9 @@ def test_sentencepieces(docs):
     for doc, text in rows_of(docs):
         ids = library.encode(text, add_bos=True, add_eos=True)
         assert np.frombuffer(got[doc]["ids"], "<u4").tolist() == ids and got[doc]["decoded"] == library.decode(ids)
-    assert sentencepieces.decode(sentencepieces.encode(empty(docs), model), model).count() == 0
+    both = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentencepieces.round_trip(docs, model).collect()}
+    assert both == {k: (r["ids"], r["decoded"]) for k, r in got.items()}
+    assert sentencepieces.decode(sentencepieces.encode(empty(docs), model), model).count() == sentencepieces.round_trip(empty(docs), model).count() == 0
     rng, own = random.Random(1), sentencepieces.table(model)
     for _ in range(2000):
         text = "".join(rng.choices([*"aeinrst ▁\n\r\t.,;(){}é漢😀", "   ", "the", "----", "()\r"], k=rng.randint(0, 30)))
@@ -71,10 +73,22 @@ def test_urls(spark):
     assert got == {i: one(u) for i, u in enumerate(rows)}
     keys = spark.createDataFrame([(k, v, True) for k, v in rules.items()] + [("spam.net/", "block", False)], "key string, verdict string, is_rule boolean")
     assert {r["page_id"]: tuple(r)[1:5] for r in urls.judge_joined(df, keys).collect()} == got
+    assert urls.judge(df.where("page_id < 0"), rules, []).count() == urls.judge_joined(df.where("page_id < 0"), keys).count() == 0
     own = urls.DigestArray(["a/", "b/x"])
     assert own.found(np.array(["a/", "b/", "b/x", "c/"], object)).tolist() == [True, False, True, False]
 
 
+def test_urls_long_hosts_and_lists(spark):
+    listed = [f"h{i}.example.net/" for i in range(200_000)]
+    hosts = ["a." * 50_000 + "h7.example.net", "h199999.example.net", "xh3.example.net", "b" * 100_000, "." * 1000, "h5.example.net." * 2]
+    df = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    expected = ["block", "block", "allow", "allow", "allow", "allow"]
+    assert [r["verdict"] for r in urls.judge(df, {}, listed).orderBy("page_id").collect()] == expected
+    keys = spark.createDataFrame([(k, "block", False) for k in listed[:10] + listed[-1:]], "key string, verdict string, is_rule boolean")
+    assert [r["verdict"] for r in urls.judge_joined(df, keys).orderBy("page_id").collect()] == expected
+    assert sum(map(len, urls.candidates(hosts[0], "/p", [1], 19))) < 500
+
+
 def test_url_digest_collisions(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda k: len(k))
     own = urls.DigestArray(["aa/", "bb/", "cc/"])
@@ -92,9 +106,43 @@ def test_fingerprints(spark, docs):
     v = lambda x: fingerprints.vector(F.lit(x))
     r = spark.range(1).select(
         (v("a b.\nc d") == v("c d\n\na b.")).alias("order"), (fingerprints.add(v("x y"), v("z")) == v("z\nx y")).alias("add"), (fingerprints.subtract(v("z\nx y"), v("z")) == v("x y")).alias("sub"),
-        fingerprints.likeness(v("a. b. c."), v("a. b. c.")).alias("same"), (v("a\na") != v("a")).alias("multi"),
+        fingerprints.likeness(v("a. b. c."), v("a. b. c.")).alias("same"), (v("a\na") != v("a")).alias("multi"), (v("x\n  y") == v("  y\nx")).alias("blanks"), (fingerprints.add(v("x"), v("  y")) == v("x\n  y")).alias("add_blanks"),
+        (fingerprints.subtract(fingerprints.add(v("a. b."), v("c! d")), v("c! d")) == v("a. b.")).alias("back"), fingerprints.likeness(v(""), v("a")).alias("none"),
     ).first()
-    assert r["order"] and r["add"] and r["sub"] and r["same"] == 1 and r["multi"]
+    assert r["order"] and r["add"] and r["sub"] and r["same"] == 1 and r["multi"] and r["blanks"] and r["add_blanks"] and r["back"] and r["none"] == 0
+
+
+def test_fingerprint_likeness(spark):
+    rng = random.Random(31)
+    rows, truth = [], []
+    for i in range(80):
+        n, k = rng.randint(10, 200), rng.random()
+        a = [f"sentence {rng.randrange(10**9)}" for _ in range(n)]
+        b = a[: int(n * k)] + [f"sentence {rng.randrange(10**9)}" for _ in range(n - int(n * k))]
+        rng.shuffle(b)
+        rows.append((i, ". ".join(a), "\n".join(b)))
+        truth.append(int(n * k) / n)
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = [r[0] for r in df.orderBy("i").select(fingerprints.likeness(fingerprints.vector(F.col("a")), fingerprints.vector(F.col("b")))).collect()]
+    error = np.abs(np.array(got) - truth)
+    assert error.mean() < 0.06 and error.max() < 0.25
+
+
+def test_fingerprint_of_many_sentences(spark):
+    # More than fit into a field of 16 bits.
+    r = spark.range(1).select(fingerprints.vector(F.repeat(F.lit("a. "), 70_000)).alias("x"), fingerprints.vector(F.lit("a. ")).alias("y")).first()
+    one = [(p & 0x7FFFFFFF, p >> 32) for p in r["y"]["sentences"]]
+    assert r["x"]["n"] == 70_000 and [(p & 0x7FFFFFFF, p >> 32) for p in r["x"]["sentences"]] == [(70_000 * a, 70_000 * b) for a, b in one]
+
+
+def test_next_of_sparse_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MOST", 5)
+    rng = random.Random(33)
+    ids = [*range(40), *(rng.randrange(-(1 << 62), 1 << 62) for _ in range(40)), 10**12, 10**12 + 1]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
 
 
 def test_media(docs):
@@ -123,6 +171,44 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(df, none).collect()} == {"und"}
 
 
+def test_language_blocks(monkeypatch):
+    texts = [x or "" for x in TEXTS] + ["ab, cd! " * 500 + "İΣσ" * 50, "x" * 5000 + "... " * 300 + "y"]
+
+    def grams():
+        rows, hashes = (np.concatenate(x) for x in zip(*language.ngrams(texts), strict=True))
+        return sorted(zip(rows.tolist(), hashes.tolist(), strict=True))
+
+    whole = grams()
+    monkeypatch.setattr(language, "BLOCK", 61)
+    assert grams() == whole
+
+
+def test_language_many(spark):
+    rng = random.Random(21)
+    kinds = {f"l{i:03}": rng.sample([chr(c) for c in range(0x3B1, 0x3C9)] + list("abcdefghijklmnopqrstuvwxyz"), 6) for i in range(70)}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=4)) for _ in range(30)), k) for i, k in enumerate(list(kinds) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id % 8 <> 7"))
+    assert model.words.shape[0] == 2 and len(model.names) == 70 and 0 < model.least < 1
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, model).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows if i % 8 == 7]) >= 0.9
+    foreign = spark.createDataFrame([(1, "一二三 四五六 七八九 " * 20, "zz", 1), (2, rows[0][1], None, 2), (2, rows[0][1], None, 2)], "doc_id long, text string, lang string, score int")
+    assert [r["doc_id"] for r in language.keep_known(foreign, model).collect()] == [2, 2]
+
+
+def test_language_memory():
+    import tracemalloc
+
+    filters = language.Filters.build({"a": np.arange(1000, dtype=np.uint64), "b": np.arange(500, 1500, dtype=np.uint64)})
+    text = "lorem ipsum dolor sit amet, " * 720_000
+    tracemalloc.start()
+    filters.shares([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Some copies of the text of 20 million characters, and one block's arrays.
+    assert peak < 5 * len(text) + (1 << 26)
+
+
 def test_packing(spark, docs):
     file = public_tokenizers.path("byte_bpe_50k.json")
     ids = packing.Ids(file)
@@ -216,6 +302,14 @@ def test_simhash_dense_groups(spark):
             a, b = simhash._find(parent, i), simhash._find(parent, j)
             parent[max(a, b)] = min(a, b)
     expected = {i: simhash._find(parent, i) for i in range(len(values))}
+    pairs = [(int(x), int(y)) for x, y in rng.integers(0, 400, (500, 2))] + [(500 + i, 501 + i) for i in range(60)] + [(700, 700 + i) for i in range(1, 80)]
+    graph = {i: i for p in pairs for i in p}
+    own = list(range(900))
+    for a, b in pairs:
+        a, b = simhash._find(own, a), simhash._find(own, b)
+        own[max(a, b)] = min(a, b)
+    label = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {i: label.get(i, i) for i in graph} == {i: simhash._find(own, i) for i in graph}
     for block in (4096, 7):
         label = {r["node"]: r["label"] for r in simhash.components(simhash.links(df, 4, block)).collect()}
         assert {i: label.get(i, i) for i in expected} == expected
@@ -295,16 +389,56 @@ def test_secrets(spark):
     x = np.array([secrets.window(f"the token {h} was", 10, 50) for h in hexes[:20]] + [secrets.window(f"see mail{i}.example.com now", 4, 21) for i in range(20)])
     scores = net.scores(x)
     assert scores[:20].mean() > scores[20:].mean()
+    # The same rows in other partitions give the same network.
+    again = secrets.fit(df.repartition(7))
+    assert again.threshold == net.threshold and np.array_equal(again.output, net.output)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, net).collect()}
     assert "[SECRET]" in clean[0] and hexes[0] not in clean[0] and clean[507] is None and clean[503] == hard[3]
     assert secrets.scan(df.where("doc_id < 0"), secrets.fit(df.where("doc_id < 0"))).count() == 0
 
 
+def test_secrets_beyond_patterns(spark):
+    """Tokens of kinds that no pattern finds are added; addresses, names and numbers are not."""
+    rng = random.Random(41)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["".join(rng.choices(["ba", "ne", "ri", "to", "ul", "sch", "ing", "ent"], k=rng.randint(2, 7))) for _ in range(3000)]
+    rows = []
+    for i in range(1200):
+        own = rng.choices(words, k=50)
+        own[rng.randrange(50)] = rng.choice((f"mail{i}.example.com", f"10.20.{i % 200}.{i % 250}"))
+        if i % 3 == 0:
+            own[rng.randrange(50)] = f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"'
+        rows.append((i, " ".join(own)))
+    net = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    planted, clean = [], []
+    for i in range(300):
+        own = rng.choices(words, k=40)
+        at = rng.randrange(40)
+        clean.append((i, " ".join([*own, f"mail{i}.example.com", "192.168.10.200", "1700000000000"])))
+        own[at] = rng.choice(("ghp_", "", "sk-")) + "".join(rng.choices(letters, k=36))
+        planted.append((i, " ".join(own), own[at]))
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(planted, "doc_id long, text string, id string"), net).collect()}
+    hits = [any(text[s["start"] : s["end"]] == token for s in found[i]) for i, text, token in planted]
+    assert np.mean(hits) >= 0.9
+    wrong = [s for r in secrets.scan(spark.createDataFrame(clean, "doc_id long, text string"), net).collect() for s in r["spans"]]
+    assert len(wrong) <= 6
+
+
+def test_free_candidates():
+    rng = random.Random(43)
+    for _ in range(300):
+        base = sorted((s, 0, s + rng.randint(1, 9)) for s in rng.sample(range(60), rng.randint(0, 8)))
+        found, at = [], 0
+        while (at := at + rng.randint(1, 12)) < 60:
+            found.append((at, at := at + rng.randint(1, 6)))
+        assert secrets.free(found, base) == [not any(s < b_end and b < e for b, _, b_end in base) for s, e in found]
+
+
 def test_secret_candidates_whole():
     text = "before " + "folder/" * 30 + "k3y" * 12 + " after the key"
     (own,) = secrets.candidates(text)
     seen = secrets.windows(text, *own)
-    codes = [max(ord(c), 31) - 30 for c in text[: own[1] + 10]]
+    codes = [max(ord(c), 31) - 30 + secrets.CLASSES * (own[0] <= i < own[1]) for i, c in enumerate(text[: own[1] + 10])]
     assert all(any(codes[i : i + 8] == w[j : j + 8].tolist() for w in seen for j in range(secrets.WINDOW - 7)) for i in range(len(codes) - 7))
     assert [text[s:e] for text in ("a qwertzuiopasdfgh b", "a abcde-fghij-klmno b") for s, e in secrets.candidates(text)] == ["qwertzuiopasdfgh", "abcde-fghij-klmno"]
     # Where labels can't be told apart, recall asks for a threshold below one half.

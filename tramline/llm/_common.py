@@ -19,9 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder used.
+    Where that setting is absent, a temporary folder is used on a single machine; on a cluster this is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tramline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tramline-")
     return f"{base.rstrip('/')}/tramline-{uuid.uuid4().hex}"
 
 
