@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that the raw formats use for each sensor.
-US_NAMES = {"accelerometer": "accelerometer", "linear_acceleration": "accelerometer", "gyroscope": "gyroscope", "gyroscope_uncalibrated": "gyroscope", "magnetic_field": "magnetometer", "magnetic_field_uncalibrated": "magnetometer", "magnetometer": "magnetometer", "pressure": "pressure"}
-NOR_NAMES = {"accelerometer": "accelerometer", "devicemotion": "accelerometer", "gyroscope": "gyroscope", "magnetometer": "magnetometer", "magnetic_field": "magnetometer"}
+US_NAMES = {"accelerometer": "accelerometer", "gyroscope": "gyroscope", "magnetic_field": "magnetometer", "magnetometer": "magnetometer", "pressure": "pressure"}
+NOR_NAMES = {
+    "android.sensor.accelerometer": "accelerometer", "cmaccelerometerdata": "accelerometer", "android.sensor.gyroscope": "gyroscope", "cmgyrodata": "gyroscope",
+    "android.sensor.magnetic_field": "magnetometer", "cmmagnetometerdata": "magnetometer",
+}
 STANDARD_GRAVITY = 9.80665
 KILOPASCAL_IN_HECTOPASCAL = 10.0
 
@@ -49,7 +52,7 @@ def iso_ms(x: Column) -> Column:
 
 def filled(x: Column) -> Column:
     """Null for empty text."""
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(x, F.lit(""))
 
 
 def magnitude(columns: tuple[str, ...]) -> Column:
@@ -59,8 +62,8 @@ def magnitude(columns: tuple[str, ...]) -> Column:
 
 
 def hms(seconds: Column) -> Column:
-    """HH:MM:SS of whole seconds, hours unbounded."""
-    s = F.floor(seconds).cast("bigint")
+    """HH:MM:SS of the nearest second (halves to the even one), hours unbounded."""
+    s = F.bround(seconds.cast("double")).cast("bigint")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
 
 

@@ -23,9 +23,13 @@ def select_sessions(durations: DataFrame, seed: int) -> DataFrame:
     target = durations.groupBy("label").agg(F.sum("seconds").alias("s")).agg(F.min("s").alias("target"))
     key = S.shuffle_key(seed, "session_id")
     rounds = durations.withColumn("round", F.row_number().over(Window.partitionBy("label", "participant_id").orderBy(key, "session_id")))
-    done = Window.partitionBy("label").orderBy("round", "participant_id").rowsBetween(Window.unboundedPreceding, -1)
-    sofar = rounds.withColumn("before", F.coalesce(F.sum("seconds").over(done), F.lit(0.0)))
-    return sofar.crossJoin(F.broadcast(target)).where("before < target").drop("before")
+    # Sums before a session: those of whole rounds, and those within its round; no task sees all sessions of a label.
+    earlier = rounds.groupBy("label", "round").agg(F.sum("seconds").alias("_s"))
+    earlier = earlier.select("label", "round", (F.sum("_s").over(Window.partitionBy("label").orderBy("round")) - F.col("_s")).alias("_before"))
+    done = Window.partitionBy("label", "round").orderBy("participant_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = rounds.withColumn("before", F.coalesce(F.sum("seconds").over(done), F.lit(0.0)))
+    sofar = within.join(earlier, ["label", "round"]).withColumn("before", F.col("before") + F.col("_before")).drop("_before")
+    return sofar.select(*rounds.columns, "before").crossJoin(F.broadcast(target)).where("before < target").drop("before")
 
 
 def balance_durations(features: DataFrame, seed: int) -> DataFrame:

@@ -6,6 +6,8 @@ with the smallest tie key.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +16,12 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from . import windows as W
-from .sessions import session_stats
+from .sessions import filter_duration, session_stats
 
-#: Other names of the aggregates.
-ALIASES = {"min": "minimum", "max": "maximum", "avg": "mean", "std": "standard_deviation", "var": "variance", "iqr": "interquartile_range", "mad": "mean_absolute_deviation"}
+#: Other names of the aggregates, in lower case with spaces.
+ALIASES = {
+    "iqr": "interquartile_range", "max": "maximum", "min": "minimum", "std": "standard_deviation", "var": "variance", "dominant frequency": "dominant_frequency_hz",
+}
 BASIC = ("minimum", "maximum", "mean", "range", "variance", "standard_deviation")
 SHAPE = ("kurtosis", "interquartile_range")
 TIMED = ("delta_from_window_start", "delta_from_session_baseline", "mean_absolute_deviation", "mean_absolute_jerk", "jerk_standard_deviation")
@@ -25,6 +29,15 @@ SPECTRAL = ("spectral_energy", "dominant_frequency_hz", "spectral_entropy")
 AGGREGATES = (*BASIC, *SHAPE, *TIMED, *SPECTRAL, "mean_axis_correlation")
 
 
+def normal_name(aggregate: str) -> str:
+    """The one name of an aggregate, whatever its case, blanks, hyphens or alias; unknown ones are an error."""
+    words = " ".join(re.split(r"[\s_-]+", str(aggregate).strip().lower()))
+    out = ALIASES.get(words, words.strip().replace(" ", "_"))
+    if out not in AGGREGATES:
+        raise ValueError(f"unsupported aggregate {aggregate!r}; supported: {', '.join(sorted(AGGREGATES))}")
+    return out
+
+
 def first_per_time(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
     """One row for each (keys, timestamp_ms): that of the smallest tie key."""
     own = Window.partitionBy(*keys, "timestamp_ms").orderBy(*tie)
@@ -39,9 +52,9 @@ def kurtosis(v: str = "v") -> Column:
     return F.coalesce(F.when(F.isnan(fixed), None).otherwise(fixed), F.lit(0.0))
 
 
-def statistics(rows: DataFrame, keys: list[str], names: tuple[str, ...] = (*BASIC, *SHAPE, *TIMED), carried: tuple[str, ...] = ()) -> DataFrame:
-    """Aggregates of column v over time for each key. `rows`: keys, timestamp_ms, v[, baseline]; `carried` columns are constant in a key."""
-    names = tuple(ALIASES.get(n, n) for n in names)
+def statistics(rows: DataFrame, keys: list[str], names: tuple[str, ...] = (*BASIC, *SHAPE, *TIMED), series: str | None = None) -> DataFrame:
+    """Aggregates of column v over time for each key. `rows`: keys, timestamp_ms, v[, baseline]. With `series`, a column of the sorted samples too."""
+    names = tuple(normal_name(n) for n in names)
     order = Window.partitionBy(*keys).orderBy("timestamp_ms")
     if {"mean_absolute_jerk", "jerk_standard_deviation"} & set(names):
         seconds = (F.col("timestamp_ms") - F.lag("timestamp_ms").over(order)) / 1000.0
@@ -59,7 +72,8 @@ def statistics(rows: DataFrame, keys: list[str], names: tuple[str, ...] = (*BASI
         "mean_absolute_jerk": F.coalesce(F.avg(F.abs("_j")), F.lit(0.0)) if "_j" in rows.columns else None,
         "jerk_standard_deviation": F.coalesce(F.stddev_pop("_j"), F.lit(0.0)) if "_j" in rows.columns else None,
     }
-    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], F.count("v").alias("n"), *[known[n].alias(n) for n in names])
+    collected = [F.sort_array(F.collect_list(F.struct("timestamp_ms", "v"))).alias(series)] if series else []
+    return rows.groupBy(*keys).agg(F.count("v").alias("n"), *[known[n].alias(n) for n in names], *collected)
 
 
 def spectrum(times: np.ndarray, values: np.ndarray) -> tuple[float, float, float]:
@@ -90,18 +104,30 @@ def _spectra(times: pd.Series, values: pd.Series) -> pd.DataFrame:
 
 def spectral(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The spectral features of column v for each key; a window's samples are bounded by its length."""
-    series = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("timestamp_ms", "v"))).alias("s"))
-    return series.select(*keys, _spectra(F.col("s.timestamp_ms"), F.col("s.v")).alias("x")).select(*keys, "x.*")
+    return with_spectra(statistics(rows, keys, (), "_series"), "_series").drop("n")
+
+
+def with_spectra(df: DataFrame, series: str) -> DataFrame:
+    """`df` with the spectral features of a column of sorted samples in its place."""
+    kept = [c for c in df.columns if c != series]
+    return df.select(*kept, _spectra(F.col(f"{series}.timestamp_ms"), F.col(f"{series}.v")).alias("_x")).select(*kept, "_x.*")
+
+
+def _axis_sums(axes: tuple[str, ...], name: str) -> tuple[list[Column], Column]:
+    """Aggregates, and what they give: the mean absolute correlation over pairs of axes."""
+    good = S.magnitude(axes).isNotNull()
+    own = {a: F.when(good, F.col(a)) for a in axes}
+    pairs = [(own[a], own[b]) for i, a in enumerate(axes) for b in axes[i + 1 :]]
+    each = [F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"_{name}_{i}") for i, (a, b) in enumerate(pairs)]
+    known = F.filter(F.array(*[F.col(f"_{name}_{i}") for i in range(len(each))]), lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = F.aggregate(known, F.lit(0.0), lambda t, x: t + x) / F.greatest(F.size(known), F.lit(1))
+    return [F.count_if(good).alias(f"_{name}_n"), *each], F.when((F.col(f"_{name}_n") < 2) | (F.size(known) == 0), 0.0).otherwise(mean)
 
 
 def axis_correlation(rows: DataFrame, keys: list[str], axes: tuple[str, str, str]) -> DataFrame:
     """(keys, mean_axis_correlation): mean absolute Pearson over the pairs of axes, constant axes left out, else 0."""
-    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]
-    each = [F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))) for a, b in pairs]
-    made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[e.alias(f"_{i}") for i, e in enumerate(each)])
-    known = F.filter(F.array(*[F.col(f"_{i}") for i in range(len(each))]), lambda x: x.isNotNull() & ~F.isnan(x))
-    mean = F.aggregate(known, F.lit(0.0), lambda t, x: t + x) / F.greatest(F.size(known), F.lit(1))
-    return made.select(*keys, F.when((F.col("_n") < 2) | (F.size(known) == 0), 0.0).otherwise(mean).alias("mean_axis_correlation"))
+    sums, mean = _axis_sums(axes, "axis")
+    return rows.groupBy(*keys).agg(*sums).select(*keys, mean.alias("mean_axis_correlation"))
 
 
 def baselines(events: DataFrame, sensors: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -116,41 +142,55 @@ def baselines(events: DataFrame, sensors: dict[str, tuple[str, ...]]) -> DataFra
     return events.groupBy("session_id").agg(*made) if made else events.select("session_id").distinct()
 
 
-def feature_name(sensor: str, aggregate: str, context_ms: int, window_ms: int) -> str:
-    """sensor#aggregate, with @<seconds>s for a context shorter than the window."""
-    return f"{sensor}#{aggregate}" + ("" if context_ms == window_ms else f"@{context_ms / 1000:g}s")
+def feature_name(sensor: str, aggregate: str, context_ms: int, single: bool) -> str:
+    """sensor#aggregate@<seconds>s; without the seconds where the whole window is the single context."""
+    return f"{sensor}#{aggregate}" + ("" if single else f"@{context_ms / 1000:g}s")
 
 
 def window_features(
-    events: DataFrame, sensors: dict[str, tuple[str, ...]], window_ms: int, step_ms: int, contexts_ms: list[int] | None = None,
-    aggregates: tuple[str, ...] = BASIC, rates: dict[str, float] | None = None, max_gap_ms: int | None = None, tie: tuple[str, ...] = (),
+    events: DataFrame, sensors: dict[str, tuple[str, ...]], window_ms: int, step_ms: int, contexts_ms: list[int] | None = None, aggregates: tuple[str, ...] | dict[str, tuple[str, ...]] = BASIC,
+    rates: dict[str, float] | None = None, max_gap_ms: int | None = None, tie: tuple[str, ...] = (), seconds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """One wide row for each window that passes the gate: identity of its first row, then float features by name."""
-    aggregates = tuple(ALIASES.get(a, a) for a in aggregates)
+    """One wide row for each window that passes the gate: identity of its first row, then float features by name.
+
+    `aggregates`: names for all sensors, or for each of them. `seconds`: bounds of a session's
+    length; others are left out before anything is windowed, so that no session is too large.
+    """
+    named = {s: tuple(normal_name(a) for a in (aggregates[s] if isinstance(aggregates, dict) else aggregates)) for s in sensors}
+    every = list(dict.fromkeys(a for own in named.values() for a in own))
     contexts = contexts_ms or [window_ms]
+    events = events.where("session_id IS NOT NULL AND timestamp_ms IS NOT NULL")
+    if seconds:
+        events = filter_duration(events, *seconds)
     # One exchange by session serves statistics, baselines and windows.
-    events = events.where("session_id IS NOT NULL AND timestamp_ms IS NOT NULL").repartition("session_id")
+    events = events.repartition("session_id")
     assigned = W.assign_windows(events, session_stats(events, step_ms), window_ms, step_ms)
     rows = W.with_contexts(assigned, contexts)
-    gate = W.quality_gate(rows, {s: c[0] for s, c in sensors.items()}, contexts, rates, max_gap_ms)
+    gate = W.quality_gate(rows, sensors, contexts, rates, max_gap_ms)
     keys = ["session_id", "window_start_ms"]
     ids = [c for c in ("domain", "participant_id", "device_id", "trip_id", "group_id", "vehicle_type", "label", "phone_position") if c in events.columns]
     out = assigned.groupBy(*keys).agg(F.min_by(F.struct(*ids, "window_end_ms"), F.struct("timestamp_ms", *tie)).alias("_id")).select(*keys, "_id.*").join(gate, keys, "left_semi")
-    base = baselines(events, sensors)
-    for sensor, columns in sensors.items():
-        own = rows.withColumn("v", S.magnitude(columns)).where("v IS NOT NULL")
-        own = first_per_time(own, [*keys, "context_ms"], [*tie, "v"])
-        if f"baseline_{sensor}" in base.columns:
-            own = own.join(base.select("session_id", F.col(f"baseline_{sensor}").alias("baseline")), "session_id")
-        plain = [a for a in aggregates if a not in (*SPECTRAL, "mean_axis_correlation")]
-        found = statistics(own, [*keys, "context_ms"], tuple(plain))
-        if set(SPECTRAL) & set(aggregates):
-            found = found.join(spectral(own, [*keys, "context_ms"]), [*keys, "context_ms"])
-        if "mean_axis_correlation" in aggregates:
-            if len(columns) == 3:
-                found = found.join(axis_correlation(rows.where(S.magnitude(columns).isNotNull()), [*keys, "context_ms"], columns), [*keys, "context_ms"])
-            else:
-                found = found.withColumn("mean_axis_correlation", F.lit(0.0))
-        wide = [F.max(F.when(F.col("context_ms") == c, F.col(a))).cast("float").alias(feature_name(sensor, a, c, window_ms)) for c in contexts for a in aggregates]
-        out = out.join(found.groupBy(*keys).agg(*wide), keys)
-    return out
+    # All sensors' samples in one column, so that one pass gives the statistics of all.
+    one = [*keys, "context_ms", "_sensor"]
+    samples = F.explode(F.array(*[F.struct(F.lit(s).alias("_sensor"), S.magnitude(c).alias("v")) for s, c in sensors.items()]))
+    long = rows.select(*keys, "context_ms", "timestamp_ms", *tie, samples.alias("_x")).select("*", "_x.*").drop("_x").where("v IS NOT NULL")
+    long = first_per_time(long, one, [*tie, "v"])
+    if "delta_from_session_baseline" in every:
+        base = baselines(events, sensors)
+        own = F.array(*[F.struct(F.lit(c.removeprefix("baseline_")).alias("_sensor"), F.col(c).alias("baseline")) for c in base.columns if c != "session_id"])
+        if len(base.columns) > 1:
+            long = long.join(base.select("session_id", F.explode(own).alias("_b")).select("session_id", "_b.*"), ["session_id", "_sensor"], "left")
+    spectra = set(SPECTRAL) & set(every)
+    found = statistics(long, one, tuple(a for a in every if a not in (*SPECTRAL, "mean_axis_correlation")), "_series" if spectra else None)
+    found = with_spectra(found, "_series") if spectra else found
+    at = lambda s, c: (F.col("_sensor") == s) & (F.col("context_ms") == c)
+    plain = {(s, a, c): F.max(F.when(at(s, c), F.lit(0.0) if a == "mean_axis_correlation" else F.col(a))) for c in contexts for s in sensors for a in named[s]}
+    vectors = [s for s, c in sensors.items() if len(c) == 3 and "mean_axis_correlation" in named[s]]
+    if vectors:
+        sums = {s: _axis_sums(sensors[s], s) for s in vectors}
+        axes = rows.groupBy(*keys, "context_ms").agg(*[x for own, _ in sums.values() for x in own]).select(*keys, "context_ms", *[mean.alias(f"_axis_{s}") for s, (_, mean) in sums.items()])
+        found = found.join(axes, [*keys, "context_ms"])
+        plain |= {(s, "mean_axis_correlation", c): F.max(F.when(at(s, c), F.col(f"_axis_{s}"))) for s in vectors for c in contexts}
+    single = contexts == [window_ms]
+    wide = found.groupBy(*keys).agg(*[x.cast("float").alias(feature_name(s, a, c, single)) for (s, a, c), x in plain.items()])
+    return out.join(wide, keys)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from .splits import numbered
 
 
 def confusion(pred: DataFrame, labels: list[int], by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,21 +51,57 @@ def overall(conf: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def by_slice(pred: DataFrame, labels: list[int], columns: list[str]) -> DataFrame:
     """(slice, value, metrics) of all rows and of each value of each column, from one scan."""
-    sliced = pred.withColumn("_s", F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in columns])))
+    sliced = pred.withColumn("_s", F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])))
     rows = sliced.select("_s.slice", "_s.value", "truth", "prediction")
     return overall(confusion(rows, labels, ("slice", "value")), ("slice", "value"))
 
 
-def session_vote(pred: DataFrame, labels: list[int]) -> DataFrame:
-    """(session_id, truth, prediction, truths): argmax of the mean probabilities, the first on ties.
+def session_vote(pred: DataFrame, labels: list[int], strict: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, truth, prediction, truths, carried): argmax of the mean probabilities, the first on ties.
 
-    `pred` has `probabilities`, an array in the order of labels. truths is 1 unless a session mixes labels.
+    `pred` has `probabilities`, an array in the order of labels. truths is 1 unless a session mixes
+    labels; with `strict` that is an error when it is met. `carried` columns are their smallest values.
     """
     means = [F.avg(F.get("probabilities", F.lit(i))).alias(f"_p{i}") for i in range(len(labels))]
-    voted = pred.groupBy("session_id").agg(F.min("truth").alias("truth"), F.count_distinct("truth").alias("truths"), *means)
+    voted = pred.groupBy("session_id").agg(F.min("truth").alias("truth"), F.count_distinct("truth").alias("truths"), *means, *[F.min(c).alias(c) for c in carried])
+    if strict:
+        mixed = F.raise_error(F.concat(F.lit("more than one true label in session "), F.col("session_id")))
+        voted = voted.withColumn("truth", F.when(F.col("truths") > 1, mixed.cast("int")).otherwise(F.col("truth")))
     all_ = F.array(*[F.col(f"_p{i}") for i in range(len(labels))])
     at = F.array_position(all_, F.array_max(all_)).cast("int") - 1
-    return voted.select("session_id", "truth", F.get(F.array(*map(F.lit, labels)), at).alias("prediction"), "truths")
+    return voted.select("session_id", "truth", F.get(F.array(*map(F.lit, labels)), at).alias("prediction"), "truths", *carried)
+
+
+def counts(pred: DataFrame) -> DataFrame:
+    """(rows, groups, sessions, participants) of predictions."""
+    names = (("groups", "group_id"), ("sessions", "session_id"), ("participants", "participant_id"))
+    return pred.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(n) for n, c in names if c in pred.columns])
+
+
+def evaluation(pred: DataFrame, labels: list[int], iterations: int = 0, seed: int = 1, slices: tuple[str, ...] = ("phone_position", "participant_id")) -> DataFrame:
+    """(level, slice, value, metric, x, upper): every figure of a run as one long table.
+
+    Levels are windows and the votes of whole sessions. Figures are means, each class's
+    (metric@label), counts and, with `iterations`, participants' bootstrap intervals (x to upper).
+    """
+    slices = tuple(c for c in slices if c in pred.columns)
+    carried = tuple(dict.fromkeys((*slices, *[c for c in ("participant_id", "group_id") if c in pred.columns])))
+    out = None
+    for level, rows in (("window", pred), ("session", session_vote(pred, labels, strict=True, carried=carried))):
+        sliced = rows.select("truth", "prediction", F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in slices])).alias("_s")).select("_s.*", "truth", "prediction")
+        conf = confusion(sliced, labels, ("slice", "value"))
+        means, each, all_ = overall(conf, ("slice", "value")), class_report(conf, ("slice", "value")), counts(rows)
+        long = lambda df, names, suffix=F.lit(""): df.select(
+            *(F.col(c) if c in df.columns else F.lit("all").alias(c) for c in ("slice", "value")), F.explode(F.array(*[F.struct(F.concat(F.lit(m), suffix).alias("metric"), F.col(m).cast("double").alias("x")) for m in names])).alias("_m")
+        ).select("slice", "value", "_m.*", F.lit(None).cast("double").alias("upper"))
+        parts = [long(means, means.columns[2:]), long(each, ("precision", "recall", "f1", "support"), F.concat(F.lit("@"), F.col("label").cast("string"))), long(all_, [c for c in all_.columns if c != "rows"])]
+        if iterations and "participant_id" in rows.columns:
+            ci = bootstrap_ci(rows, labels, iterations, seed)
+            parts.append(ci.select(F.lit("all").alias("slice"), F.lit("all").alias("value"), F.concat(F.lit("ci95_"), "metric").alias("metric"), F.col("low").alias("x"), F.col("high").alias("upper")))
+        for part in parts:
+            own = part.select(F.lit(level).alias("level"), "slice", "value", "metric", "x", "upper")
+            out = own if out is None else out.unionByName(own)
+    return out
 
 
 def draw(seed: int, iteration: Column, place: Column, n: Column) -> Column:
@@ -79,8 +116,8 @@ def bootstrap_ci(pred: DataFrame, labels: list[int], iterations: int, seed: int,
     Only group-level confusion counts are drawn: iterations x groups x labels^2 rows at most.
     """
     spark = pred.sparkSession
-    counts = pred.groupBy(F.col(group).alias("grp"), "truth", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    named = counts.select("grp").distinct().withColumn("i", F.row_number().over(Window.orderBy("grp")) - 1)
+    counts = pred.groupBy(F.col(group).cast("string").alias("grp"), "truth", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    named = numbered(counts, "grp", seed).withColumnRenamed("place", "i")
     total = named.agg(F.count(F.lit(1)).alias("groups"))
     draws = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(named.select(F.col("i").alias("place"))).crossJoin(F.broadcast(total))
     drawn = draws.withColumn("i", draw(seed, F.col("iteration"), F.col("place"), F.col("groups"))).join(named, "i").groupBy("iteration", "grp").agg(F.count(F.lit(1)).alias("times"))

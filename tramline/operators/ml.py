@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
@@ -25,6 +28,15 @@ def missing_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if c not in df.columns]
 
 
+def combined(source: DataFrame, collector: DataFrame, features: list[str]) -> DataFrame:
+    """Rows of both feature tables, aligned by name; a feature that neither has is an error."""
+    both = source.unionByName(collector, allowMissingColumns=True)
+    missing = sorted(missing_columns(both, features))
+    if missing:
+        raise ValueError(f"feature columns are missing: {', '.join(missing)}")
+    return both
+
+
 def prepared(df: DataFrame, features: list[str]) -> DataFrame:
     """Feature columns as doubles f0, f1, ...: names with # and @ don't suit expressions."""
     return df.select("*", *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])
@@ -87,15 +99,34 @@ def predict(model: tuple[PipelineModel, list[int]], df: DataFrame, features: lis
 
 def out_of_fold(df: DataFrame, folds: DataFrame, group: str, features: list[str], labels: list[int], family: str, params: dict, weight: str | None = None) -> DataFrame:
     """Every row predicted by the model that didn't see its group."""
-    rows = df.join(folds.select(group, "fold"), group)
+    return cross_validated(df.limit(0), df, folds, group, features, labels, family, params, lambda train, fold: train, weight)
+
+
+def cross_validated(
+    source: DataFrame, rows: DataFrame, folds: DataFrame, group: str, features: list[str], labels: list[int], family: str, params: dict,
+    prepare: Callable[[DataFrame, int], DataFrame], weight: str | None = None, seed: int = 1,
+) -> DataFrame:
+    """`rows` predicted by models of `source` and the other folds' rows; `prepare` (train, fold) chooses and weights what is fitted."""
+    held = rows.join(F.broadcast(folds.select(group, "fold")), group)
     out = None
     for r in folds.select("fold").distinct().orderBy("fold").collect():
-        model = fit(rows.where(F.col("fold") != r["fold"]), features, family, params, weight=weight, classes=max(labels) + 1)
-        own = predict(model, rows.where(F.col("fold") == r["fold"]), features, labels)
+        train = prepare(source.unionByName(held.where(F.col("fold") != r["fold"]).drop("fold"), allowMissingColumns=True), r["fold"])
+        model = fit(train, features, family, params, seed, weight, max(labels) + 1)
+        own = predict(model, held.where(F.col("fold") == r["fold"]).drop("fold"), features, labels)
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def save_model(model: tuple[PipelineModel, list[int]], path: str) -> None:
+    """Write a fitted pipeline; what it imputes is read back from its own stages."""
+    model[0].write().overwrite().save(path)
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[int]]:
+    pipeline = PipelineModel.load(path)
+    return pipeline, [int(c[1:]) for c in pipeline.stages[1].getInputCols() if re.fullmatch(r"m\d+", c)]
+
+
 def grid(family: str, n: int, seed: int) -> list[dict]:
     """n seeded draws from the family's space, without repeats where possible."""
     rng, out = random.Random(seed), []

@@ -26,28 +26,65 @@ def mode_participants(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count_distinct("participant_id").alias("participants"))
 
 
-def holdout(df: DataFrame, fraction: float, seed: int, group: str = "group_id") -> DataFrame:
-    """(label, group, role): in each label clamp(floor(n * fraction), 1, n - 1) groups calibrate, the rest are held out."""
+def check_groups(df: DataFrame, modes: dict[str, int], group: str, least: int = 2) -> None:
+    """An error for groups of several labels, labels not configured, or modes of fewer than `least` groups; they are named."""
+    if not impure(df, group, "label").isEmpty():
+        raise ValueError(f"each {group} must have exactly one label")
+    check_modes(df, modes, group, least)
+
+
+def check_modes(df: DataFrame, modes: dict[str, int], group: str, least: int = 2) -> None:
+    """An error for labels not configured, or modes of fewer than `least` groups; they are named."""
+    found = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count_distinct(group).alias("n")).collect()}
+    unknown = sorted(set(found) - set(modes.values()))
+    if unknown:
+        raise ValueError(f"label values not configured: {unknown}")
+    sparse = [mode for mode, label in sorted(modes.items(), key=lambda x: (x[1], x[0])) if found.get(label, 0) < least]
+    if sparse:
+        raise ValueError(f"modes with fewer than {least} of {group}: {', '.join(sparse)}")
+
+
+def numbered(groups: DataFrame, group: str, seed: int) -> DataFrame:
+    """Distinct groups with `place`, from 0 on, in shuffled order; no task sees all groups.
+
+    The first three hex digits of a group's key are its bucket: a place is a rank within the
+    bucket and the rows of the buckets before, of which there are 4096 at most.
+    """
+    keyed = groups.select(group).distinct().withColumn("key", S.shuffle_key(seed, group)).withColumn("bucket", F.substring("key", 1, 3))
+    before = keyed.groupBy("bucket").count().withColumn("before", F.sum("count").over(Window.orderBy("bucket")) - F.col("count"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key", group))
+    return keyed.withColumn("rank", rank).join(F.broadcast(before), "bucket").select(group, (F.col("rank") - 1 + F.col("before")).alias("place"))
+
+
+def holdout(df: DataFrame, fraction: float | dict[int, float], seed: int, group: str = "group_id", modes: dict[str, int] | None = None) -> DataFrame:
+    """(label, group, role): in each label clamp(floor(n * fraction), 1, n - 1) groups calibrate, the rest are held out.
+
+    `fraction`: one for all labels, or one for each. Every mode (every label, if no modes are
+    given) must have two groups, and every group one label: else this is an error.
+    """
+    if modes is None:
+        modes = {str(r["label"]): r["label"] for r in df.select("label").distinct().collect()}
+    check_groups(df, modes, group)
+    share = S.lookup(F.col("label"), fraction) if isinstance(fraction, dict) else F.lit(fraction)
     groups = df.select("label", group).distinct()
     own = Window.partitionBy("label")
     ranked = groups.withColumn("k", F.row_number().over(own.orderBy(S.shuffle_key(seed, group), group))).withColumn("n", F.count(F.lit(1)).over(own))
-    count = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * fraction), F.col("n") - 1))
+    count = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * share), F.col("n") - 1))
     return ranked.select("label", group, F.when(F.col("k") <= count, "calibration").otherwise("holdout").alias("role"))
 
 
 def group_kfold(df: DataFrame, k: int, seed: int, group: str = "group_id") -> DataFrame:
-    """(group, fold): groups in shuffled order, dealt round; sizes differ by one at most.
+    """(group, fold): groups in shuffled order, dealt round to min(k, groups) folds; sizes differ by one at most."""
+    k = fold_count(df, k, group)
+    return numbered(df, group, seed).select(group, (F.col("place") % k).cast("int").alias("fold"))
 
-    The order comes from a range partitioning: ranks are places within a partition plus the
-    rows of the partitions before, so no task sees all groups.
-    """
-    groups = df.select(group).distinct().withColumn("key", S.shuffle_key(seed, group))
-    # The first three hex digits bound the buckets whose sizes are counted.
-    groups = groups.withColumn("bucket", F.substring("key", 1, 3))
-    before = groups.groupBy("bucket").count().withColumn("before", F.sum("count").over(Window.orderBy("bucket")) - F.col("count"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", group))
-    ranked = groups.withColumn("place", place).join(F.broadcast(before), "bucket")
-    return ranked.select(group, ((F.col("place") - 1 + F.col("before")) % k).cast("int").alias("fold"))
+
+def fold_count(df: DataFrame, k: int, group: str) -> int:
+    """min(k, groups); fewer than two are an error."""
+    k = min(k, df.agg(F.count_distinct(group)).first()[0])
+    if k < 2:
+        raise ValueError(f"cross-validation needs at least two of {group}")
+    return k
 
 
 def leave_one_out(df: DataFrame, participant: str = "participant_id") -> DataFrame:
@@ -59,7 +96,8 @@ def leave_one_out(df: DataFrame, participant: str = "participant_id") -> DataFra
 def stratified_group_kfold(df: DataFrame, k: int, seed: int, scope: str | None = None, group: str = "participant_id") -> DataFrame:
     """(scope, group, fold): each group goes where the label counts of folds stay most even; largest spread first.
 
-    Runs on one row for each group and label of a scope.
+    There are min(k, groups) folds in a scope; fewer than two are an error. Runs on one row for
+    each group and label of a scope.
     """
     named = df.withColumn("scope", F.col(scope) if scope else F.lit("all"))
     counts = named.groupBy("scope", F.col(group).alias("grp"), "label").count().withColumn("key", S.shuffle_key(seed, "grp"))
@@ -68,9 +106,12 @@ def stratified_group_kfold(df: DataFrame, k: int, seed: int, scope: str | None =
         table = rows.pivot_table(index=["grp", "key"], columns="label", values="count", fill_value=0)
         table = table.iloc[np.lexsort((table.index.get_level_values("key"), -table.std(axis=1, ddof=0).to_numpy()))]
         share = table.to_numpy(float) / table.to_numpy(float).sum(axis=0)
-        folds, sizes, out = np.zeros((k, share.shape[1])), np.zeros(k), []
+        n = min(k, len(table))
+        if n < 2:
+            raise ValueError(f"cross-validation needs at least two of {group}")
+        folds, sizes, out = np.zeros((n, share.shape[1])), np.zeros(n), []
         for own in share:
-            trial = [(np.std(np.vstack([folds[:f], folds[f] + own, folds[f + 1 :]]), axis=0).mean(), sizes[f], f) for f in range(k)]
+            trial = [(np.std(np.vstack([folds[:f], folds[f] + own, folds[f + 1 :]]), axis=0).mean(), sizes[f], f) for f in range(n)]
             best = min(trial)[2]
             folds[best] += own
             sizes[best] += 1

@@ -8,6 +8,8 @@ are exploded to their windows; no range join is made.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +41,20 @@ def with_contexts(rows: DataFrame, contexts_ms: list[int]) -> DataFrame:
     return rows.withColumn("context_ms", F.explode(F.array(*[F.lit(c).cast("bigint") for c in contexts_ms]))).where(F.col("timestamp_ms") >= F.col("window_end_ms") - F.col("context_ms"))
 
 
-def quality_gate(rows: DataFrame, values: dict[str, str], contexts_ms: list[int], rates: dict[str, float] | None = None, max_gap_ms: int | None = None) -> DataFrame:
+def quality_gate(rows: DataFrame, values: dict[str, str | tuple[str, ...]], contexts_ms: list[int], rates: dict[str, float] | None = None, max_gap_ms: int | None = None) -> DataFrame:
     """(session_id, window_start_ms) of windows where every sensor has enough samples in every context, without long gaps.
 
-    `rows`: with_contexts rows. `values`: sensor -> a column not null in its rows. Without `rates`
-    one sample is enough; gaps count to both edges of the context, a gap equal to the limit is good.
+    `rows`: with_contexts rows. `values`: sensor -> its column or columns; a sample counts if none is
+    null. Without `rates` one sample is enough; gaps count to both edges of the context, a gap equal
+    to the limit is good.
     """
     keys = ["session_id", "window_start_ms", "window_end_ms", "context_ms"]
     good, made = F.lit(True), []
     for sensor, value in values.items():
-        last = F.last(F.when(F.col(value).isNotNull(), F.col("timestamp_ms")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("timestamp_ms").rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn(f"_g_{sensor}", F.when(F.col(value).isNotNull(), F.col("timestamp_ms") - last))
-        own = F.when(F.col(value).isNotNull(), F.col("timestamp_ms"))
+        some = reduce(and_, [F.col(c).isNotNull() for c in ((value,) if isinstance(value, str) else value)])
+        own = F.when(some, F.col("timestamp_ms"))
+        last = F.last(own, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("timestamp_ms").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn(f"_g_{sensor}", own - last)
         made += [F.count(own).alias(f"_n_{sensor}"), F.max(f"_g_{sensor}").alias(f"_m_{sensor}"), F.min(own).alias(f"_a_{sensor}"), F.max(own).alias(f"_z_{sensor}")]
         least = F.greatest(F.lit(1), F.ceil(F.col("context_ms") / 1000.0 * (rates or {}).get(sensor, 0.0)))
         good &= F.col(f"_n_{sensor}") >= least

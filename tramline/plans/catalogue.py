@@ -5,14 +5,17 @@ Doubles are rounded on both sides: to 6 places, kurtosis and spectra to 4.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import balance, digest, features, metrics, ml, reports, sessions, snapshot, splits, windows
-from ..sources import readers
+from ..operators import balance, digest, features, metrics, ml, protocols, reports, sessions, snapshot, splits, windows
+from ..sources import readers, store
+from ..streaming import incremental
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,7 +189,7 @@ def axis_correlation(spark, d):
     return rounded(features.axis_correlation(_lines(spark, d), KEYS, ("ax", "ay", "az")))
 
 
-@query(f"""WITH {V.EW}, o AS (SELECT session_id, window_start_ms, timestamp_ms, p, row_number() OVER w AS i, lead(timestamp_ms) OVER w AS t1, lead(p) OVER w AS p1 FROM e_r WINDOW w AS (PARTITION BY session_id, window_start_ms ORDER BY timestamp_ms)),
+_SPECTRA = f"""WITH {V.EW}, o AS (SELECT session_id, window_start_ms, timestamp_ms, p, row_number() OVER w AS i, lead(timestamp_ms) OVER w AS t1, lead(p) OVER w AS p1 FROM e_r WINDOW w AS (PARTITION BY session_id, window_start_ms ORDER BY timestamp_ms)),
 m AS (SELECT session_id, window_start_ms, count(*) AS n, min(timestamp_ms) AS t0, max(timestamp_ms) AS tn, median(t1 - timestamp_ms) FILTER (t1 > timestamp_ms) AS step FROM o GROUP BY ALL),
 h AS (SELECT *, ceil((tn + step / 2 - t0) / step)::INT AS g FROM m WHERE n >= 4),
 q AS (SELECT session_id, window_start_ms, step, g, t0, tn, unnest(range(0, g)) AS i FROM h WHERE g >= 4),
@@ -195,7 +198,10 @@ v AS (SELECT q.session_id, q.window_start_ms, q.step, q.g, q.i, CASE WHEN t0 + i
   LEFT JOIN o ON o.session_id = q.session_id AND o.window_start_ms = q.window_start_ms AND o.timestamp_ms <= t0 + i_ * step AND o.t1 > t0 + i_ * step),
 z AS (SELECT *, y - avg(y) OVER (PARTITION BY session_id, window_start_ms) AS c FROM v),
 f AS (SELECT session_id, window_start_ms, any_value(step) AS step, g, k, (pow(sum(c * cos(2 * pi() * k * i / g)), 2) + pow(sum(c * sin(2 * pi() * k * i / g)), 2)) / (g * g) AS power
-  FROM (SELECT *, unnest(range(1, g // 2 + 1)) AS k FROM z) GROUP BY session_id, window_start_ms, g, k),
+  FROM (SELECT *, unnest(range(1, g // 2 + 1)) AS k FROM z) GROUP BY session_id, window_start_ms, g, k)"""
+
+
+@query(_SPECTRA + """,
 s AS (SELECT session_id, window_start_ms, sum(power) AS e, -sum(CASE WHEN power > 0 THEN power * ln(power) ELSE 0 END) AS u, count(*) AS bins FROM f GROUP BY ALL)
 SELECT w.session_id, w.window_start_ms, round(coalesce(e, 0), 4) AS spectral_energy, round(CASE WHEN e > 0 THEN (u / e + ln(e)) / CASE WHEN bins > 1 THEN ln(bins) ELSE 1 END ELSE 0 END, 4) AS spectral_entropy
 FROM m w LEFT JOIN s ON s.session_id = w.session_id AND s.window_start_ms = w.window_start_ms""")
@@ -203,7 +209,9 @@ def spectral_features(spark, d):
     return rounded(features.spectral(_values(spark, d), KEYS).drop("dominant_frequency_hz"), 4)
 
 
-@query()
+@query(_SPECTRA + """,
+d AS (SELECT session_id, window_start_ms, arg_max(k / (g * step / 1000.0), power * 1e6 - k * 1e-9) AS hz, sum(power) AS e FROM f GROUP BY ALL)
+SELECT w.session_id, w.window_start_ms, round(CASE WHEN e > 0 THEN hz * 86400 ELSE 0 END, 4) AS cycles_a_day FROM m w LEFT JOIN d ON d.session_id = w.session_id AND d.window_start_ms = w.window_start_ms""")
 def spectral_dominant(spark, d):
     return rounded(features.spectral(_values(spark, d), KEYS).select(*KEYS, (F.col("dominant_frequency_hz") * 86400).alias("cycles_a_day")), 4)
 
@@ -215,7 +223,7 @@ JOIN a s ON s.session_id = i.session_id AND s.window_start_ms = i.window_start_m
 def feature_wide(spark, d):
     own = V.event_sessions(spark, d).select("domain", "participant_id", "session_id", "label", "phone_position", "timestamp_ms", "p", "event_id")
     wide = features.window_features(own, {"pressure": ("p",)}, V.WINDOW, V.STEP, V.CONTEXTS, ("mean", "range"), tie=("event_id",))
-    name = lambda a, c: F.round(F.col(f"`{features.feature_name('pressure', a, c, V.WINDOW)}`").cast("double"), 2)
+    name = lambda a, c: F.round(F.col(f"`{features.feature_name('pressure', a, c, False)}`").cast("double"), 2)
     return wide.select(*KEYS, "window_end_ms", "domain", "participant_id", "label", "phone_position", name("mean", V.CONTEXTS[1]).alias("mean"), name("range", V.CONTEXTS[1]).alias("range"), name("mean", V.CONTEXTS[0]).alias("mean_short"), name("range", V.CONTEXTS[0]).alias("range_short"))
 
 
@@ -252,7 +260,7 @@ def unit_scale(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet")
     raw = rows.select(
         F.col("event_id").cast("string").alias("installationId"), F.lit("1").alias("journeyNumber"), F.lit("1").alias("tripNumber"), F.lit("m").alias("manufacturer"), F.lit("x").alias("model"),
-        F.col("ts").cast("string").alias("timestamp"), F.lit("CAR").alias("transportType"), F.when(F.col("event_id") % 2 == 0, "Accelerometer").otherwise("RelativePressure").alias("typeString"), F.lit("hand").alias("deviceLocation"),
+        F.col("ts").cast("string").alias("timestamp"), F.lit("CAR").alias("transportType"), F.when(F.col("event_id") % 2 == 0, "CMAccelerometerData").otherwise("RelativePressure").alias("typeString"), F.lit("hand").alias("deviceLocation"),
         *[F.col("value").alias(f"value_{i}") for i in range(3)], F.when(F.col("user_id") % 2 == 0, "iOS").otherwise("Android").alias("OS"),
     )
     events = readers.normalize_nor(raw, {"car": 0})
@@ -298,6 +306,76 @@ def trim_range(spark, d):
     return rounded(readers.normalize_collector(_payloads(spark, d), {"car": 0, "bus": 1}).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")), 4)
 
 
+_FILES = "SELECT event_id, user_id, value, 'rec_' || CASE user_id % 3 WHEN 0 THEN 'U' || user_id || '_Car_' || user_id || '.csv' WHEN 1 THEN 'U' || user_id || '_bus.csv' ELSE 'U' || user_id || '_bus_x.y.csv' END AS name FROM events"
+
+
+@query(f"WITH f AS ({_FILES}) SELECT split_part(name, '_', 2) AS participant_id, split_part(name, '_', 2) AS device_id, name[:-5] AS session_id, lower(split_part(name, '_', 3)) AS vehicle_type, count(*) AS n FROM f WHERE lower(split_part(name, '_', 3)) IN ('car', 'bus') GROUP BY ALL")
+def file_identity(spark, d):
+    u = F.col("user_id").cast("string")
+    tail = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("_Car_"), u, F.lit(".csv"))).when(F.col("user_id") % 3 == 1, "_bus.csv").otherwise("_bus_x.y.csv")
+    raw = spark.read.parquet(f"{d}/events.parquet").select(
+        F.concat(F.lit("/in/rec_U"), u, tail).alias("path"), F.lit("1000").alias("time"), F.lit("android.sensor.pressure").alias("sensor_type"), F.col("value").cast("string").alias("value_0"), *[F.lit(None).cast("string").alias(f"value_{i}") for i in (1, 2)]
+    )
+    events = readers.normalize_us(raw, {"car": 0, "bus": 1})
+    return events.groupBy("participant_id", "device_id", "session_id", "vehicle_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NOR_NAMES = ("android.sensor.accelerometer", "CMAccelerometerData", " Android.Sensor.Gyroscope ", "cmgyrodata", "android.sensor.magnetic_field", "CMMagnetometerData", "android.sensor.pressure", "CMAltimeterData", "accelerometer", "android.sensor.linear_acceleration")
+
+
+@query("""WITH x AS (SELECT *, event_id % 10 AS k, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'i' || user_id END AS i, CASE WHEN event_id % 13 = 0 THEN NULL ELSE (user_id % 3)::VARCHAR END AS j FROM events)
+SELECT CASE WHEN k < 2 THEN 'ax' WHEN k < 4 THEN 'gx' WHEN k < 6 THEN 'mx' ELSE 'p' END AS first_column, i || '#' || j || '#1' AS session_id, 'ios:unknown:x' AS device_id, count(*) AS n FROM x WHERE k < 8 AND i IS NOT NULL AND j IS NOT NULL GROUP BY ALL""")
+def header_format_identity(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    names = F.get(F.array(*map(F.lit, _NOR_NAMES)), (F.col("event_id") % 10).cast("int"))
+    raw = rows.select(
+        F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("i"), F.col("user_id").cast("string"))).alias("installationId"), F.when(F.col("event_id") % 13 != 0, (F.col("user_id") % 3).cast("string")).alias("journeyNumber"), F.lit("1").alias("tripNumber"),
+        F.lit(None).cast("string").alias("manufacturer"), F.lit("X").alias("model"), F.col("ts").cast("string").alias("timestamp"), F.lit("Car").alias("transportType"), names.alias("typeString"), F.lit("Hand").alias("deviceLocation"),
+        *[F.col("value").alias(f"value_{i}") for i in range(3)], F.lit("iOS").alias("OS"),
+    )
+    events = readers.normalize_nor(raw, {"car": 0})
+    first = F.when(F.col("ax").isNotNull(), "ax").when(F.col("gx").isNotNull(), "gx").when(F.col("mx").isNotNull(), "mx").otherwise("p")
+    return events.groupBy(first.alias("first_column"), "session_id", "device_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {V.ES}, u AS (SELECT DISTINCT participant_id AS k, substr(participant_id, 2)::INT AS u FROM es)
+SELECT CASE WHEN u % 2 = 0 THEN 'p-' || k ELSE 'unknown_participant' END AS participant_id, CASE WHEN u % 3 = 0 THEN 'd-' || k WHEN u % 3 = 1 THEN 'm-' || k ELSE 'unknown_device' END AS device_id, k AS session_id FROM u""")
+def collector_defaults(spark, d):
+    one = V.event_sessions(spark, d).select("participant_id").distinct().withColumn("u", F.expr("cast(substr(participant_id, 2) as int)"))
+    no = F.lit(None).cast("string")
+    sample = F.struct(F.lit("5").alias("ts"), *[(F.lit("1.5") if c == "p" else no).alias(c) for c in readers.VALUES])
+    payload = one.select(
+        F.concat(F.lit("/in/"), "participant_id", F.lit(".json")).alias("path"), F.array(sample).alias("samples"), F.when(F.col("u") % 2 == 0, F.concat(F.lit("p-"), "participant_id")).alias("participant_id"), F.lit("").alias("session_id"),
+        F.when(F.col("u") % 3 == 0, F.concat(F.lit("d-"), "participant_id")).alias("device_uuid"), F.lit("CAR").alias("vehicle_type"), no.alias("phone_position"), no.alias("trimmed_start_ms"), no.alias("trimmed_end_ms"),
+    )
+    made = {c: no for c in readers.SIDECAR.names} | {"device_id": F.when(F.col("u") % 3 == 1, F.concat(F.lit("m-"), "participant_id"))}
+    side = one.select(F.concat(F.lit("/in/"), "participant_id", F.lit(".metadata.json")).alias("path"), *[x.alias(c) for c, x in made.items()])
+    return readers.normalize_collector(readers.with_sidecars(payload, side), {"car": 0}).select("participant_id", "device_id", "session_id")
+
+
+_PARTIAL = f"pv AS (SELECT session_id, timestamp_ms, ax, CASE WHEN l_orderkey % 5 <> 0 THEN ay END AS ay, az FROM lv)"
+_PARTIAL_W = V.LV + ", " + _PARTIAL + ",\n" + V.stats_sql("pv", "v", V.LINE_WINDOW, V.LINE_STEP)
+
+
+@query(f"""WITH {_PARTIAL_W}, g AS (SELECT *, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY session_id, window_start_ms ORDER BY timestamp_ms) AS gap FROM v_r WHERE ay IS NOT NULL),
+k AS (SELECT session_id, window_start_ms, count(*) >= 20 AND greatest(coalesce(max(gap), 0), min(timestamp_ms) - any_value(window_start_ms), any_value(window_end_ms) - max(timestamp_ms)) <= {60 * V.DAY} AS good FROM g GROUP BY ALL)
+SELECT session_id, window_start_ms FROM k WHERE good""")
+def vector_quality_gate(spark, d):
+    own = V.line_vectors(spark, d).select("session_id", "timestamp_ms", "ax", F.when(F.col("l_orderkey") % 5 != 0, F.col("ay")).alias("ay"), "az")
+    rows = windows.with_contexts(windows.assign_windows(own, sessions.session_stats(own, V.LINE_STEP), V.LINE_WINDOW, V.LINE_STEP), [V.LINE_WINDOW])
+    return windows.quality_gate(rows, {"accelerometer": ("ax", "ay", "az")}, [V.LINE_WINDOW], {"accelerometer": 20000 / V.LINE_WINDOW}, 60 * V.DAY)
+
+
+@query(f"""WITH {_PARTIAL_W}, x AS (SELECT session_id, window_start_ms, {_pearson('ax', 'ay')} AS a, {_pearson('ax', 'az')} AS b, {_pearson('ay', 'az')} AS c, count(*) AS n FROM v_r WHERE ay IS NOT NULL GROUP BY ALL),
+r AS (SELECT session_id, window_start_ms, timestamp_ms, sqrt(ax*ax+ay*ay+az*az) AS v FROM v_r WHERE ay IS NOT NULL), q AS (SELECT session_id, window_start_ms, timestamp_ms, min(v) AS v FROM r GROUP BY ALL),
+m AS (SELECT session_id, window_start_ms, max(v) - min(v) AS r FROM q GROUP BY ALL)
+SELECT x.session_id, x.window_start_ms, round(m.r::FLOAT::DOUBLE, 2) AS range, round(CASE WHEN n < 2 THEN 0 ELSE coalesce((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 0) END, 4) AS correlation FROM x JOIN m ON m.session_id = x.session_id AND m.window_start_ms = x.window_start_ms""")
+def feature_wide_vectors(spark, d):
+    own = V.line_vectors(spark, d).select("session_id", "timestamp_ms", "ax", F.when(F.col("l_orderkey") % 5 != 0, F.col("ay")).alias("ay"), "az")
+    wide = features.window_features(own, {"accelerometer": ("ax", "ay", "az")}, V.LINE_WINDOW, V.LINE_STEP, aggregates=("Range", "mean-axis_correlation"))
+    return wide.select(*KEYS, F.round(F.col("`accelerometer#range`").cast("double"), 2).alias("range"), F.round(F.col("`accelerometer#mean_axis_correlation`").cast("double"), 4).alias("correlation"))
+
+
 # Splits, balancing, weights ----------------------------------------------------------------
 
 
@@ -426,7 +504,7 @@ def session_vote_metrics(spark, d):
     return rounded(metrics.overall(metrics.confusion(metrics.session_vote(V.predictions(spark, d), V.LABELS), V.LABELS)))
 
 
-@query(f"""WITH {V.PR}, {_GRID}, g AS (SELECT participant_id AS grp, row_number() OVER (ORDER BY participant_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT participant_id FROM pr)),
+@query(f"""WITH {V.PR}, {_GRID}, g AS (SELECT participant_id AS grp, row_number() OVER (ORDER BY {md5_key("participant_id")}, participant_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT participant_id FROM pr)),
 c AS (SELECT participant_id AS grp, truth, prediction, count(*) AS n FROM pr GROUP BY ALL),
 dr AS (SELECT t.it, ('0x' || substr(md5('{SEED}-' || t.it || '-' || g.i), 1, 8))::BIGINT % g.n AS i FROM g, (SELECT unnest(range(0, 40)) AS it) t),
 cc AS (SELECT it, truth, prediction, sum(c.n) AS n FROM dr JOIN g ON g.i = dr.i JOIN c ON c.grp = g.grp GROUP BY ALL),
@@ -488,17 +566,17 @@ def session_snapshot(spark, d):
     return rounded(snapshot.snapshot_sessions(_index(spark, d)).select("session_id", "sample_count", "duration_seconds"), 3)
 
 
-@query(f"WITH {_SN} SELECT coalesce(vehicle_type, 'Total') AS mode, count(*) AS sessions, count(DISTINCT participant_id) AS participants, round(sum(seconds), 3) AS seconds, sum(n)::BIGINT AS samples FROM sn GROUP BY ROLLUP (vehicle_type)")
+@query(f"WITH {_SN} SELECT coalesce(vehicle_type, 'Total') AS mode, count(*) AS sessions, count(DISTINCT participant_id) AS participants, round(coalesce(sum(seconds), 0), 3) AS seconds, sum(n)::BIGINT AS samples FROM sn GROUP BY ROLLUP (vehicle_type)")
 def mode_summary_rollup(spark, d):
     return rounded(snapshot.mode_summary(snapshot.snapshot_sessions(_index(spark, d))), 3)
 
 
-@query(f"WITH {_SN} SELECT coalesce(participant_id, 'Total') AS participant, round(nullif(sum(seconds) FILTER (vehicle_type = 'click'), 0), 3) AS click, round(nullif(sum(seconds) FILTER (vehicle_type = 'view'), 0), 3) AS view, round(nullif(sum(seconds), 0), 3) AS Total FROM sn GROUP BY ROLLUP (participant_id)")
+@query(f"WITH {_SN} SELECT coalesce(participant_id, 'Total') AS participant, round(CASE WHEN grouping(participant_id) = 1 THEN coalesce(sum(seconds) FILTER (vehicle_type = 'click'), 0) ELSE nullif(sum(seconds) FILTER (vehicle_type = 'click'), 0) END, 3) AS click, round(CASE WHEN grouping(participant_id) = 1 THEN coalesce(sum(seconds) FILTER (vehicle_type = 'view'), 0) ELSE nullif(sum(seconds) FILTER (vehicle_type = 'view'), 0) END, 3) AS view, round(coalesce(sum(seconds), 0), 3) AS Total FROM sn GROUP BY ROLLUP (participant_id)")
 def participant_mode_crosstab(spark, d):
     return rounded(snapshot.participant_mode(snapshot.snapshot_sessions(_index(spark, d)), ["click", "view"]), 3)
 
 
-@query(f"WITH {_SN} SELECT session_id, CASE WHEN seconds IS NOT NULL THEN format('{{:02d}}:{{:02d}}:{{:02d}}', floor(seconds)::BIGINT // 3600, floor(seconds)::BIGINT % 3600 // 60, floor(seconds)::BIGINT % 60) END AS duration FROM sn")
+@query(f"WITH {_SN} SELECT session_id, CASE WHEN seconds IS NOT NULL THEN format('{{:02d}}:{{:02d}}:{{:02d}}', round_even(seconds, 0)::BIGINT // 3600, round_even(seconds, 0)::BIGINT % 3600 // 60, round_even(seconds, 0)::BIGINT % 60) END AS duration FROM sn")
 def duration_hms(spark, d):
     own = snapshot.snapshot_sessions(_index(spark, d))
     return own.select("session_id", F.when(F.col("duration_seconds").isNotNull(), S.hms(F.col("duration_seconds"))).alias("duration"))
@@ -542,25 +620,149 @@ def matrix_normalized(spark, d):
     return rows.select("truth", F.round(share, 6).alias("share_0"), F.aggregate("ns", F.lit(0).cast("bigint"), lambda t, x: t + x).alias("support"))
 
 
-# Models: rows only -----------------------------------------------------------------------------
+@query(f"WITH {_SN} SELECT 'r1' AS run_id, 'index' AS source, count(*) AS sessions, count(seconds) AS with_duration, sha256('[\"' || string_agg(DISTINCT session_id, '\",\"' ORDER BY session_id) || '\"]') AS session_id_digest FROM sn")
+def snapshot_summary(spark, d):
+    return snapshot.summary(snapshot.snapshot_sessions(_index(spark, d)), "r1", "index")
+
+
+@query(f"""WITH {V.ES}, i AS (SELECT DISTINCT replace(session_id, 'u', '\\u00fc\\ud83d\\ude00\\"\\u0001') AS id, session_id FROM es)
+SELECT count(*) AS session_count, sha256('["' || string_agg(id, '","' ORDER BY session_id) || '"]') AS session_id_digest FROM i""")
+def session_digest_escaped(spark, d):
+    return digest.session_digest(V.event_sessions(spark, d).select(F.replace("session_id", F.lit("u"), F.lit("\u00fc\U0001f600\"\x01")).alias("session_id")))
+
+
+_LOG = "lo AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'status=ignored, path=/tmp/x.json' ELSE 'file: path=/data/downloaded_sessions/raw/u' || user_id || '/a' || (event_id % 4) || CASE WHEN event_id % 5 = 0 THEN '.json.gz' WHEN event_id % 5 = 1 THEN '.txt' ELSE '.json' END END AS value, user_id FROM events)"
+
+
+def _log(spark, d):
+    e, u = F.col("event_id"), F.col("user_id").cast("string")
+    end = F.when(e % 5 == 0, ".json.gz").when(e % 5 == 1, ".txt").otherwise(".json")
+    named = F.concat(F.lit("file: path=/data/downloaded_sessions/raw/u"), u, F.lit("/a"), (e % 4).cast("string"), end)
+    return spark.read.parquet(f"{d}/events.parquet").select(F.when(e % 3 == 0, "status=ignored, path=/tmp/x.json").otherwise(named).alias("value"), "user_id")
+
+
+@query(rf"WITH {_LOG} SELECT DISTINCT regexp_extract(value, 'path=/data/downloaded_sessions/(.+(\.json|\.json\.gz))$', 1) AS path FROM lo WHERE value ~ '.*path=/data/downloaded_sessions/.+(\.json|\.json\.gz)'")
+def log_session_paths(spark, d):
+    return snapshot.session_paths(_log(spark, d))
+
+
+@query(rf"WITH {_LOG}, p AS (SELECT DISTINCT user_id, regexp_extract(value, 'path=/data/downloaded_sessions/(.+(\.json|\.json\.gz))$', 1) AS path FROM lo) SELECT user_id, path || '.metadata.json' AS path FROM p WHERE path <> ''")
+def log_sidecars(spark, d):
+    own = _log(spark, d)
+    paths = own.select("user_id", F.regexp_extract("value", snapshot.LOGGED, 1).alias("path")).where("path <> ''").distinct()
+    sidecars = paths.withColumn("path", F.concat("path", F.lit(".metadata.json"))).unionByName(paths.withColumn("path", F.concat("path", F.lit(".other"))))
+    return snapshot.sessions_of_log(own, sidecars)
+
+
+@query(f"WITH {_IX} SELECT session_id FROM ix WHERE u % 5 = 0")
+def sidecars_without_payload(spark, d):
+    own = _index(spark, d)
+    files = own.where(~F.col("s3_key").startswith("raw/other/")).select(F.col("s3_key").alias("path"))
+    return snapshot.without_payload(own, files).select("session_id")
+
+
+@query(f"WITH {_RUNS} SELECT run AS name FROM ru WHERE substr(run, 2)::INT % 3 = 0")
+def confusion_row_check(spark, d):
+    """Runs whose supports are changed are found, the others pass."""
+    conf = metrics.confusion(V.predictions(spark, d), V.LABELS, ("participant_id",))
+    rows = conf.groupBy("participant_id", "truth").agg(F.sum("n").alias("s"), F.transform(F.sort_array(F.collect_list(F.struct("prediction", F.col("n").cast("double").alias("n")))), lambda x: x["n"]).alias("row"))
+    wrong = F.when(F.substring("participant_id", 2, 9).cast("int") % 3 == 0, 1).otherwise(0)
+    each = rows.groupBy("participant_id").agg(F.sort_array(F.collect_list(F.struct("truth", "row", "s"))).alias("x"))
+    entry = lambda x: F.struct(F.concat(F.lit("mode_"), x["truth"].cast("string")), F.concat(F.lit('{"support": '), (x["s"] + wrong).cast("string"), F.lit("}")))
+    own = each.select(F.col("participant_id").alias("name"), F.map_from_entries(F.transform("x", entry)).alias("report"), F.transform("x", lambda x: x["row"]).alias("matrix"))
+    return reports.bad_matrices(own).select("name")
+
+
+@query(f"WITH {_RUNS} SELECT run, trial_index FROM (SELECT run, CASE WHEN substr(run, 2)::INT % 4 <> 0 THEN substr(run, 2)::INT % 50 END AS trial_index FROM ru) ORDER BY trial_index NULLS LAST, run LIMIT 20")
+def runs_in_order(spark, d):
+    u = F.substring("run", 2, 9).cast("int")
+    own = _runs(spark, d).select("run", F.when(u % 4 != 0, u % 50).alias("trial_index"), F.col("run").alias("name"))
+    return reports.in_order(own).limit(20).select("run", "trial_index")
+
+
+@query(f"WITH {_RUNS} SELECT run, 2::BIGINT AS versions FROM ru WHERE accuracy > 0")
+def run_conflicts(spark, d):
+    runs = rounded(_runs(spark, d).select("run", "accuracy"))
+    return reports.dedupe(runs.union(runs.withColumn("accuracy", F.lit(0.0))), "run", ["accuracy"])[1]
+
+
+@query(f"WITH {_IX} SELECT CASE WHEN u % 2 = 0 THEN 'a' ELSE 'b' END AS source, 2 AS version, max(sync_key) AS sync_key FROM ix GROUP BY 1")
+def marks_advanced(spark, d):
+    """Marks of an older version don't count, those ahead of what was seen stay."""
+    own = _index(spark, d).withColumn("even", F.expr("cast(substr(session_id, 2, instr(session_id, '-') - 2) as int) % 2 = 0"))
+    marks = own.where("even").agg(F.lit("a").alias("source"), F.lit(1).alias("version"), F.lit("9").alias("sync_key")).unionByName(own.where("NOT even").agg(F.lit("b").alias("source"), F.lit(2).alias("version"), F.max("sync_key").alias("sync_key")))
+    marks = incremental.advance_mark(marks, "a", own.where("even"), 2)
+    return incremental.advance_mark(marks, "b", own.where("NOT even").limit(1), 2)
+
+
+def _scratch(spark, name):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tramline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {V.ES} SELECT session_id, count(*) AS n FROM es GROUP BY 1")
+def incremental_ingest_stream(spark, d):
+    """The events by a file stream, run twice: each session is taken once."""
+    out = _scratch(spark, "ingest")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    for _ in range(2):
+        incremental.run_available(spark, d, schema, f"{out}/events", f"{out}/stream", "parquet", lambda x: V.as_sessions(x).select("session_id", "timestamp_ms", "_file"), "events.parquet")
+    return spark.read.parquet(f"{out}/events").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.EW} SELECT session_id, count(*) AS windows FROM e_w GROUP BY 1")
+def incremental_features(spark, d):
+    """Window grids of sessions as they come, in two steps; a session is built once."""
+    out, own = _scratch(spark, "features"), V.event_sessions(spark, d).select("domain", "session_id", "timestamp_ms").withColumn("domain", F.lit("collector"))
+    policy = store.feature_policy("collector", "h", (0, 1e12))
+    build = lambda x: windows.window_grid(sessions.session_stats(x, V.STEP), V.WINDOW, V.STEP)
+    for part in (own.where("session_id < 'u5'"), own, own):
+        store.build_source(part, out, "collector", policy, build, incremental=True)
+    return store.read_features(spark, out, "collector").groupBy("session_id").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query(f"WITH {V.PR} SELECT participant_id AS session_id FROM pr GROUP BY 1 HAVING count(DISTINCT truth) > 1")
+def mixed_sessions(spark, d):
+    whole = V.predictions(spark, d).withColumn("session_id", F.col("participant_id"))
+    return metrics.session_vote(whole, V.LABELS).where("truths > 1").select("session_id")
+
+
+# Models: rows only, with SQL for the splits ---------------------------------------------------
 
 
 def _model_rows(spark, d):
-    # Fitted many times: kept in the executors' storage, recomputed where one is lost.
-    rows = balance.class_weights(V.feature_rows(spark, d)).where("label < 3").cache()
-    return rows, [c for c in rows.columns if "#" in c]
+    """Feature rows of all labels, with a group and few participants: a nested run fits for each of them."""
+    rows = V.feature_rows(spark, d).withColumnsRenamed({"session_id": "session"})
+    few = F.concat(F.lit("g"), (F.substring("participant_id", 2, 9).cast("int") / 3 % 4).cast("int").cast("string"))
+    rows = rows.select("domain", few.alias("participant_id"), F.col("session").alias("session_id"), F.col("session").alias("group_id"), "label", F.lit("unknown").alias("phone_position"), "window_start_ms", "window_end_ms", *[c for c in rows.columns if "#" in c])
+    # Read many times by the fits: written once.
+    path = _scratch(spark, "features")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_MODES = {f"mode{i}": i for i in V.LABELS}
+_FOREST = ("random_forest", {"numTrees": 10, "maxDepth": 5})
+
+
+def _asked(rows, trials, **more):
+    return protocols.Settings([c for c in rows.columns if "#" in c], _MODES, trials, seed=SEED, **more)
 
 
 def _holdout_metrics(spark, d, family, params):
-    rows, names = _model_rows(spark, d)
-    held = splits.holdout(rows.where("domain = 'collector'"), 0.5, SEED, "session_id").where("role = 'holdout'").select("session_id")
-    model = ml.fit(rows.join(held, "session_id", "left_anti"), names, family, params, weight="weight", classes=3)
-    return metrics.overall(metrics.confusion(ml.predict(model, rows.join(held, "session_id", "left_semi"), names, [0, 1, 2]), [0, 1, 2]))
+    rows = balance.class_weights(_model_rows(spark, d))
+    names = [c for c in rows.columns if "#" in c]
+    held = F.broadcast(splits.holdout(rows.where("domain = 'collector'"), 0.5, SEED).where("role = 'holdout'").select("group_id"))
+    model = ml.fit(rows.join(held, "group_id", "left_anti"), names, family, params, weight="weight", classes=len(V.LABELS))
+    return metrics.overall(metrics.confusion(ml.predict(model, rows.join(held, "group_id", "left_semi"), names, V.LABELS), V.LABELS))
 
 
 @query()
 def rf_holdout_metrics(spark, d):
-    return _holdout_metrics(spark, d, "random_forest", {"numTrees": 10, "maxDepth": 5})
+    return _holdout_metrics(spark, d, *_FOREST)
 
 
 @query()
@@ -575,7 +777,68 @@ def mlp_metrics(spark, d):
 
 @query()
 def tuning_oof(spark, d):
-    rows, names = _model_rows(spark, d)
-    folds = splits.group_kfold(rows, 3, SEED, "session_id")
-    found = ml.tune(rows, folds, "session_id", names, [0, 1, 2], "random_forest", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 5}])
+    rows = balance.class_weights(_model_rows(spark, d))
+    folds = splits.group_kfold(rows, 3, SEED)
+    found = ml.tune(rows, folds, "group_id", [c for c in rows.columns if "#" in c], V.LABELS, "random_forest", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 5}], weight="weight")
     return spark.createDataFrame([(i, s, str(p)) for i, (s, p) in enumerate(found)], "place int, score double, parameters string")
+
+
+def _figures(run):
+    out = None
+    for name, own in run.figures.items():
+        part = own.select(F.lit(name).alias("section"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def session_holdout_protocol(spark, d):
+    rows = _model_rows(spark, d)
+    return _figures(protocols.session_holdout(rows, _asked(rows, [_FOREST], folds=2, balanced=True, collector_factor=2.0)))
+
+
+@query()
+def participant_nested_protocol(spark, d):
+    rows = _model_rows(spark, d)
+    return _figures(protocols.participant_nested(rows, _asked(rows, [("random_forest", {"numTrees": 5, "maxDepth": 4})], folds=2)))
+
+
+_ROLES = f"""{V.FR}, g AS (SELECT DISTINCT label, session_id FROM fr WHERE domain = 'collector'), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5_key('session_id')}, session_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM g),
+ro AS (SELECT session_id, 'evaluation' AS role FROM r WHERE k > greatest(1, least(floor(n * 0.5), n - 1)) UNION ALL SELECT session_id, 'calibration' FROM r WHERE k <= greatest(1, least(floor(n * 0.5), n - 1))),
+rr AS (SELECT fr.session_id, window_start_ms, 'training' AS role FROM fr WHERE domain <> 'collector' UNION ALL SELECT fr.session_id, window_start_ms, role FROM fr JOIN ro USING (session_id) WHERE domain = 'collector')"""
+
+
+def _roles(spark, d):
+    rows = _model_rows(spark, d)
+    parts = splits.holdout(rows.where("domain = 'collector'"), {i: 0.5 for i in V.LABELS}, SEED, "group_id", _MODES)
+    return protocols.roles(rows, parts.select(F.lit("session").alias("held_out"), F.col("group_id").alias("grp"), "role"), "group_id")
+
+
+@query(f"WITH {_ROLES} SELECT role, count(*) AS rows, count(DISTINCT session_id) AS sessions FROM rr GROUP BY role")
+def run_roles(spark, d):
+    return _roles(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query(f"""WITH {_ROLES}, h AS (SELECT role, ('0x' || substr(md5(session_id || chr(31) || window_start_ms), 1, 15))::BIGINT AS h FROM rr), s AS (SELECT role, count(*) AS rows, sum(h) AS s, bit_xor(h) AS x FROM h GROUP BY role)
+SELECT role, rows, substr(sha256('session_id:string,window_start_ms:bigint|' || rows || '|' || s || '|' || x), 1, 36) AS digest FROM s""")
+def run_lineage(spark, d):
+    return protocols.lineage(_roles(spark, d), ["session_id", "window_start_ms"])
+
+
+@query(f"WITH {V.PR} SELECT count(*) AS rows, count(DISTINCT session_id) AS sessions, count(DISTINCT participant_id) AS participants FROM pr")
+def evaluation_counts(spark, d):
+    return metrics.counts(V.predictions(spark, d))
+
+
+@query(f"""WITH {V.PR}, {_GRID}, {_VOTES}, r AS ({_REPORT.format(by='', pr='vt')}), s AS (SELECT *, {_SCORES} FROM r), m AS (SELECT {_MEANS} FROM s)
+SELECT 'session' AS level, metric, round(x, 6) AS x FROM (UNPIVOT (SELECT accuracy, macro_f1, minimum_class_recall FROM m) ON accuracy, macro_f1, minimum_class_recall INTO NAME metric VALUE x)
+UNION ALL SELECT 'session', 'recall@' || label, round(recall, 6) FROM s UNION ALL SELECT 'session', 'sessions', count(*)::DOUBLE FROM vt""")
+def evaluation_of_sessions(spark, d):
+    own = metrics.evaluation(V.predictions(spark, d), V.LABELS).where("level = 'session' AND slice = 'all'")
+    return rounded(own.where(F.col("metric").isin("accuracy", "macro_f1", "minimum_class_recall", "sessions") | F.col("metric").startswith("recall@")).select("level", "metric", "x"))
+
+
+@query(f"WITH {V.ES} SELECT session_id, timestamp_ms, -count(*) AS n FROM es WHERE timestamp_ms % 7 = 0 GROUP BY ALL")
+def unpredicted_rows(spark, d):
+    own = V.predictions(spark, d).select("session_id", "timestamp_ms")
+    return protocols.incomplete(own, own.where("timestamp_ms % 7 <> 0"), ("session_id", "timestamp_ms"))

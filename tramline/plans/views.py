@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import lookup
 from ..operators import sessions, windows
 
 DAY = 86_400_000
 WINDOW, STEP, CONTEXTS = 10 * DAY, 5 * DAY, [5 * DAY, 10 * DAY]
+#: The modes of the table, and their labels.
+MODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 LABELS = [0, 1, 2, 3, 4]
 LINE_WINDOW, LINE_STEP = 360 * DAY, 180 * DAY
 LINE_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet")
-    kinds = F.broadcast(events.agg(F.sort_array(F.collect_set("event_type")).alias("_types")))
+    return as_sessions(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def as_sessions(events: DataFrame) -> DataFrame:
     user = F.col("user_id").cast("string")
-    return events.crossJoin(kinds).select(
+    return events.select(
         F.when(F.col("user_id") % 3 == 0, "collector").otherwise("source").alias("domain"), F.concat(F.lit("u"), user).alias("participant_id"),
         F.concat(F.lit("u"), user, F.lit("-"), F.col("event_type")).alias("session_id"), F.concat(F.lit("u"), user, F.lit("-"), F.col("event_type")).alias("group_id"),
-        F.col("event_type").alias("vehicle_type"), (F.array_position("_types", F.col("event_type")).cast("int") - 1).alias("label"),
+        F.col("event_type").alias("vehicle_type"), lookup(F.col("event_type"), MODES).alias("label"),
         F.concat(F.lit("pos"), (F.col("user_id") % 2).cast("string")).alias("phone_position"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
-        F.col("value").alias("p"), "event_id", "props",
+        F.col("value").alias("p"), "event_id", "props", *[c for c in events.columns if c == "_file"],
     )
 
 

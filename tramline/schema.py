@@ -15,15 +15,17 @@ EVENTS = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in VALUES]
 )
 
+#: The columns of the headerless format, in order.
 US_RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("time", "sensor_type", "value_0", "value_1", "value_2")])
 
 #: The columns of the header format.
 NOR_COLUMNS = ("installationId", "journeyNumber", "tripNumber", "manufacturer", "model", "timestamp", "transportType", "typeString", "deviceLocation", "value_0", "value_1", "value_2", "OS")
 
 _SAMPLE = T.StructType([T.StructField("ts", T.StringType()), *(T.StructField(c, T.StringType()) for c in VALUES)])
+#: The fields of session files and of their sidecars.
 _TEXTS = ("session_id", "participant_id", "device_uuid", "vehicle_type", "phone_position")
 PAYLOAD = T.StructType([*(T.StructField(c, T.StringType()) for c in (*_TEXTS, "trimmed_start_ms", "trimmed_end_ms")), T.StructField("samples", T.ArrayType(_SAMPLE))])
-SIDECAR = T.StructType([T.StructField(c, T.StringType()) for c in (*_TEXTS, "trimmed_start_ms", "trimmed_end_ms", "started_at_ms", "stopped_at_ms", "duration_seconds", "sample_count", "uploaded_at_ms", "s3_key", "sync_key")])
+SIDECAR = T.StructType([T.StructField(c, T.StringType()) for c in (*_TEXTS, "device_id", "trimmed_start_ms", "trimmed_end_ms", "started_at_ms", "stopped_at_ms", "duration_seconds", "sample_count", "uploaded_at_ms", "s3_key", "sync_key")])
 
 #: Columns that every feature row has beside its features.
 FEATURE_IDS = ("domain", "participant_id", "device_id", "session_id", "trip_id", "group_id", "vehicle_type", "label", "phone_position", "window_start_ms", "window_end_ms")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import EVENTS, NOR_COLUMNS, PAYLOAD, SENSORS, SIDECAR, US_RAW, VALUES
+from ..streaming.incremental import file_system
+
+#: The names of the sources, which are the domains of their events as well.
+US, NOR, COLLECTOR = "us-tmd", "nor-tmd", "collector"
 
 Reader = Callable[[SparkSession, str, dict], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -48,62 +53,94 @@ def group_id() -> Column:
     return F.concat_ws("#", "participant_id", "device_id", "session_id").alias("group_id")
 
 
-def normalize_us(raw: DataFrame, labels: dict[str, int], domain: str = "source") -> DataFrame:
-    """Raw rows with a column `path`; identity comes from the file name."""
-    file = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    part = F.split(file, "_")
+def stem(path: Column) -> Column:
+    """The file name without its last suffix."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def included(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether a path matches a glob below some folder: `**/` is any folders, `*` and `?` stay within a name."""
+    marks = (("**/", "(?:.*/)?"), ("*", "[^/]*"), ("?", "[^/]"))
+    out = F.lit(False)
+    for glob in globs:
+        pattern, at = "", 0
+        while at < len(glob):
+            mark, meant = next(((m, r) for m, r in marks if glob.startswith(m, at)), (glob[at], re.escape(glob[at])))
+            pattern, at = pattern + meant, at + len(mark)
+        out |= path.rlike(f"(?:^|/){pattern}$")
+    return out
+
+
+def _csv(spark: SparkSession, path: str, globs: tuple[str, ...]) -> tuple[DataFrameReader, Column]:
+    """A reader of the CSV files (of any case) at or below a path, and which of them are asked for."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
+    file = F.col("_metadata.file_path")
+    # Of a single file no folder is known: it is taken by name.
+    return reader, F.lit(True) if path.lower().endswith(".csv") else included(file, globs)
+
+
+def normalize_us(raw: DataFrame, labels: dict[str, int], domain: str = US) -> DataFrame:
+    """Raw rows with a column `path`; identity comes from the file name, the participant's stands for the device's."""
+    part = F.split(F.element_at(F.split("path", "/"), -1), "_")
+    who = F.coalesce(F.get(part, F.lit(1)), stem(F.col("path")))
     rows = raw.select(
-        F.get(part, F.lit(1)).alias("participant_id"), F.lower(F.get(part, F.lit(2))).alias("vehicle_type"), file.alias("session_id"),
+        who.alias("participant_id"), who.alias("device_id"), F.lower(F.coalesce(F.get(part, F.lit(2)), F.lit(""))).alias("vehicle_type"), stem(F.col("path")).alias("session_id"),
         S.us_sensor(F.col("sensor_type")).alias("sensor"), S.digits_ms(F.col("time")).alias("timestamp_ms"), *[S.number(F.col(f"value_{i}")).alias(f"v{i}") for i in range(3)],
     )
     v = [F.col(f"v{i}") for i in range(3)]
     kept = rows.withColumn("label", S.lookup(F.col("vehicle_type"), labels)).where(F.col("label").isNotNull() & F.col("sensor").isNotNull() & complete(F.col("sensor"), v))
-    named = kept.withColumns({"domain": F.lit(domain), "device_id": F.lit("unknown"), "trip_id": F.col("session_id"), "phone_position": F.lit("unknown")})
+    named = kept.withColumns({"domain": F.lit(domain), "trip_id": F.col("session_id"), "phone_position": F.lit("unknown")})
     return coerce(named.select("*", group_id(), *widen(F.col("sensor"), v)))
 
 
-def read_us(spark: SparkSession, path: str, labels: dict[str, int]) -> DataFrame:
+def read_us(spark: SparkSession, path: str, labels: dict[str, int], globs: tuple[str, ...] = ("**/*",)) -> DataFrame:
     """Headerless CSV files; short rows are padded, long ones cut, bad bytes replaced."""
-    raw = spark.read.schema(US_RAW).option("mode", "PERMISSIVE").option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
-    return normalize_us(raw.withColumn("path", F.col("_metadata.file_path")), labels)
+    reader, asked = _csv(spark, path, globs)
+    raw = reader.schema(US_RAW).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
+    return normalize_us(raw.where(asked).withColumn("path", F.col("_metadata.file_path")), labels)
+
 
+def normalize_nor(raw: DataFrame, labels: dict[str, int], domain: str = NOR) -> DataFrame:
+    """Rows of the header format; Apple devices give g and kPa.
 
-def normalize_nor(raw: DataFrame, labels: dict[str, int], domain: str = "source") -> DataFrame:
-    """Rows of the header format; Apple devices give g and kPa."""
+    Rows without a participant, journey or trip belong to no session and go.
+    """
     missing = [c for c in NOR_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    ios = F.upper(F.trim("OS")) == "IOS"
-    rows = raw.select(*NOR_COLUMNS).withColumns({"sensor": S.nor_sensor(F.col("typeString")), "vehicle_type": F.lower(F.trim("transportType")), "timestamp_ms": S.iso_ms(F.col("timestamp"))})
+    ios = F.upper("OS") == "IOS"
+    rows = raw.select(*NOR_COLUMNS).withColumns({"sensor": S.nor_sensor(F.col("typeString")), "vehicle_type": F.lower("transportType"), "timestamp_ms": S.iso_ms(F.col("timestamp"))})
     scale = F.when(ios & (F.col("sensor") == "accelerometer"), S.STANDARD_GRAVITY).when(ios & (F.col("sensor") == "pressure"), S.KILOPASCAL_IN_HECTOPASCAL).otherwise(1.0)
     v = [S.number(F.col(f"value_{i}")) * scale for i in range(3)]
     kept = rows.withColumn("label", S.lookup(F.col("vehicle_type"), labels)).where(F.col("label").isNotNull() & F.col("sensor").isNotNull() & complete(F.col("sensor"), v))
     device = F.concat_ws(":", *[F.lower(F.coalesce(S.filled(F.col(c)), F.lit("unknown"))) for c in ("OS", "manufacturer", "model")])
-    trip = F.concat_ws("#", "journeyNumber", "tripNumber")
+    # Unlike concat_ws, concat gives null where a part is null, so that trips don't run together.
+    trip = F.concat("journeyNumber", F.lit("#"), "tripNumber")
     named = kept.withColumns({
         "domain": F.lit(domain), "participant_id": F.col("installationId"), "device_id": device, "trip_id": trip,
-        "session_id": F.concat_ws("#", "installationId", "journeyNumber", "tripNumber"), "phone_position": F.coalesce(S.filled(F.lower("deviceLocation")), F.lit("unknown")),
+        "session_id": F.concat("installationId", F.lit("#"), trip), "phone_position": F.coalesce(S.filled(F.lower("deviceLocation")), F.lit("unknown")),
     })
     return coerce(named.select("*", group_id(), *widen(F.col("sensor"), v)))
 
 
-def read_nor(spark: SparkSession, path: str, labels: dict[str, int]) -> DataFrame:
+def read_nor(spark: SparkSession, path: str, labels: dict[str, int], globs: tuple[str, ...] = ("**/*",)) -> DataFrame:
     """CSV files with a header; only the known columns are read."""
-    return normalize_nor(spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path), labels)
+    reader, asked = _csv(spark, path, globs)
+    return normalize_nor(reader.option("header", True).csv(path).where(asked), labels)
 
 
 def with_sidecars(payloads: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Payloads (path, ...) with `side`: `<file>.metadata.json` first, else the name with its suffix replaced."""
+    """Payloads (path, ...) with `side`: `<file>.metadata.json` first, else the name with its last suffix replaced."""
     key = F.regexp_replace("path", r"\.metadata\.json$", "")
     side = sidecars.select(key.alias("_key"), F.struct(*SIDECAR.names).alias("_side"))
-    stem = F.regexp_replace("path", r"\.json(\.gz)?$", "")
+    shorter = F.regexp_replace("path", r"\.[^./]*$", "")
     one, two = side.withColumnRenamed("_side", "_exact"), side.withColumnRenamed("_side", "_stem")
     joined = payloads.join(one, payloads["path"] == one["_key"], "left").drop("_key")
-    joined = joined.withColumn("_s", stem).join(two, F.col("_s") == two["_key"], "left")
+    joined = joined.withColumn("_s", shorter).join(two, F.col("_s") == two["_key"], "left")
     return joined.withColumn("side", F.coalesce("_exact", "_stem")).drop("_exact", "_stem", "_key", "_s")
 
 
-def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str = "collector") -> DataFrame:
+def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str = COLLECTOR) -> DataFrame:
     """Nested sessions with `path` and `side` to events. Of two files with one session id the first path wins."""
 
     def first(*columns: str) -> Column:
@@ -111,15 +148,15 @@ def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str
 
     named = payloads.select(
         "path", "samples",
-        F.coalesce(first("side.participant_id", "participant_id"), F.lit("unknown")).alias("participant_id"),
+        F.coalesce(first("side.participant_id", "participant_id"), F.lit("unknown_participant")).alias("participant_id"),
         first("session_id", "side.session_id").alias("session_id"),
-        F.coalesce(first("device_uuid", "side.device_uuid"), F.lit("unknown")).alias("device_id"),
+        F.coalesce(first("device_uuid", "side.device_uuid", "side.device_id"), F.lit("unknown_device")).alias("device_id"),
         F.lower(first("vehicle_type", "side.vehicle_type")).alias("vehicle_type"),
         F.coalesce(first("phone_position", "side.phone_position"), F.lit("unknown")).alias("phone_position"),
         F.coalesce(F.col("trimmed_start_ms").try_cast("bigint"), F.col("side.trimmed_start_ms").try_cast("bigint")).alias("s"),
         F.coalesce(F.col("trimmed_end_ms").try_cast("bigint"), F.col("side.trimmed_end_ms").try_cast("bigint")).alias("e"),
     )
-    named = named.withColumn("session_id", F.coalesce("session_id", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json(\.gz)?$", "")))
+    named = named.withColumn("session_id", F.coalesce("session_id", stem(F.col("path"))))
     named = named.withColumn("label", S.lookup(F.col("vehicle_type"), labels)).where("label IS NOT NULL")
     named = named.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("path"))).where("_k = 1")
     rows = named.withColumn("x", F.explode("samples")).withColumn("timestamp_ms", F.col("x.ts").try_cast("double").cast("bigint"))
@@ -128,26 +165,24 @@ def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str
     return coerce(rows.select("*", group_id(), *[S.number(F.col(f"x.{c}")).alias(c) for c in VALUES]))
 
 
-def read_collector(spark: SparkSession, path: str, labels: dict[str, int]) -> DataFrame:
+def read_collector(spark: SparkSession, path: str, labels: dict[str, int], globs: tuple[str, ...] = ("**/*",)) -> DataFrame:
     """JSON sessions, plain or gzip, with their sidecars."""
     every = lambda schema: spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
     file = F.element_at(F.split("path", "/"), -1)
     payloads = every(PAYLOAD).option("pathGlobFilter", "*.{json,json.gz}").json(path).withColumn("path", F.col("_metadata.file_path"))
-    payloads = payloads.where(~F.col("path").endswith(".metadata.json") & ~file.startswith("."))
+    payloads = payloads.where(included(F.col("path"), globs) & ~F.lower("path").endswith(".metadata.json") & ~file.startswith("."))
     sidecars = every(SIDECAR).option("pathGlobFilter", "*.metadata.json").json(path).withColumn("path", F.col("_metadata.file_path"))
     return normalize_collector(with_sidecars(payloads, sidecars), labels)
 
 
-for _name, _reader in (("us", read_us), ("nor", read_nor), ("collector", read_collector)):
+for _name, _reader in ((US, read_us), (NOR, read_nor), (COLLECTOR, read_collector)):
     register_source(_name, _reader)
 
 
 def write_events(events: DataFrame, path: str) -> bool:
     """Write a dataset once: a complete one is left as it is (False), a partial one rebuilt; no rows are an error."""
-    spark = events.sparkSession
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    fs, marker = file_system(events.sparkSession, f"{path}/_SUCCESS")
+    if fs.exists(marker):
         return False
     if events.isEmpty():
         raise ValueError("no rows to write")

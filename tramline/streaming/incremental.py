@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reads."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own))
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, own = file_system(spark, path)
+    return bool(fs.exists(own))
 
 
 def processed_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +38,17 @@ def append_new(batch: DataFrame, target: str, first_by: str | None = None) -> No
     batch.join(processed_sessions(batch.sparkSession, target), "session_id", "left_anti").write.mode("append").parquet(target)
 
 
-def run_available(spark: SparkSession, in_dir: str, schema: StructType, target: str, checkpoint: str, form: str = "json", normalize: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Take all files that came since the last run, append their new sessions, and stop."""
+def run_available(spark: SparkSession, in_dir: str, schema: StructType, target: str, checkpoint: str, form: str = "json", normalize: Callable[[DataFrame], DataFrame] | None = None, glob: str | None = None) -> None:
+    """Take all files that came since the last run, append their new sessions, and stop; nothing at all so far is an error."""
 
     def each(batch: DataFrame, _: int) -> None:
         append_new(normalize(batch) if normalize else batch, target, "_file")
 
-    stream = spark.readStream.schema(schema).format(form).load(in_dir).withColumn("_file", F.col("_metadata.file_path"))
+    reader = spark.readStream.schema(schema).format(form)
+    stream = (reader.option("pathGlobFilter", glob) if glob else reader).load(in_dir).withColumn("_file", F.col("_metadata.file_path"))
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if processed_sessions(spark, target).isEmpty():
+        raise ValueError("ingestion produced no rows")
 
 
 def build_pending(events: DataFrame, target: str, ledger: str, build: Callable[[DataFrame], DataFrame]) -> int:
@@ -51,45 +61,56 @@ def build_pending(events: DataFrame, target: str, ledger: str, build: Callable[[
     return processed_sessions(spark, ledger).count() - before
 
 
-def advance_mark(marks: DataFrame, source: str, seen: DataFrame) -> DataFrame:
-    """Marks (source, sync_key) with the source's moved to the largest key seen; never back."""
-    own = seen.agg(F.max("sync_key").alias("sync_key")).select(F.lit(source).alias("source"), "sync_key")
-    return marks.unionByName(own).groupBy("source").agg(F.max("sync_key").alias("sync_key"))
+def mark_of(marks: DataFrame, source: str, version: int = 1) -> str | None:
+    """The source's mark; None where there is none, or none of this version: reading begins anew."""
+    found = marks.where((F.col("source") == source) & (F.col("version") == version)).agg(F.max("sync_key")).first()
+    return found[0]
+
+
+def advance_mark(marks: DataFrame, source: str, seen: DataFrame, version: int = 1) -> DataFrame:
+    """Marks (source, version, sync_key) with the source's moved to the largest key seen; never back, but for another version.
+
+    A source's name says where it is read from (store, table and index), so another place has its own mark.
+    """
+    own = seen.agg(F.max("sync_key").alias("sync_key")).select(F.lit(source).alias("source"), F.lit(version).alias("version"), "sync_key")
+    kept = marks.where((F.col("source") != source) | (F.col("version") == version))
+    return kept.unionByName(own).groupBy("source", "version").agg(F.max("sync_key").alias("sync_key"))
 
 
-def stream_windows(events: DataFrame, window_ms: int, step_ms: int, lateness: str = "10 minutes") -> DataFrame:
+def stream_windows(events: DataFrame, window_ms: int, step_ms: int, lateness: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
     """(session_id, window_start_ms, n, mean) of session-anchored windows as they close.
 
     `events`: a stream of session_id, timestamp_ms, v and event time ts. Rows wait in state until
     the watermark passes; windows start at the session's first row, so rows before it that come
-    late are dropped. A session's state is its open rows only.
+    late are dropped. A session's state is its open rows; it goes when the watermark has passed the
+    session's last row by `idle_ms`. Rows that still come after that begin a session anew.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, begun, times, values = state.get if state.exists else (None, 0, [], [])
-        times, values = list(times), list(values)
-        for batch in batches:
-            times += batch["timestamp_ms"].tolist()
-            values += batch["v"].tolist()
+        first, begun, last, times, values = state.get if state.exists else (None, 0, None, [], [])
+        parts = [(np.array(times, np.int64), np.array(values, np.float64)), *((b["timestamp_ms"].to_numpy(np.int64), b["v"].to_numpy(np.float64)) for b in batches)]
+        times, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
         mark = state.getCurrentWatermarkMs()
-        if times and first is None:
-            first = min(times)
+        if len(times):
+            first, last = int(times[0]) if first is None else first, max(int(times[-1]), last or 0)
         out = []
-        while first is not None and first + begun * step_ms + window_ms <= mark:
+        while len(times) and first + begun * step_ms + window_ms <= mark:
             start = first + begun * step_ms
-            own = [v for t, v in zip(times, values, strict=True) if start <= t < start + window_ms]
-            if own:
-                out.append((key[0], start, len(own), float(sum(own) / len(own))))
+            own = values[slice(*np.searchsorted(times, [start, start + window_ms]))]
+            if len(own):
+                out.append((key[0], start, len(own), float(own.mean())))
             begun += 1
-            kept = [(t, v) for t, v in zip(times, values, strict=True) if t >= first + begun * step_ms]
-            times, values = [t for t, _ in kept], [v for _, v in kept]
-            if not times:
-                break
-        state.update((first, begun, times, values))
-        if times:
-            state.setTimeoutTimestamp(max(mark + 1, first + begun * step_ms + window_ms))
+            kept = np.searchsorted(times, first + begun * step_ms)
+            times, values = times[kept:], values[kept:]
+        if last is None or not len(times) and last + idle_ms <= mark:
+            state.remove()
+        else:
+            state.update((first, begun, last, times.tolist(), values.tolist()))
+            state.setTimeoutTimestamp(max(mark + 1, first + begun * step_ms + window_ms if len(times) else last + idle_ms))
         yield pd.DataFrame(out, columns=["session_id", "window_start_ms", "n", "mean"])
 
     return events.withWatermark("ts", lateness).groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, window_start_ms long, n long, mean double", "first long, begun long, times array<long>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        update, "session_id string, window_start_ms long, n long, mean double", "first long, begun long, last long, times array<long>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
