@@ -310,8 +310,8 @@ def test_simhash_dense_groups(spark):
         own[max(a, b)] = min(a, b)
     label = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {i: label.get(i, i) for i in graph} == {i: simhash._find(own, i) for i in graph}
-    for block in (4096, 7):
-        label = {r["node"]: r["label"] for r in simhash.components(simhash.links(df, 4, block)).collect()}
+    for block, most in ((4096, 1 << 16), (7, 3), (4096, 40)):
+        label = {r["node"]: r["label"] for r in simhash.components(simhash.links(df, 4, block, most=most)).collect()}
         assert {i: label.get(i, i) for i in expected} == expected
 
 

@@ -3,9 +3,10 @@
 A fingerprint is cut into bits // 2 + 1 segments, so that of two fingerprints within `bits`
 bits some segment differs by one bit at most. Every fingerprint is indexed under each segment
 with each of its bits as a wildcard; fingerprints that share an entry are verified against
-each other. Links of one entry leave the task as a chain through each linked set, not as
-pairs; entries above `block` fingerprints are dealt out in pairs of blocks, so none is ever
-gathered whole and no link is lost. Components come from the chains by contraction, every round
+each other. Each half of a segment is one row to be dealt, by which a task gets all variants of
+the other half. Links of one variant leave the task as a chain through each linked set, not as
+pairs; large halves are dealt by variant, and variants above `block` fingerprints in pairs of
+blocks, so none is ever gathered whole and no link is lost. Components come from the chains by contraction, every round
 written to the shared folder.
 
 Links may further be verified by more lanes of 64 bits, made from the same shingle hashes:
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WORD, free_name, materialize, text_chunks, texts
@@ -97,18 +98,30 @@ def segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _entries(own: DataFrame, bits: int) -> DataFrame:
-    """(entry, node, bits): one row for each segment and wildcard of every fingerprint.
+def halves(bits: int) -> list[tuple[int, int, int, int]]:
+    """(first bit, size) of the exact half and of the one with the wildcard, of each segment cut in two, either way."""
+    out = []
+    for first, size in segments(bits):
+        low = size // 2
+        two = (first, low), (first + low, size - low)
+        out += [(*exact, *wild) for exact, wild in (two, two[::-1]) if wild[1]]
+    return out
+
+
+def _bits_of(column: str, first: int, size: int) -> Column:
+    return F.shiftrightunsigned(column, first).bitwiseAND((1 << size) - 1 if size < 63 else -1) if size else F.lit(0).cast("long")
+
 
-    An entry is the wildcard's bit above the segment's value, as far as both fit in 63 bits, so that rows compress.
+def _parts(own: DataFrame, bits: int) -> DataFrame:
+    """(part, wild, width, node, bits): two rows for each segment; a part is its exact half, wild is what the other half holds.
+
+    Fingerprints whose segments differ in one bit share the part whose wildcard half has it.
     """
-    made, widest = [], max(size for _, size in segments(bits))
-    for first, size in segments(bits):
-        value = F.shiftrightunsigned("bits", first).bitwiseAND((1 << size) - 1 if size < 64 else -1)
-        for at in range(size):
-            made.append(F.struct(F.lit(first + at).alias("w"), value.bitwiseAND(((1 << size) - 1) ^ (1 << at) if size < 64 else ~(1 << at) if at < 63 else (1 << 63) - 1).alias("v")))
-    entry = F.shiftleft(F.col("e.w").cast("long"), widest).bitwiseOR(F.col("e.v")) if widest <= 57 else F.xxhash64("e.w", "e.v")
-    return own.select("*", F.explode(F.array(*made)).alias("e")).select(entry.alias("entry"), *own.columns)
+    made = [
+        F.struct((F.lit(i << 40).bitwiseOR(_bits_of("bits", first, size)) if size <= 40 else F.xxhash64(F.lit(i), _bits_of("bits", first, size))).alias("part"), _bits_of("bits", start, width).alias("wild"), F.lit(width).alias("width"))
+        for i, (first, size, start, width) in enumerate(halves(bits))
+    ]
+    return own.select("*", F.explode(F.array(*made)).alias("e")).select("e.*", *own.columns)
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -171,58 +184,100 @@ def _chains(nodes: np.ndarray, values: list[np.ndarray], bits: int, total: int)
     return nodes[order][:-1][same], nodes[order][1:][same]
 
 
-def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut: int | None = None) -> DataFrame:
+def _joined(node: np.ndarray, values: list[np.ndarray], bounds: np.ndarray, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each group of places between bounds: chains in groups above SMALL, else all of them."""
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = np.diff(bounds)
+    # Small groups: every pair of places at once, for all groups of a size.
+    for n in range(2, SMALL + 1):
+        first = bounds[:-1][size == n]
+        for x in range(n if len(first) else 0):
+            for y in range(x + 1, n):
+                near = first[_near(values, first + x, first + y, bits, total)]
+                heads.append(np.minimum(node[near + x], node[near + y]))
+                tails.append(np.maximum(node[near + x], node[near + y]))
+    for k in np.flatnonzero(size > SMALL):
+        part = slice(bounds[k], bounds[k + 1])
+        a, b = _chains(node[part], [v[part] for v in values], bits, total)
+        heads.append(a)
+        tails.append(b)
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns take new values, 0 included."""
+    return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1])
+
+
+def _shares(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, bounds) of whole shares of sorted rows: those that have equal first `keys` columns."""
+    rest, end = [np.zeros(0, np.int64) for _ in names], False
+    batches = iter(batches)
+    while not end:
+        batch = next(batches, None)
+        end = batch is None
+        columns = rest if end else [np.concatenate([r, np.asarray(batch[c]).astype(np.int64)]) for r, c in zip(rest, names, strict=True)]
+        n = len(columns[0])
+        if not n:
+            continue
+        bounds = np.concatenate([_starts(*columns[:keys]), [n] * end]).astype(np.int64)
+        rest = [c[bounds[-1] :] for c in columns]
+        if len(bounds) > 1:
+            yield [c[: bounds[-1]] for c in columns], bounds
+
+
+def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut: int | None = None, most: int = 1 << 16) -> DataFrame:
     """(a, b): chains that connect all nodes within `bits` bits (and `total` bits of all lanes).
 
     `own`: (node, bits[, more, ...]), nodes and fingerprints distinct. With `cut`, `bits` only sets
     the segments that bring nodes together, and up to `cut` bits of the lane are accepted.
+
+    Rows are dealt by the exact half of a segment; the task makes the wildcard variants of the
+    other half. Parts of more than `most` rows are dealt by variant instead, and variants of more
+    than `block` rows in pairs of blocks.
     """
     kept, reach = own.columns, bits if cut is None else cut
-    entries = _entries(own, bits)
-    # Only entries above a block need their counts; all others are one share.
-    large = materialize(entries.groupBy("entry").count().where(F.col("count") > block))
-    found = entries.join(large, "entry", "left")
-    blocks = F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1))
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    dealt = found.select("entry", *kept, F.explode(both).alias("p")).select("entry", F.col("p.i").alias("i"), F.col("p.j").alias("j"), *kept)
-    # An entry's share arrives sorted and whole: all its rows have one (entry, i, j).
-    dealt = dealt.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64) for _ in range(3 + len(kept))]
-        end = False
-        batches = iter(batches)
-        while not end:
-            batch = next(batches, None)
-            end = batch is None
-            columns = rest if end else [np.concatenate([r, np.asarray(batch[c]).astype(np.int64)]) for r, c in zip(rest, ("entry", "i", "j", *kept), strict=True)]
-            n = len(columns[0])
-            if not n:
-                continue
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
-            bounds = [0, *new.tolist(), *[n] * end]
-            rest = [c[bounds[-1] :] for c in columns]
-            heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            bounds = np.array(bounds)
-            size = np.diff(bounds)
-            node, values = columns[3], [c.view(np.uint64) for c in columns[4:]]
-            # Small shares: every pair of places at once, for all shares of a size.
-            for n in range(2, SMALL + 1):
-                first = bounds[:-1][size == n]
-                for x in range(n if len(first) else 0):
-                    for y in range(x + 1, n):
-                        near = first[_near(values, first + x, first + y, reach, total)]
-                        heads.append(np.minimum(node[near + x], node[near + y]))
-                        tails.append(np.maximum(node[near + x], node[near + y]))
-            for k in np.flatnonzero(size > SMALL):
-                part = slice(bounds[k], bounds[k + 1])
-                a, b = _chains(node[part], [v[part] for v in values], reach, total)
-                heads.append(a)
-                tails.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    parts = _parts(own, bits)
+    wide = materialize(parts.groupBy("part").count().where(F.col("count") > most).select("part"))
+    some = not wide.isEmpty()
+    near = (parts.join(wide, "part", "left_anti") if some else parts).select("part", "wild", "width", *kept)
+    near = near.repartition("part").sortWithinPartitions("part")
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, bounds in _shares(batches, ("part", "wild", "width", *kept), 1):
+            wild, width, node, values = columns[1], columns[2], columns[3], [c.view(np.uint64) for c in columns[4:]]
+            share = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            found = []
+            for bit in range(int(width.max())):
+                # Nodes of a share whose other halves are equal but for this bit.
+                at = np.flatnonzero(width > bit)
+                key = wild[at] & ~(1 << bit)
+                at = at[np.lexsort((key, share[at]))]
+                own = share[at], wild[at] & ~(1 << bit)
+                found.append(_joined(node[at], [v[at] for v in values], np.concatenate([_starts(*own), [len(at)]]), reach, total))
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    out = near.mapInArrow(variants, "a long, b long")
+    if some:
+        far = parts.join(wide, "part").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+        far = far.select(F.xxhash64("part", "k", F.col("wild").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, k)")))).alias("entry"), *kept)
+        # Only entries above a block need their counts; all others are one share.
+        large = materialize(far.groupBy("entry").count().where(F.col("count") > block))
+        blocks = F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1))
+        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+        dealt = far.join(large, "entry", "left").select("entry", *kept, F.explode(both).alias("p")).select("entry", F.col("p.i").alias("i"), F.col("p.j").alias("j"), *kept)
+        # An entry's share arrives sorted and whole: all its rows have one (entry, i, j).
+        dealt = dealt.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns, bounds in _shares(batches, ("entry", "i", "j", *kept), 3):
+                a, b = _joined(columns[3], [c.view(np.uint64) for c in columns[4:]], bounds, reach, total)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        out = out.union(dealt.mapInArrow(run, "a long, b long"))
+    return out.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
