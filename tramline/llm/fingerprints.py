@@ -156,11 +156,11 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole = Window.orderBy("range")
     around = tops.select("top", F.coalesce(F.lag("last").over(whole), F.min("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before_top"))
     within = ranged.withColumn("before", F.lag("bucket").over(Window.partitionBy("range").orderBy(F.desc("bucket"))))
-    firsts = within.join(F.broadcast(around), within["bucket"] == around["top"], "left").select("bucket", "head", F.coalesce("before", "before_top").alias("before"))
-    # One exchange of texts serves both.
-    dealt = rows.select("id", "text", bucket).repartition("bucket")
-    heads_ = dealt.join(firsts, "bucket").where("id = head").groupBy("before").agg(F.min("text").alias("head_text")).withColumn("head_vector", vector(F.col("head_text")))
-    near = dealt.sortWithinPartitions("bucket", F.desc("id"), "text").withColumn("vector", vector(F.col("text")))
+    # Written, so that the size of this table of ids, one in some thousand, decides whether texts move for it.
+    firsts = materialize(within.join(F.broadcast(around), within["bucket"] == around["top"], "left").select("head", F.coalesce("before", "before_top").alias("before")))
+    heads_ = rows.join(firsts, F.col("id") == F.col("head")).groupBy("before").agg(F.min("text").alias("head_text"))
+    heads_ = materialize(heads_.withColumn("head_vector", vector(F.col("head_text"))))
+    near = rows.select("id", "text", bucket).repartition("bucket").sortWithinPartitions("bucket", F.desc("id"), "text").withColumn("vector", vector(F.col("text")))
     near = near.withColumn("next", F.lead(F.struct("text", "vector")).over(Window.partitionBy("bucket").orderBy(F.desc("id"), "text")))
     last = F.col("next").isNull()
     return near.join(heads_, F.col("bucket") == F.col("before"), "left").select(
