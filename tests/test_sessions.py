@@ -170,7 +170,7 @@ def test_snapshot(spark):
 def test_reports(spark, tmp_path):
     for i, m in enumerate(([[8, 2], [4, 6]], [[9, 1], [1, 9]])):
         (tmp_path / f"r{i}" / "x").mkdir(parents=True)
-        report = {"car": {"precision": 1, "recall": 0.5 + i / 10, "f1-score": 0.6, "support": 10}, "accuracy": 0.7, "macro avg": {"recall": 1}}
+        report = {"bus": {"precision": 1, "recall": 0.5, "f1-score": 0.6, "support": 10}, "car": {"precision": 1, "recall": 0.5 + i / 10, "f1-score": 0.6, "support": 10}, "accuracy": 0.7, "macro avg": {"recall": 1}}
         held = {"accuracy": 0.7 + i / 5, "balanced_accuracy": 0.7, "macro_f1": 0.7 + i / 5, "minimum_class_recall": 0.6, "classification_report": report, "confusion_matrix": m}
         (tmp_path / f"r{i}" / "x" / "metrics.json").write_text(json.dumps({"config_hash": "c" * 12, "trial_hash": f"{i}" * 12, "train_dataset": "us", "collector_holdout": held}))
     own = reports.read_metrics(spark, str(tmp_path))

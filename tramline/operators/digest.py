@@ -13,7 +13,7 @@ def json_text(x: Column) -> Column:
     def shown(c: Column) -> Column:
         code = F.ascii(c)
         short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-        out = F.when((code >= 32) & (code < 127) & ~c.isin('"', "\\") | (code == 127), c)
+        out = F.when((code >= 32) & (code < 127) & ~c.isin('"', "\\"), c)
         for plain, escaped in short.items():
             out = out.when(c == plain, escaped)
         high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
@@ -21,7 +21,7 @@ def json_text(x: Column) -> Column:
 
     # Most ids have plain characters only and need no look at each of them.
     chars = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: shown(F.substring(x, i, F.lit(1))))
-    own = F.when((x == "") | x.rlike(r"^[ !#-\[\]-\x7F]*$"), x).otherwise(F.array_join(chars, ""))
+    own = F.when((x == "") | x.rlike(r"^[ !#-\[\]-~]*$"), x).otherwise(F.array_join(chars, ""))
     return F.concat(F.lit('"'), own, F.lit('"'))
 
 

@@ -1,11 +1,13 @@
 """Training protocols: tune, fit and evaluate without leakage between groups.
 
 Only fitted parameters, trial scores and one row for each participant or fold reach the driver;
-rows stay in Spark. Feature tables are read many times, so pass written ones.
+rows stay in Spark. Feature tables are read many times, so pass written ones; rows to fit and
+predictions are read many times too, and are written to `folder` first.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -20,8 +22,9 @@ FINGERPRINT = ("domain", "participant_id", "group_id", "label", "session_id", "w
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run is asked to do. `modes`: name -> label. `trials`: (family, parameters) to choose from."""
+    """What a run is asked to do. `folder`: shared, for tables between steps. `modes`: name -> label. `trials`: (family, parameters) to choose from."""
 
+    folder: str
     features: list[str]
     modes: dict[str, int]
     trials: list[tuple[str, dict]]
@@ -62,13 +65,20 @@ def parted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return source, collector
 
 
+def _kept(df: DataFrame, asked: Settings) -> DataFrame:
+    """`df` written and read back."""
+    path = f"{asked.folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _weighted(asked: Settings, factor: bool = True):
     """Chooses and weights rows to fit, for a fold's number."""
 
     def prepare(train: DataFrame, fold: int) -> DataFrame:
         own = balance.balance_durations(train, asked.seed + fold) if asked.balanced else train
         weigh = balance.hierarchical_weights if asked.hierarchical else balance.class_weights
-        return weigh(own, asked.collector_factor if factor else 1.0)
+        return _kept(weigh(own, asked.collector_factor if factor else 1.0), asked)
 
     return prepare
 
@@ -78,7 +88,8 @@ def tuned(source: DataFrame, rows: DataFrame, folds: DataFrame, group: str, aske
     found = []
     for family, params in asked.trials:
         pooled = ml.cross_validated(source, rows, folds, group, asked.features, asked.labels, family, params, _weighted(asked, factor), "weight", asked.seed)
-        found.append((float(metrics.overall(metrics.confusion(pooled, asked.labels)).first()[asked.metric]), family, params))
+        score = metrics.overall(metrics.confusion(_kept(pooled.select("truth", "prediction"), asked), asked.labels)).first()[asked.metric]
+        found.append((float(score), family, params))
     return sorted(found, key=lambda x: -x[0])
 
 
@@ -90,14 +101,14 @@ def session_holdout(df: DataFrame, asked: Settings, group: str = "group_id") ->
     """Tune on calibration groups, fit on the source and all of them, report on them and on held-out groups."""
     ml.combined(df, df.limit(0), asked.features)
     source, collector = parted(df)
-    roles = splits.holdout(collector, asked.calibration, asked.seed, group, asked.modes)
+    roles = _kept(splits.holdout(collector, asked.calibration, asked.seed, group, asked.modes), asked)
     of = lambda role: collector.join(F.broadcast(roles.where(F.col("role") == role).select(group)), group, "left_semi")
     calibration, held = of("calibration"), of("holdout")
-    folds = splits.group_kfold(calibration, asked.folds, asked.seed, group)
+    folds = _kept(splits.group_kfold(calibration, asked.folds, asked.seed, group), asked)
     # Without hierarchical weights, trials are compared without the collector's factor.
     trials = tuned(source, calibration, folds, group, asked, asked.hierarchical)
     model = _fitted(source.unionByName(calibration), trials[0], asked)
-    shown = {name: ml.predict(model, rows, asked.features, asked.labels) for name, rows in (("collector_calibration", calibration), ("collector_holdout", held))}
+    shown = {name: _kept(ml.predict(model, rows, asked.features, asked.labels), asked) for name, rows in (("collector_calibration", calibration), ("collector_holdout", held))}
     figures = {name: metrics.evaluation(rows, asked.labels, asked.iterations, asked.seed) for name, rows in shown.items()}
     kept = roles.join(folds, group, "left").select(F.lit("session").alias("held_out"), F.col(group).alias("grp"), "role", "fold")
     return Run(model, trials[0][1], trials[0][2], [("final", *t) for t in trials], shown, figures, kept)
@@ -121,17 +132,17 @@ def participant_nested(df: DataFrame, asked: Settings) -> Run:
     pooled, outer, trials, kept = None, [], [], None
     for number, person in enumerate(people):
         rows, test = collector.where(F.col(group) != person), collector.where(F.col(group) == person)
-        folds = splits.stratified_group_kfold(rows, asked.folds, asked.seed + number).drop("scope")
+        folds = _kept(splits.stratified_group_kfold(rows, asked.folds, asked.seed + number).drop("scope"), asked)
         found = tuned(source, rows, folds, group, asked)
         trials += [(str(person), *t) for t in found]
-        own = ml.predict(_fitted(source.unionByName(rows), found[0], asked, number), test, asked.features, asked.labels)
+        own = _kept(ml.predict(_fitted(source.unionByName(rows), found[0], asked, number), test, asked.features, asked.labels), asked)
         outer.append({"held_out": str(person), "score": found[0][0], "family": found[0][1], "parameters": found[0][2]})
         pooled = own if pooled is None else pooled.unionByName(own)
         inner = folds.select(F.lit(str(person)).alias("held_out"), F.col(group).cast("string").alias("grp"), F.lit("train").alias("role"), "fold")
         kept = inner if kept is None else kept.unionByName(inner)
     if not incomplete(collector, pooled).isEmpty():
         raise RuntimeError("not every collector row is predicted exactly once")
-    folds = splits.stratified_group_kfold(collector, asked.folds, asked.seed).drop("scope")
+    folds = _kept(splits.stratified_group_kfold(collector, asked.folds, asked.seed).drop("scope"), asked)
     final = tuned(source, collector, folds, group, asked)
     model = _fitted(df, final[0], asked)
     figures = {"collector_holdout": metrics.evaluation(pooled, asked.labels, asked.iterations, asked.seed)}

@@ -749,11 +749,17 @@ _FOREST = ("random_forest", {"numTrees": 10, "maxDepth": 5})
 
 
 def _asked(rows, trials, **more):
-    return protocols.Settings([c for c in rows.columns if "#" in c], _MODES, trials, seed=SEED, **more)
+    return protocols.Settings(_scratch(rows.sparkSession, "run"), [c for c in rows.columns if "#" in c], _MODES, trials, seed=SEED, **more)
+
+
+def _weighted_rows(spark, d):
+    path = _scratch(spark, "weighted")
+    balance.class_weights(_model_rows(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _holdout_metrics(spark, d, family, params):
-    rows = balance.class_weights(_model_rows(spark, d))
+    rows = _weighted_rows(spark, d)
     names = [c for c in rows.columns if "#" in c]
     held = F.broadcast(splits.holdout(rows.where("domain = 'collector'"), 0.5, SEED).where("role = 'holdout'").select("group_id"))
     model = ml.fit(rows.join(held, "group_id", "left_anti"), names, family, params, weight="weight", classes=len(V.LABELS))
@@ -777,7 +783,7 @@ def mlp_metrics(spark, d):
 
 @query()
 def tuning_oof(spark, d):
-    rows = balance.class_weights(_model_rows(spark, d))
+    rows = _weighted_rows(spark, d)
     folds = splits.group_kfold(rows, 3, SEED)
     found = ml.tune(rows, folds, "group_id", [c for c in rows.columns if "#" in c], V.LABELS, "random_forest", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 5}], weight="weight")
     return spark.createDataFrame([(i, s, str(p)) for i, (s, p) in enumerate(found)], "place int, score double, parameters string")
