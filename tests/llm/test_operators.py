@@ -153,6 +153,9 @@ def test_media(docs):
         r = got[doc]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert media.unpack(bytes(r["media"])) == payload and len(r["times"]) == len(r["hashes"])
+    assert media.features(media.to_media(empty(docs))).count() == 0
+    again = media.features(media.features(media.to_media(docs)))
+    assert again.columns.count("times") == 1 and {r["doc_id"]: r["times"] for r in again.collect()} == {k: r["times"] for k, r in got.items()}
     tone = (128 + 100 * np.sin(2 * np.pi * 100 * np.arange(5760) / media.FRAME)).astype(np.uint8).tobytes()
     assert set(media.peaks(tone)[:, 1].tolist()) == {100}
 
@@ -228,6 +231,8 @@ def test_packing(spark, docs):
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] <= 64
     assert packing.pack_documents(empty(docs), file).count() == 0
+    clash = spark.createDataFrame([(i, 0, n, 7, 8, 9, 10) for i, n in enumerate((5, 5, 5, 64, 59))], "doc_id long, piece int, length long, _bucket int, _rank int, offset int, `_before` int")
+    assert {(r["length"], r["_bucket"], r["_rank"], r["_before"]) for r in packing.pack(clash, 64).collect()} == {(n, 7, 8, 10) for n in (5, 59, 64)}
     rng = np.random.default_rng(3)
     counts = {int(n): int(c) for n, c in zip(*np.unique(rng.integers(1, 2049, 20_000), return_counts=True), strict=True)}
     assert packing.Plan(counts, 2048).sequences <= 1.005 * sum(n * c for n, c in counts.items()) / 2048 + 1

@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, bits int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
+    rows = [(1, long, "en", None, None, "x", 1), (1, long, "en", None, None, "x", 1), (None, "a b c", None, None, None, None, None), (2, None, None, None, None, None, None), (3, "", None, None, None, None, None), (4, long + " end", "en", None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= len(rows), name
+    docs.write.parquet(f"{tmp_path}/b/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {1, None}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     words = ["".join(rng.choices("aehinorst", k=rng.randint(2, 7))) for _ in range(400)]

@@ -4,7 +4,9 @@ A text's UTF-8 bytes, filled up by bytes 255 to a positive multiple of 576, are
 of a mono 8-bit WAV. Features come from the samples read back by the wave module: in each
 frame the strongest bin of each of three bands, if above the frame's mean, is a peak; each
 peak is paired with the next frames' peaks. A pair is one integer (bin, bin, frames between)
-with the time of its first peak. A null text is an empty one: 576 samples of 255.
+with the time of its first peak. Of equally strong bins the lowest is the peak. A null text is an
+empty one: 576 samples of 255. Rows are taken one by one, so repeated rows and ids give repeated
+results.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import text_chunks
+
 UNIT = 576
 RATE = 8000
 FRAME = 2 * UNIT
@@ -88,7 +92,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, n_bytes, media): each text as a WAV file; n_bytes without the fill."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             sizes: list[int] = []
 
             def stored() -> Iterator[bytes]:
@@ -107,15 +111,16 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """The columns of `df` and payload_bytes, payload_sha256, tail_crc32, times, hashes: all from the stored bytes.
 
-    times and hashes are the fingerprint: the k-th pair starts in frame times[k].
+    Columns of `df` with these names are replaced. times and hashes are the fingerprint: the k-th pair starts in frame times[k].
     """
     ints = T.ArrayType(T.IntegerType())
     added = (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("times", ints), ("hashes", ints))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {name for name, _ in added}])
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in added)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches, media_col):
             rows = []
             for x in batch.column(batch.schema.get_field_index(media_col)):
                 payload = unpack(x.as_py())

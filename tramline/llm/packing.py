@@ -12,7 +12,8 @@ The plan says which ranks among the pieces of a length go to which sequences, so
 themselves are placed by Spark: their rank comes from a window over (length, bucket) and the
 counts of the buckets before.
 
-A null text is an empty one: a document of one id, the separator.
+A null text is an empty one: a document of one id, the separator. Repeated rows and ids are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize
+from ._common import free_name, materialize, text_chunks
 
 #: Texts of these characters only take the fast path.
 _PLAIN = re.compile("[\\x20-\\x7E\\nªµºÀ-ÖØ-öø-ɏ]*")
@@ -80,7 +81,7 @@ def pieces(df: DataFrame, tokenizer_file: str, room: int = 2048, separator: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _own.get(tokenizer_file) or _own.setdefault(tokenizer_file, Ids(tokenizer_file))
-        for batch in batches:
+        for batch in text_chunks(batches):
             docs, number, starts, sizes, sums, parts = [], [], [], [], [], []
             for doc, x in zip(batch[0].to_pylist(), batch[1], strict=True):
                 raw = ids.of(x.as_py() or "") + end
@@ -242,35 +243,38 @@ class Plan:
 
 
 def pack(pieces_: DataFrame, room: int = 2048, id_col: str = "doc_id", per_bucket: int = 20_000) -> DataFrame:
-    """The columns of `pieces_` (id, piece, length and any others) and sequence_id, offset.
+    """The columns of `pieces_` (id, piece, length and any others) and sequence_id, offset, which replace columns of these names.
 
     `pieces_` is read twice: pass a written table. Rows that are alike in id, piece and length are
-    placed one by one; a length above `room` is an error.
+    placed one by one; a length above `room` is an error. No pieces give no rows.
     """
+    pieces_ = pieces_.select(*[F.col(f"`{c}`") for c in pieces_.columns if c.lower() not in ("sequence_id", "offset")])
+    bucket, rank, earlier = (free_name(pieces_, c) for c in ("_bucket", "_rank", "_before"))
     counts = {int(r["length"]): int(r["count"]) for r in pieces_.groupBy("length").count().collect()}
     if any(not 0 < n <= room for n in counts):
         raise ValueError("piece lengths must be between 1 and the room of a sequence")
     plan = Plan(counts, room)
     buckets = max(1, sum(counts.values()) // per_bucket)
-    bucketed = pieces_.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
-    own = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece")
-    before = bucketed.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
-    ranked = bucketed.withColumn("_rank", F.row_number().over(own) - 1).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
+    bucketed = pieces_.withColumn(bucket, F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
+    own = Window.partitionBy("length", bucket).orderBy(id_col, "piece")
+    each = bucketed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(earlier))
+    before = each.withColumn(earlier, F.sum(earlier).over(Window.partitionBy("length").orderBy(bucket)) - F.col(earlier))
+    ranked = bucketed.withColumn(rank, F.row_number().over(own) - 1).join(before, ["length", bucket]).withColumn(rank, F.col(rank) + F.col(earlier)).drop(bucket, earlier)
     rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
     keys = (rows[:, 0] << 44) + rows[:, 1]
     kept = [c for c in pieces_.columns]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (np.asarray(batch[c]).astype(np.int64) for c in ("length", "_rank"))
-            own = rows[np.searchsorted(keys, (length << 44) + rank, side="right") - 1] if len(rank) else rows[:0]
-            within = rank - own[:, 1]
+            length, place_ = (np.asarray(batch[c]).astype(np.int64) for c in ("length", rank))
+            own = rows[np.searchsorted(keys, (length << 44) + place_, side="right") - 1] if len(place_) else rows[:0]
+            within = place_ - own[:, 1]
             sequence = own[:, 3] + within // np.maximum(own[:, 2], 1)
             offset = own[:, 4] + within % np.maximum(own[:, 2], 1) * length
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     schema = T.StructType([*pieces_.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*kept, F.col("_rank").cast("long")).mapInArrow(place, schema)
+    return ranked.select(*[F.col(f"`{c}`") for c in kept], F.col(rank).cast("long")).mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, room: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
