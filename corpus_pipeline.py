@@ -2,6 +2,12 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; run() writes each result as Parquet
 to the shared folder and reads it back as the next stage's docs.
+
+Every stage keeps the columns of its docs, whatever further ones there are, but for the last one.
+Empty tables give empty tables. Null and empty texts are dropped by the first stage; a later stage
+by itself keeps them as they are (packing: one separator). Rows without an id stay where ids
+decide. Of near copies the smallest id stays, of passages the first in order of id and place; rows
+that share an id and are equal or near copies stay together. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations
