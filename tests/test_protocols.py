@@ -91,3 +91,9 @@ def test_mixed_sessions(spark):
     assert metrics.session_vote(pred, [0, 1]).first()["truths"] == 2
     with pytest.raises(Exception, match="more than one true label"):
         metrics.session_vote(pred, [0, 1], strict=True).collect()
+
+
+def test_grid():
+    drawn = ml.grid("random_forest", 5, 3)
+    assert len(drawn) == 5 and drawn == ml.grid("random_forest", 5, 3) and all(drawn.count(x) == 1 for x in drawn)
+    assert all(set(x) == set(ml.SPACE["random_forest"]) for x in drawn)
