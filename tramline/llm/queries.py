@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, media, packing, secrets, sentencepieces, simhash, spans, toxicity, urls
+from . import fingerprints, language, media, negatives, packing, resampling, secrets, sentencepieces, simhash, spans, substrings, toxicity, urls
 
 #: The rules of the url query.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -96,8 +96,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's weight towards the benchmark's texts, and the draw of five in a hundred."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes that repeated strings of 200 bytes cover."""
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector's label is moved on first."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_fingerprints, op4_media, op5_language, op6_packing, op7_substring_dedup, op8_toxicity, op9_simhash, op10_secrets)}
+    made = (op1_sentencepiece, op2_url_filter, op3_fingerprints, op4_media, op5_language, op6_packing, op7_substring_dedup, op8_toxicity, op9_simhash, op10_secrets, op11_resampling, op12_substrings, op13_negatives)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -127,4 +146,49 @@ word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+        "op12_substrings": r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT n, unnest(range(0, length(x) // 2 - 199, 500)) AS c, x FROM d),
+y AS (SELECT n, c, substr(x, 2 * c + 1, 1398) AS y FROM c),
+s AS (SELECT n, c, y, unnest(range(0, length(y) // 2 - 199)) AS i FROM y),
+h AS (SELECT n, c + i AS i, md5_number(substr(y, 2 * i + 1, 400)) AS h FROM s),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+rep AS (SELECT n, i, lag(i) OVER (PARTITION BY n ORDER BY i) AS before FROM h SEMI JOIN again USING (h)),
+led AS (SELECT n, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i) AS g FROM rep),
+runs AS (SELECT n, min(i) AS a, max(i) + 200 AS b FROM led GROUP BY n, g),
+gaps AS (SELECT n, a, b, coalesce(lag(b) OVER w, 0) AS c FROM runs WINDOW w AS (PARTITION BY n ORDER BY a)),
+cut AS (SELECT n, sum(b - a) AS gone, count(*) AS k, max(b) AS last, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head FROM gaps JOIN d USING (n) GROUP BY n)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(CASE WHEN cut.n IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (n)""",
+        "op13_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
+        "op11_resampling": r"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT 0 AS kind, doc_id, row_number() OVER () AS n, text FROM documents UNION ALL SELECT 1, item_id, -row_number() OVER (), text FROM benchmark),
+w AS (SELECT kind, doc_id, n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+u AS (SELECT n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+f AS (
+  SELECT n, unnest([x, x || ' ' || lead(x) OVER o, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o]) AS g FROM u WINDOW o AS (PARTITION BY n ORDER BY i)),
+g AS (SELECT n, g, count(*) AS k FROM f WHERE g IS NOT NULL GROUP BY n, g),
+b AS (
+  SELECT g, xor(list_reduce(list_transform(range(0, octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g FROM g), tab),
+h AS (SELECT n, b, sum(k) AS k FROM g JOIN b USING (g) GROUP BY n, b),
+c AS (SELECT b, coalesce(sum(k) FILTER (n > 0), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (n < 0), 0)::DOUBLE AS t FROM h GROUP BY b),
+r AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS gain FROM c),
+e AS (SELECT n, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS weight FROM h JOIN r USING (b) GROUP BY n),
+z AS (
+  SELECT doc_id, n, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN e USING (n) WHERE kind = 0),
+o AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank
+FROM z LEFT JOIN o USING (n)""",
     }
