@@ -105,11 +105,11 @@ def cut(own, length):
     return out
 
 
-@pytest.mark.parametrize("length, anchor", [(200, 64), (200, 200), (40, 8), (20, 1)])
-def test_substrings(spark, docs, length, anchor):
+@pytest.mark.parametrize("length, anchor, most", [(200, 64, 2048), (200, 200, 0), (40, 8, 3), (20, 1, 2048), (5, 2, 0)])
+def test_substrings(spark, docs, length, anchor, most):
     rows = docs.where("length(text) < 20000 or text is null").unionByName(spark.createDataFrame([(None, PASSAGE), (None, None)], "doc_id long, text string"), allowMissingColumns=True)
     own = [(r["doc_id"], r["text"]) for r in rows.collect()]
-    got = substrings.dedup(rows, length, anchor).collect()
+    got = substrings.dedup(rows, length, anchor, most).collect()
     assert sorted(((r[0], *r[1:4], bytes(r[4])) for r in got), key=str) == sorted(((d, *c) for (d, _), c in zip(own, cut([x for _, x in own], length), strict=True)), key=str)
 
 
@@ -117,7 +117,7 @@ def test_substrings_random(spark):
     rng = random.Random(11)
     pool = ["".join(rng.choices("ab", k=60)) for _ in range(6)]
     own = [(i, "".join(rng.choice(pool)[rng.randrange(30) :] for _ in range(rng.randint(1, 8)))) for i in range(120)]
-    got = substrings.dedup(spark.createDataFrame(own, "doc_id long, text string"), 48, 12).orderBy("doc_id").collect()
+    got = substrings.dedup(spark.createDataFrame(own, "doc_id long, text string"), 48, 12, 9).orderBy("doc_id").collect()
     assert [(*r[1:4], bytes(r[4])) for r in got] == cut([x for _, x in own], 48)
 
 

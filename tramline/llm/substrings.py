@@ -8,11 +8,13 @@ most significant digit on, and what is alone in its group leaves:
 1. by anchor: anchors that occur once leave;
 2. by the bytes of the run: of runs that occur again, every string repeats;
 3. runs that are alone though their anchor isn't are taken apart into strings of `length` bytes, one copy of
-   each other run of the anchor beside them; equal groups of these are exactly the repeated strings.
+   each other run of the anchor beside them: by last bytes, first bytes, and all of them. Equal groups of these are
+   exactly the repeated strings.
 
-Groups are those of digests: 64 bits for anchors, which only saves work, and 128 bits for runs and strings. Groups
-come from partial aggregation, and what belongs to them is found by joins, so a passage that a third of all
-documents hold is never gathered in one task.
+Groups are those of digests: 64 bits for anchors, which only saves work, and 128 bits for runs and strings. In passes 1 and 2
+they come from partial aggregation, and what belongs to them is found by joins. In pass 3 the bytes of an
+anchor's runs come together in one task, up to `most` runs; with more of them, strings are dealt out by their digests. So a passage
+that a third of all documents hold is never gathered in one task.
 
 A null or empty text has no bytes. Every row is a document: those with equal ids and texts repeat
 each other, those with equal ids and other texts are told apart by a hash of 19 bits, those without an id
@@ -122,7 +124,7 @@ def _tag_of(at: str) -> Column:
     return F.shiftrightunsigned(at, _START + _SIZE)
 
 
-def repeats(df: DataFrame, length: int = 200, anchor: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, at): runs of strings that occur again, by the key of their row; at has tag, start and number of strings."""
     if not 0 < anchor <= length or length - anchor >= 1 << _SIZE:
         raise ValueError(f"the anchor must be at most the length, which must be below the anchor and {1 << _SIZE}")
@@ -134,32 +136,131 @@ def repeats(df: DataFrame, length: int = 200, anchor: int = 64, id_col: str = "d
     # The other digits of a run at once.
     own = materialize(found.groupBy("digit", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first")))
     whole = found.join(own.where("n > 1").select("digit", "low", "high"), ["digit", "low", "high"]).select("id", "at")
-    mixed = own.groupBy("digit").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where("runs > 1 and least = 1").select("digit")
-    asked = own.join(mixed, "digit").select(F.col("first.id").alias("id"), _tag_of("first.at").alias("tag"), F.struct("first.at", (F.col("n") == 1).alias("alone")).alias("run"))
+    mixed = own.groupBy("digit").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where("runs > 1 and least = 1")
+    asked = own.join(mixed.select("digit", (F.col("runs") > most).alias("wide")), "digit")
+    asked = asked.select(F.col("first.id").alias("id"), _tag_of("first.at").alias("tag"), F.struct("digit", "first.at", (F.col("n") == 1).alias("alone"), "wide").alias("run"))
     asked = asked.groupBy("id", "tag").agg(F.collect_list("run").alias("asked"))
-
-    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, max_bytes=_CHUNK >> 2):
-            columns = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for raw, own, listed in zip(_bytes(batch["text"]), batch["id"].to_pylist(), batch["asked"], strict=True):
-                at, alone = (np.asarray(pc.struct_field(listed.values, k).cast(pa.int64())) for k in (0, 1))
-                size, start = at & ((1 << _SIZE) - 1), at >> _SIZE & ((1 << _START) - 1)
-                each = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                low, high = _digests(raw, each.tolist(), (each + length).tolist())
-                place = (at >> _START + _SIZE)[0] << _START + _SIZE
-                # Where a string of another run lies doesn't matter.
-                where = np.where(np.repeat(alone, size) == 1, place + (each << _SIZE) + 1, 0)
-                for held, x in zip(columns, (low, high, np.where(where > 0, own, 0), where), strict=True):
-                    held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["low", "high", "id", "at"])
-
-    # Of rows that share id and text one is enough; their strings are known to repeat.
-    texts = rows.join(asked, ["id", "tag"]).select("id", "text", "asked")
-    strings = materialize(texts.mapInArrow(take_apart, "low long, high long, id long, at long"))
-    # Last pass: equal groups of what is left.
+    # Of rows that share id and text one would do: their strings repeat anyhow.
+    held = materialize(rows.join(asked, ["id", "tag"]).select("id", "text", "asked").mapInArrow(_with_bytes(length), "digit long, id long, at long, alone boolean, wide boolean, own binary"))
+    # Last passes: anchors with few runs each in one task, of the others string by string.
+    near = held.where("not wide").repartition("digit").sortWithinPartitions("digit").mapInArrow(_equal_strings(length), "id long, at long")
+    strings = held.where("wide").mapInArrow(_taken_apart(length), "low long, high long, id long, at long")
+    if held.where("wide").isEmpty():
+        return materialize(whole.unionByName(near))
+    strings = materialize(strings, release=False)
     equal = strings.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high")
     single = strings.where("at > 0").join(equal, ["low", "high"]).select("id", "at")
-    return materialize(whole.unionByName(single))
+    return materialize(whole.unionByName(near).unionByName(single))
+
+
+def _with_bytes(length: int):
+    """Rows (id, text, asked) to one row for each run asked for, with the bytes of its strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, max_bytes=_CHUNK):
+            asked = batch["asked"]
+            columns = [pc.struct_field(asked.flatten(), k) for k in range(4)]
+            ids = np.repeat(np.asarray(batch["id"]), np.asarray(asked.value_lengths()))
+            at = np.asarray(columns[1])
+            start = at >> _SIZE & ((1 << _START) - 1)
+            ends = (start + (at & ((1 << _SIZE) - 1)) + length - 1).tolist()
+            pieces, k = [], 0
+            for raw, n in zip(_bytes(batch["text"]), asked.value_lengths().to_pylist(), strict=True):
+                view = memoryview(raw)
+                pieces += [bytes(view[a:b]) for a, b in zip(start[k : k + n].tolist(), ends[k : k + n], strict=True)]
+                k += n
+            # Slices of bounded size, since a text's runs may be many.
+            for i in range(0, len(pieces), 4096):
+                part = slice(i, i + 4096)
+                arrays = [columns[0][part], pa.array(ids[part]), columns[1][part], columns[2][part], columns[3][part], pa.array(pieces[part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digit", "id", "at", "alone", "wide", "own"])
+
+    return run
+
+
+class _Strings:
+    """All strings of the runs of a batch: where each starts in the runs' bytes, which run it is of, and its place in that."""
+
+    def __init__(self, batch: pa.RecordBatch, length: int):
+        self.raw = b"".join(batch["own"].to_pylist())
+        sizes = np.asarray(pc.binary_length(batch["own"])).astype(np.int64)
+        many = sizes - length + 1
+        self.run = np.repeat(np.arange(len(sizes)), many)
+        self.place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.start = (np.cumsum(sizes) - sizes)[self.run] + self.place
+        self.at = np.asarray(batch["at"])[self.run]
+        self.alone = np.asarray(batch["alone"].cast(pa.int8()))[self.run] == 1
+        self.id = np.asarray(batch["id"])[self.run]
+
+    def places(self, which: np.ndarray) -> np.ndarray:
+        """Tag and start of strings, and 1 for their number."""
+        at = self.at[which]
+        start = (at >> _SIZE & ((1 << _START) - 1)) + self.place[which]
+        return (at >> _START + _SIZE << _START + _SIZE) + (start << _SIZE) + 1
+
+
+def _shared(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which rows have the keys of another row."""
+    order = np.lexsort(keys)
+    same = np.all([k[order][1:] == k[order][:-1] for k in keys], axis=0)
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _equal_strings(length: int):
+    """(id, at) of the strings of runs that are alone but have an equal string in another run of their anchor."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = _Strings(batch, length)
+        digit = np.asarray(batch["digit"])[own.run]
+        raw = np.frombuffer(own.raw, np.uint8)
+        wide = min(8, length)
+        # Bytes at the end, then at the start, then all of them; what is alone leaves each time.
+        rest = np.arange(len(digit))
+        for offset in (length - wide, 0):
+            word = np.zeros((len(rest), 8), np.uint8)
+            word[:, :wide] = raw[(own.start[rest] + offset)[:, None] + np.arange(wide)]
+            word = word.view(np.int64)[:, 0]
+            rest = rest[_shared((word, digit[rest]))]
+        low, high = _digests(own.raw, own.start[rest].tolist(), (own.start[rest] + length).tolist())
+        rest = rest[_shared((high, low, digit[rest]))]
+        rest = rest[own.alone[rest]]
+        return pa.RecordBatch.from_arrays([pa.array(own.id[rest]), pa.array(own.places(rest))], names=["id", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            start = 0
+            digit = np.asarray(batch["digit"])
+            # Whole anchors only; cut behind the last change once enough rows are there.
+            for cut in [*(np.flatnonzero(digit[1:] != digit[:-1]) + 1).tolist(), batch.num_rows]:
+                if size + cut - start >= 4096 and (cut < batch.num_rows):
+                    held.append(batch.slice(start, cut - start))
+                    yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, size, start = [], 0, cut
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+                size += batch.num_rows - start
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _taken_apart(length: int):
+    """(low, high, id, at) of every string of the runs; at is 0 in runs that aren't alone, whose places don't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                own = _Strings(whole.slice(start, 1024), length)
+                low, high = _digests(own.raw, own.start.tolist(), (own.start + length).tolist())
+                at = np.where(own.alone, own.places(np.arange(len(low))), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.where(own.alone, own.id, 0)), pa.array(at)], names=["low", "high", "id", "at"])
+
+    return run
 
 
 def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
@@ -171,9 +272,9 @@ def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def dedup(df: DataFrame, length: int = 200, anchor: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): kept bytes as binary, since cuts may split a code point. One row per row of `df`."""
-    found = repeats(df, length, anchor, id_col, text_col)
+    found = repeats(df, length, anchor, most, id_col, text_col)
     lists = found.groupBy(F.col("id").alias("key"), _tag_of("at").alias("tag")).agg(F.collect_list("at").alias("runs"))
     key, tag = _key(F.col("id"), F.col("text"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"key": key, "tag": tag})
