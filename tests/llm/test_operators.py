@@ -257,6 +257,16 @@ def test_spans(docs):
     assert cut[0] is None and cut[28] == TEXTS[4] and cut[49] == "start end" and len(cut) == docs.count()
 
 
+def test_spans_words_alike(spark):
+    """Words whose polynomials modulo 2^64 are equal for every base, long words, and words beyond one batch's texts."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    line = [f"w{i}" for i in range(30)]
+    own = [" ".join([*line[:11], x, *line[12:]]) for x in (morse, other, "z" * 100_000, "z" * 100_000 + "y", morse)]
+    got = spans.dedup(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == [0, 0, 0, 0, 30] and got[1]["kept"] == own[1]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("aehinorst", k=5)) for _ in range(200)]

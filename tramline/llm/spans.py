@@ -11,21 +11,23 @@ words. Equal windows have equal minimal k-mers at equal places, so:
 
 First means smallest (document, start). Minima come from partial aggregation, and what is not
 first is found by an anti-join on coordinates, so a passage in a third of all documents is
-never gathered anywhere. Identity is by 128 hash bits (k-mer and path, or two of a window).
+never gathered anywhere. Words have a digest of 128 bits; k-mers are known by one half of it, paths by the other,
+windows by both. So no two runs of words are taken for equal unless 128 bits of digests collide.
 
-A null or empty text has no words. Rows with one id count as separate documents only if ids
-differ: ids are expected to be unique, and of repeated ids the joined rows repeat.
+A null or empty text has no words. Rows that share an id are one document to which either
+text belongs: equal rows of one id both stay whole, since each is the first, and what is cut from
+one is cut at the same words of the others.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +36,10 @@ from ._common import WORD, free_name, materialize, text_chunks
 _WORD = re.compile(WORD)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_TABLES = [np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64) for seed in (11, 12)]
-_powers = [np.ones(1, _U), np.ones(1, _U)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n at least."""
-    if len(_powers[0]) < n:
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for i, base in enumerate((_BASE, _U(inverse))):
-            out = np.full(max(n, 1 << 22), base, _U)
-            out[0] = 1
-            _powers[i] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
@@ -77,11 +66,27 @@ class Words:
         self.counts = counts
         self.offsets, self.raw = offsets, raw
 
-    def hashes(self, lane: int) -> np.ndarray:
-        """A hash of each word's bytes."""
-        power, inverse = _power(len(self.raw) + 1)
-        summed = np.concatenate([np.zeros(1, _U), np.cumsum(_TABLES[lane][self.raw] * power[: len(self.raw)], dtype=_U)])
-        return _mix((summed[self.ends] - summed[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(_U))
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each word: the halves of its 128-bit digest."""
+        whole = self.raw.tobytes()
+        numbers = [_DIGESTS[w] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist()) for w in whole[a:b].split()]
+        found = np.frombuffer(b"".join(numbers), _U).reshape(-1, 2)
+        return np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
+
+
+class _Digests(dict):
+    """Word -> digest, for as many words as fit."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = xxhash.xxh3_128_digest(word)
+        if len(word) < 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_DIGESTS = _Digests()
 
 
 def _joined(h: np.ndarray, n: int) -> np.ndarray:
@@ -108,12 +113,12 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 def _paths(words: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     """(row, start, windows, k-mer hash, path hash) of each path of the batch."""
-    h = words.hashes(0)
-    n = len(h) - window + 1
+    n = len(words.row) - window + 1
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2
     if n <= 0:
         return none
-    kmer, whole = _joined(h, k), _joined(h, window)
+    one, two = words.hashes()
+    kmer, whole = _joined(one, k), _joined(two, window)
     place = np.arange(len(kmer), dtype=_U)
     # The leftmost of the smallest: places are the low bits.
     low = _sliding_min((_mix(kmer) & ~_U(0xFFFFFF)) | (place & _U(0xFFFFFF)), window - k + 1)
@@ -162,7 +167,7 @@ def repeats(df: DataFrame, window: int = 20, k: int = 5, id_col: str = "doc_id",
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, max_bytes=1 << 20):
             words = Words(batch[1])
-            one, two = (_joined(words.hashes(lane), window) for lane in (0, 1))
+            one, two = (_joined(h, window) for h in words.hashes())
             lists = batch[2].combine_chunks() if isinstance(batch[2], pa.ChunkedArray) else batch[2]
             at = np.asarray(lists.flatten()).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
