@@ -38,6 +38,8 @@ POLYNOMIAL = 0xEDB88320
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: Lengths up to this one have a table each; longer ones are shifted by powers of two.
 _SHORT = 64
+#: Bytes of texts whose n-grams are held at once.
+_CHUNK = 1 << 19
 _LANES = np.arange(0, 32, 8, dtype=np.uint32)
 
 
@@ -110,7 +112,7 @@ def bucket_counts(df: DataFrame, size: int = 3, buckets: int = 10_000, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, max_bytes=_CHUNK):
             for own, _ in buckets_of(texts(batch), size, buckets):
                 total += np.bincount(own, minlength=buckets)
         some = np.flatnonzero(total)
@@ -138,7 +140,7 @@ def weights(df: DataFrame, gain: np.ndarray, size: int = 3, id_col: str = "doc_i
     names = ["id", "n_words", "n_features", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, max_bytes=_CHUNK):
             n = batch.num_rows
             words, features, weight = (np.zeros(n, np.int64) for _ in range(3))
             for k, (own, text) in enumerate(buckets_of(texts(batch), size, len(gain))):
