@@ -78,7 +78,7 @@ def encode(x: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Rows:
-    """Coded rows: what is known of each but for its vector, and the vector."""
+    """Coded rows, in the order of labels: what is known of each, and the vector."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -97,6 +97,13 @@ class Rows:
             left = left * np.sqrt(np.maximum(0, 1 - self.aligned[:, level] ** 2))
         self.left = left
         self.ones = np.bitwise_count(self.codes).sum(axis=2, dtype=np.int64)
+        self._typed = {}
+
+    def typed(self, kind: type) -> np.ndarray:
+        """The vectors with components of a type."""
+        if kind not in self._typed:
+            self._typed[kind] = self.vectors.astype(kind)
+        return self._typed[kind]
 
 
 class Anchors:
@@ -121,11 +128,16 @@ class Anchors:
         size = self.vectors.shape[1]
         levels, planes, words = self.planes.shape[1:]
         estimate = radius = 0.0
+        shape = len(self.norm[at]), len(rows.ids[strip])
+        both, ones = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
+        common = np.empty(shape, np.uint16 if size << planes < 1 << 16 else np.uint32)
         for level in range(levels):
-            common = np.zeros((len(self.norm[at]), len(rows.ids[strip])), np.uint32)
-            for j in range(planes):
+            common[:] = 0
+            for j in reversed(range(planes)):
+                np.left_shift(common, 1, out=common)
                 for w in range(words):
-                    common += np.bitwise_count(self.planes[at, level, j, w][:, None] & rows.codes[strip, level, w]).astype(np.uint32) << np.uint32(j)
+                    np.bitwise_and(self.planes[at, level, j, w][:, None], rows.codes[strip, level, w], out=both)
+                    common += np.bitwise_count(both, out=ones)
             signed = self.low[at, level, None] * (2.0 * rows.ones[strip, level] - size) + self.step[at, level, None] * (2.0 * common - self.summed[at, level, None])
             estimate = estimate + rows.factors[strip, level] * signed
             radius = radius + rows.factors[strip, level] * self.error[at, level, None]
@@ -136,10 +148,16 @@ class Anchors:
         return estimate, radius + rows.left[strip] * apart + 1e-9 * self.norm[at, None] * rows.norm[strip] + 1e-6
 
 
-def _scores(a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Inner products, in whole numbers, of rows `one` of a and `two` of b."""
-    step = max(1, PAIRS * 64 // max(1, a.shape[1]))
-    parts = [np.einsum("ij,ij->i", a[one[i : i + step]], b[two[i : i + step]]) for i in range(0, len(one), step)]
+def _scores(a: Rows, b: Rows, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Inner products, in whole numbers, of rows `one` of a and `two` of b.
+
+    No sum of products exceeds the product of the lengths, so up to 2^24 single and up to 2^53 double precision is exact.
+    """
+    bound = a.norm.max(initial=0) * b.norm.max(initial=0) * 1.001
+    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+    step = max(1, PAIRS * 64 // max(1, a.vectors.shape[1]))
+    left, right = a.typed(kind), b.typed(kind)
+    parts = [np.einsum("ij,ij->i", left[one[i : i + step]], right[two[i : i + step]]).astype(np.int64) for i in range(0, len(one), step)]
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
@@ -201,6 +219,8 @@ def prepared(df: DataFrame, scale: int = 256, levels: int = 3, id_col: str = "ve
 
 
 def _table(batch: pa.RecordBatch, levels: int) -> Rows:
+    batch = batch.take(pa.array(np.argsort(np.asarray(batch["label"]), kind="stable")))
+
     def of(name: str, kind: type, shape: tuple) -> np.ndarray:
         return np.frombuffer(b"".join(batch[name].to_pylist()), kind).reshape(batch.num_rows, *shape)
 
@@ -209,38 +229,57 @@ def _table(batch: pa.RecordBatch, levels: int) -> Rows:
     return Rows(np.asarray(batch["id"]), np.asarray(batch["label"]), vectors, of("code", np.uint64, (levels, -1)), known[:, :levels], known[:, levels])
 
 
+def _tiles(anchors: Rows, rows: Rows, alike: bool) -> Iterator[tuple[slice, slice]]:
+    """Parts of both to be compared, those of one label if `alike`; both are in the order of labels."""
+    parts = [(0, len(anchors.ids), 0, len(rows.ids))]
+    if alike:
+        ends = [(np.searchsorted(x.labels, y, "left"), np.searchsorted(x.labels, y, "right")) for y in np.unique(anchors.labels) for x in (anchors, rows)]
+        parts = [(*x, *y) for x, y in zip(ends[::2], ends[1::2])]
+    for a_from, a_to, b_from, b_to in parts:
+        for a in range(a_from, a_to, TILE):
+            for b in range(b_from, b_to, STRIP):
+                yield slice(a, min(a_to, a + TILE)), slice(b, min(b_to, b + STRIP))
+
+
+def _leading(estimate: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
+    """Of what fits, the n highest estimates of each anchor: scored first, they raise what others must reach."""
+    own = np.where(fits, estimate, -np.inf)
+    first = np.zeros_like(fits)
+    if own.shape[1] > n:
+        np.put_along_axis(first, np.argpartition(own, own.shape[1] - n, axis=1)[:, -n:], True, axis=1)
+        return first & fits
+    return fits
+
+
 def _positives(anchors: Rows, coded: Anchors, rows: Rows, best: Best) -> None:
     """Offer rows of the anchors' labels."""
-    for a in range(0, len(anchors.ids), TILE):
-        for b in range(0, len(rows.ids), STRIP):
-            at, strip = slice(a, a + TILE), slice(b, b + STRIP)
-            fits = (anchors.labels[at, None] == rows.labels[strip]) & (anchors.ids[at, None] != rows.ids[strip])
-            estimate, radius = coded.intervals(at, rows, strip)
-            # As many lower ends as are asked for bar what lies below all of them.
-            lower = np.where(fits, estimate - radius, -np.inf)
-            n = lower.shape[1]
-            sure = np.partition(lower, n - best.top, axis=1)[:, n - best.top] if n >= best.top else np.full(len(lower), -np.inf)
-            one, two = np.nonzero(fits & (estimate + radius >= np.maximum(sure, best.least[at])[:, None]))
-            best.add(one + a, _scores(anchors.vectors, rows.vectors, one + a, two + b), rows.ids[two + b])
+    for at, strip in _tiles(anchors, rows, True):
+        fits = anchors.ids[at, None] != rows.ids[strip]
+        estimate, radius = coded.intervals(at, rows, strip)
+        first = _leading(estimate, fits, 2 * best.top)
+        for group in (first, fits & ~first):
+            one, two = np.nonzero(group & (estimate + radius >= best.least[at, None]))
+            one, two = one + at.start, two + strip.start
+            best.add(one, _scores(anchors, rows, one, two), rows.ids[two])
 
 
 def _negatives(anchors: Rows, coded: Anchors, rows: Rows, best: Best, low: np.ndarray, high: np.ndarray) -> None:
     """Offer rows of other labels between the bounds of each positive; slots are anchor * places + place."""
     places = low.shape[1]
     some = low <= high
-    for a in range(0, len(anchors.ids), TILE):
-        for b in range(0, len(rows.ids), STRIP):
-            at, strip = slice(a, a + TILE), slice(b, b + STRIP)
-            # The least that any of an anchor's positives still takes, and the most.
+    for at, strip in _tiles(anchors, rows, False):
+        ceiling = np.where(some[at], high[at], NONE).max(axis=1)
+        estimate, radius = coded.intervals(at, rows, strip)
+        fits = (anchors.labels[at, None] != rows.labels[strip]) & (estimate - radius <= ceiling[:, None])
+        first = _leading(estimate, fits & (estimate <= ceiling[:, None]), 4 * best.top * places)
+        for group in (first, fits & ~first):
+            # The least that any of an anchor's positives still takes.
             floor = np.where(some[at], np.maximum(low[at], best.least.reshape(-1, places)[at]), np.iinfo(np.int64).max).min(axis=1)
-            ceiling = np.where(some[at], high[at], NONE).max(axis=1)
-            estimate, radius = coded.intervals(at, rows, strip)
-            one, two = np.nonzero((anchors.labels[at, None] != rows.labels[strip]) & (estimate + radius >= floor[:, None]) & (estimate - radius <= ceiling[:, None]))
-            score = _scores(anchors.vectors, rows.vectors, one + a, two + b)
-            for k in range(places):
-                slot = (one + a) * places + k
-                fits = (score >= np.maximum(low[one + a, k], best.least[slot])) & (score <= high[one + a, k])
-                best.add(slot[fits], score[fits], rows.ids[two + b][fits])
+            one, two = np.nonzero(group & (estimate + radius >= floor[:, None]))
+            one, two = one + at.start, two + strip.start
+            score = _scores(anchors, rows, one, two)
+            pair, place = np.nonzero((score[:, None] >= np.maximum(low[one], best.least.reshape(-1, places)[one])) & (score[:, None] <= high[one]))
+            best.add(one[pair] * places + place, score[pair], rows.ids[two[pair]])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +325,8 @@ def _best(grid: DataFrame, work: str, top: int, levels: int, planes: int, low: i
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
                 anchors, held = _table(whole, levels), []
                 coded = Anchors(anchors.vectors, levels, planes)
-                given = whole["places"].to_pylist()
+                places_of = dict(zip(whole["id"].to_pylist(), whole["places"].to_pylist(), strict=True))
+                given = [places_of[i] for i in anchors.ids.tolist()]
                 places = max(1, *(len(x) for x in given)) if work == "negatives" else 1
                 best = Best(len(given) * places, top)
                 if work == "negatives":
