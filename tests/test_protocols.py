@@ -1,11 +1,12 @@
 """Training protocols on small tables: leakage, completeness, reports and errors."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.operators import metrics, ml, protocols, splits
+from tramline.operators import metrics, ml, protocols, reports, search, splits
 
 MODES = {"bus": 0, "car": 1, "walk": 2}
 
@@ -27,8 +28,11 @@ def rows(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def asked(folder, **more):
-    return protocols.Settings(f"file://{folder}", ["a#mean", "b#mean"], MODES, [("random_forest", {"numTrees": 3, "maxDepth": 3})], folds=2, **more)
+FOREST = ("random_forest", {"numTrees": 3, "maxDepth": 3})
+
+
+def asked(folder, trials=(FOREST,), folds=2, **more):
+    return protocols.Settings(f"file://{folder}", ["a#mean", "b#mean"], MODES, list(trials), folds=folds, **more)
 
 
 def test_session_holdout(spark, rows, tmp_path):
@@ -45,13 +49,23 @@ def test_session_holdout(spark, rows, tmp_path):
     assert figures["window", "ci95_macro_f1"]["x"] <= figures["window", "ci95_macro_f1"]["upper"]
     assert {r["value"] for r in run.figures["collector_holdout"].where("slice = 'phone_position'").collect()} <= {"hand", "unknown"}
     out = f"file://{tmp_path}/report"
-    protocols.write_report(spark, run, rows, out)
-    assert spark.read.json(f"{out}/metrics").select("section").distinct().count() == 1
+    run.predictions = {"collector_holdout": held}
+    protocols.write_report(spark, run, rows, out, asked(tmp_path), train_dataset="us-tmd", trial_hash="0123456789abcdef", run_name="first", trial_index=4)
+    document = reports.read_metrics(spark, out).first()
+    means = {m: figures["window", m]["x"] for m in reports.SCORES}
+    assert document["name"] == "first-us-tmd-01234567" and document["trial_index"] == 4 and {m: document[m] for m in means} == pytest.approx(means)
+    assert reports.bad_matrices(reports.read_metrics(spark, out)).isEmpty() and sum(map(sum, document["matrix"])) == 18
+    with open(f"{tmp_path}/report/metrics.json") as f:
+        whole = json.load(f)
+    assert whole["rows"] == 60 and whole["source_rows"] == 24 and whole["collector_rows"] == 36 and whole["feature_names"] == ["a#mean", "b#mean"] and whole["best_params"] == {"family": "random_forest", "numTrees": 3, "maxDepth": 3}
+    section = whole["collector_holdout"]
+    assert section["sessions"] == 9 and section["session_level"]["rows"] == 9 and set(section["per_class"]) == set(MODES) and set(section["by_phone_position"]) <= {"hand", "unknown"}
+    assert list(section["classification_report"]) == ["bus", "car", "walk", "accuracy", "macro avg", "weighted avg"] and section["classification_report"]["macro avg"]["support"] == 18
     assert spark.read.parquet(f"{out}/splits").select("fingerprint").distinct().count() == 1
-    assert spark.read.option("header", True).csv(f"{out}/trials").count() == 1
+    assert spark.read.json(f"{out}/trials").first()["state"] == "complete"
     again = ml.predict(ml.load_model(f"{out}/model"), rows, ["a#mean", "b#mean"], [0, 1, 2])
     assert again.exceptAll(ml.predict(run.model, rows, ["a#mean", "b#mean"], [0, 1, 2])).isEmpty() and ml.load_model(f"{out}/model")[1] == run.model[1]
-    roles = protocols.roles(rows, run.splits, "group_id")
+    roles = protocols.with_roles(rows, run.splits, "group_id")
     assert {r["role"]: r["rows"] for r in protocols.lineage(roles, ["session_id", "window_start_ms"]).collect()} == {"training": 24, "calibration": 18, "evaluation": 18}
 
 
@@ -59,10 +73,45 @@ def test_participant_nested(rows, tmp_path):
     run = protocols.participant_nested(rows, asked(tmp_path))
     pooled = run.predictions["collector_holdout"]
     assert pooled.count() == 36 and protocols.incomplete(rows.where("domain = 'collector'"), pooled).isEmpty()
-    assert [o["held_out"] for o in run.folds] == ["p0", "p1", "p2"] and len(run.trials) == 4
+    assert [o["held_out"] for o in run.folds] == ["p0", "p1", "p2"] and [t.study for t in run.trials] == ["p0", "p1", "p2", "final"]
     inner = run.splits.where("held_out = grp")
     assert inner.isEmpty() and run.splits.where("held_out = 'none'").count() == 3
     assert protocols.incomplete(pooled, pooled.limit(35)).count() == 1
+    roles = protocols.with_roles(rows, run.splits, "participant_id")
+    found = {r["role"]: (r["rows"], r["digest"]) for r in protocols.lineage(roles, ["session_id", "window_start_ms"]).collect()}
+    assert {k: n for k, (n, _) in found.items()} == {"training": 24, "calibration": 36, "evaluation": 36} and found["calibration"] == found["evaluation"]
+    some = run.splits.where("grp <> 'p1'")
+    with pytest.raises(Exception, match="no role for p1"):
+        protocols.with_roles(rows, some, "participant_id").collect()
+
+
+@pytest.mark.parametrize("metric", ["macro_f1", "minimum_class_recall"])
+def test_trials_are_chosen(rows, tmp_path, metric):
+    """Of three trials of two families the one of the best pooled score is fitted."""
+    trials = [("random_forest", {"numTrees": 1, "maxDepth": 0}), FOREST, ("multilayer_perceptron", {"hidden": "3_2", "maxIter": 2})]
+    run = protocols.session_holdout(rows, asked(tmp_path, trials, metric=metric))
+    assert [t.number for t in run.trials][0] == 1 and run.parameters == FOREST[1] and run.family == FOREST[0]
+    folds = run.splits.where("fold IS NOT NULL").select(F.col("grp").alias("group_id"), "fold")
+    collector, prepare = rows.where("domain = 'collector'"), protocols._weighted(asked(tmp_path), True)
+    pooled = ml.cross_validated(rows.where("domain <> 'collector'"), collector, folds, "group_id", ["a#mean", "b#mean"], [0, 1, 2], *FOREST, prepare, "weight", 1)
+    assert run.trials[0].score == pytest.approx(metrics.overall(metrics.confusion(pooled, [0, 1, 2])).first()[metric])
+
+
+def test_trials_are_pruned(rows, tmp_path):
+    """Trials that are behind at the first rung stop there, are noted, and are never chosen."""
+    good, poor = FOREST, ("random_forest", {"numTrees": 1, "maxDepth": 0})
+    early = [i for i in range(40) if search.Rungs("final", 3).bracket(i) == 0][:2]
+    trials = [poor if i == early[1] else good for i in range(early[1] + 1)]
+    run = protocols.session_holdout(rows, asked(tmp_path, trials, folds=3, pruned=True))
+    found = {t.number: (t.state, len(t.steps)) for t in run.trials}
+    assert found[early[1]] == ("pruned", 1) and found[early[0]] == ("complete", 3) and run.trials[-1].number == early[1]
+    assert protocols.trials_table(rows.sparkSession, run.trials).where("state = 'pruned'").count() == 1
+
+
+def test_searched(rows, tmp_path):
+    spaces = {"random_forest": {"numTrees": search.Number(1, 3, step=1), "maxDepth": search.Choice((1, 2))}}
+    run = protocols.session_holdout(rows, asked(tmp_path, [], spaces=spaces, searched=2))
+    assert sorted(t.parameters["numTrees"] for t in run.trials) == sorted(search.suggest(spaces, [], 1, i)[1]["numTrees"] for i in range(2))
 
 
 def test_protocol_errors(rows, tmp_path):

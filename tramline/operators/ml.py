@@ -69,7 +69,8 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict, seed:
         stages.append(OneVsRest(classifier=one, featuresCol=column, labelCol="label", **weighted))
     elif family == "multilayer_perceptron":
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol=column, outputCol="scaled"))
-        layers = [len(features) + len(gaps), params.pop("hidden", 16), classes]
+        hidden = [int(n) for n in str(params.pop("hidden", 16)).split("_")]
+        layers = [len(features) + len(gaps), *hidden, classes]
         stages.append(MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=layers, seed=seed, **params))
     else:
         raise ValueError(f"unknown family {family}")
@@ -102,17 +103,31 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, features: list[str]
     return cross_validated(df.limit(0), df, folds, group, features, labels, family, params, lambda train, fold: train, weight)
 
 
+def fold_predictions(
+    source: DataFrame, held: DataFrame, fold: int, features: list[str], labels: list[int], family: str, params: dict,
+    prepare: Callable[[DataFrame, int], DataFrame], weight: str | None = None, seed: int = 1,
+) -> DataFrame:
+    """Rows of one fold of `held` (with `fold`), predicted by a model of `source` and the other folds' rows."""
+    train = prepare(source.unionByName(held.where(F.col("fold") != fold).drop("fold"), allowMissingColumns=True), fold)
+    model = fit(train, features, family, params, seed, weight, max(labels) + 1)
+    return predict(model, held.where(F.col("fold") == fold).drop("fold"), features, labels)
+
+
+def folded(rows: DataFrame, folds: DataFrame, group: str) -> tuple[DataFrame, list[int]]:
+    """`rows` with their fold, and the folds' numbers."""
+    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    return rows.join(folds.select(group, "fold"), group), numbers
+
+
 def cross_validated(
     source: DataFrame, rows: DataFrame, folds: DataFrame, group: str, features: list[str], labels: list[int], family: str, params: dict,
     prepare: Callable[[DataFrame, int], DataFrame], weight: str | None = None, seed: int = 1,
 ) -> DataFrame:
     """`rows` predicted by models of `source` and the other folds' rows; `prepare` (train, fold) chooses and weights what is fitted."""
-    held = rows.join(F.broadcast(folds.select(group, "fold")), group)
+    held, numbers = folded(rows, folds, group)
     out = None
-    for r in folds.select("fold").distinct().orderBy("fold").collect():
-        train = prepare(source.unionByName(held.where(F.col("fold") != r["fold"]).drop("fold"), allowMissingColumns=True), r["fold"])
-        model = fit(train, features, family, params, seed, weight, max(labels) + 1)
-        own = predict(model, held.where(F.col("fold") == r["fold"]).drop("fold"), features, labels)
+    for fold in numbers:
+        own = fold_predictions(source, held, fold, features, labels, family, params, prepare, weight, seed)
         out = own if out is None else out.unionByName(own)
     return out
 

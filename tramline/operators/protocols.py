@@ -7,14 +7,18 @@ predictions are read many times too, and are written to `folder` first.
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, digest, metrics, ml, splits
+from ..sources.store import write_text
+from . import balance, digest, documents, metrics, ml, search, splits
+from .search import Trial
 
 #: Columns whose digest identifies the rows that splits belong to.
 FINGERPRINT = ("domain", "participant_id", "group_id", "label", "session_id", "window_start_ms", "window_end_ms")
@@ -22,7 +26,11 @@ FINGERPRINT = ("domain", "participant_id", "group_id", "label", "session_id", "w
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run is asked to do. `folder`: shared, for tables between steps. `modes`: name -> label. `trials`: (family, parameters) to choose from."""
+    """What a run is asked to do. `folder`: shared, for tables between steps. `modes`: name -> label.
+
+    `trials`: (family, parameters) to choose from; if there are none, `searched` of them are suggested from `spaces`.
+    With `pruned`, those that fall behind are stopped after some of their folds.
+    """
 
     folder: str
     features: list[str]
@@ -36,6 +44,9 @@ class Settings:
     folds: int = 5
     iterations: int = 0
     seed: int = 1
+    spaces: dict = field(default_factory=dict)
+    searched: int = 20
+    pruned: bool = False
 
     @property
     def labels(self) -> list[int]:
@@ -44,12 +55,13 @@ class Settings:
 
 @dataclass
 class Run:
-    """A fitted model (family, pipeline and gaps), the chosen trial, trials' scores, predictions and figures by name, splits."""
+    """A fitted model (pipeline and gaps), the chosen trial, all trials, predictions and figures by name, splits."""
 
+    strategy: str
     model: tuple[PipelineModel, list[int]]
     family: str
     parameters: dict
-    trials: list[tuple[str, float, str, dict]]
+    trials: list[Trial]
     predictions: dict[str, DataFrame]
     figures: dict[str, DataFrame]
     splits: DataFrame
@@ -83,18 +95,31 @@ def _weighted(asked: Settings, factor: bool = True):
     return prepare
 
 
-def tuned(source: DataFrame, rows: DataFrame, folds: DataFrame, group: str, asked: Settings, factor: bool = True) -> list[tuple[float, str, dict]]:
-    """(score, family, parameters) of every trial, best first (the earlier of equals), by pooled out-of-fold predictions."""
-    found = []
-    for family, params in asked.trials:
-        pooled = ml.cross_validated(source, rows, folds, group, asked.features, asked.labels, family, params, _weighted(asked, factor), "weight", asked.seed)
-        score = metrics.overall(metrics.confusion(_kept(pooled.select("truth", "prediction"), asked), asked.labels)).first()[asked.metric]
-        found.append((float(score), family, params))
-    return sorted(found, key=lambda x: -x[0])
+def tuned(source: DataFrame, rows: DataFrame, folds: DataFrame, group: str, asked: Settings, factor: bool = True, study: str = "final") -> list[Trial]:
+    """Every trial of a study, best first, by pooled out-of-fold predictions.
 
-
-def _fitted(train: DataFrame, best: tuple[float, str, dict], asked: Settings, fold: int = 0) -> tuple[PipelineModel, list[int]]:
-    return ml.fit(_weighted(asked)(train, fold), asked.features, best[1], best[2], asked.seed, "weight", max(asked.labels) + 1)
+    Folds are fitted one after the other; labels squared counts of each come to the driver. A trial can be stopped from
+    the fold on with which every label was met.
+    """
+    held, numbers = ml.folded(rows, folds, group)
+    rungs, done = search.Rungs(study, len(numbers)), []
+    for number in range(len(asked.trials) or asked.searched):
+        family, params = asked.trials[number] if asked.trials else search.suggest(asked.spaces, done, asked.seed, number)
+        trial, matrix = Trial(study, number, family, params), Counter()
+        for fold in numbers:
+            pred = ml.fold_predictions(source, held, fold, asked.features, asked.labels, family, params, _weighted(asked, factor), "weight", asked.seed)
+            matrix.update({(r["truth"], r["prediction"]): r["count"] for r in pred.groupBy("truth", "prediction").count().collect()})
+            trial.score = search.matrix_score(matrix, asked.labels, asked.metric)
+            trial.steps.append(trial.score)
+            if asked.pruned and {t for t, _ in matrix} >= set(asked.labels) and rungs.behind(number, len(trial.steps), trial.score) and fold != numbers[-1]:
+                trial.state = "pruned"
+                break
+        done.append(trial)
+    return search.ordered(done)
+
+
+def _fitted(train: DataFrame, best: Trial, asked: Settings, fold: int = 0) -> tuple[PipelineModel, list[int]]:
+    return ml.fit(_weighted(asked)(train, fold), asked.features, best.family, best.parameters, asked.seed, "weight", max(asked.labels) + 1)
 
 
 def session_holdout(df: DataFrame, asked: Settings, group: str = "group_id") -> Run:
@@ -111,7 +136,7 @@ def session_holdout(df: DataFrame, asked: Settings, group: str = "group_id") ->
     shown = {name: _kept(ml.predict(model, rows, asked.features, asked.labels), asked) for name, rows in (("collector_calibration", calibration), ("collector_holdout", held))}
     figures = {name: metrics.evaluation(rows, asked.labels, asked.iterations, asked.seed) for name, rows in shown.items()}
     kept = roles.join(folds, group, "left").select(F.lit("session").alias("held_out"), F.col(group).alias("grp"), "role", "fold")
-    return Run(model, trials[0][1], trials[0][2], [("final", *t) for t in trials], shown, figures, kept)
+    return Run("session_holdout", model, trials[0].family, trials[0].parameters, trials, shown, figures, kept)
 
 
 def participant_nested(df: DataFrame, asked: Settings) -> Run:
@@ -133,10 +158,10 @@ def participant_nested(df: DataFrame, asked: Settings) -> Run:
     for number, person in enumerate(people):
         rows, test = collector.where(F.col(group) != person), collector.where(F.col(group) == person)
         folds = _kept(splits.stratified_group_kfold(rows, asked.folds, asked.seed + number).drop("scope"), asked)
-        found = tuned(source, rows, folds, group, asked)
-        trials += [(str(person), *t) for t in found]
+        found = tuned(source, rows, folds, group, asked, study=str(person))
+        trials += found
         own = _kept(ml.predict(_fitted(source.unionByName(rows), found[0], asked, number), test, asked.features, asked.labels), asked)
-        outer.append({"held_out": str(person), "score": found[0][0], "family": found[0][1], "parameters": found[0][2]})
+        outer.append({"held_out": str(person), "score": found[0].score, "family": found[0].family, "parameters": found[0].parameters})
         pooled = own if pooled is None else pooled.unionByName(own)
         inner = folds.select(F.lit(str(person)).alias("held_out"), F.col(group).cast("string").alias("grp"), F.lit("train").alias("role"), "fold")
         kept = inner if kept is None else kept.unionByName(inner)
@@ -147,7 +172,7 @@ def participant_nested(df: DataFrame, asked: Settings) -> Run:
     model = _fitted(df, final[0], asked)
     figures = {"collector_holdout": metrics.evaluation(pooled, asked.labels, asked.iterations, asked.seed)}
     kept = kept.unionByName(folds.select(F.lit("none").alias("held_out"), F.col(group).cast("string").alias("grp"), F.lit("train").alias("role"), "fold"))
-    return Run(model, final[0][1], final[0][2], trials + [("final", *t) for t in final], {"collector_holdout": pooled}, figures, kept, outer)
+    return Run("participant_nested_cv", model, final[0].family, final[0].parameters, trials + final, {"collector_holdout": pooled}, figures, kept, outer)
 
 
 def incomplete(rows: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("session_id", "window_start_ms")) -> DataFrame:
@@ -156,27 +181,66 @@ def incomplete(rows: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("
     return each.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def roles(df: DataFrame, splits_: DataFrame, group: str) -> DataFrame:
-    """`df` of one run with role: training (source rows), calibration or evaluation."""
-    named = splits_.where("held_out = 'session'").select(F.col("grp").alias(group), F.when(F.col("role") == "holdout", "evaluation").otherwise("calibration").alias("role"))
-    source = df.where("domain <> 'collector'").withColumn("role", F.lit("training"))
-    return source.unionByName(df.where("domain = 'collector'").join(F.broadcast(named), group))
+def roles(splits_: DataFrame, group: str) -> DataFrame:
+    """(group, role): what each collector group is to a run; a group may have several roles, or none.
+
+    Of a session holdout, groups calibrate or are held out. Of a nested run, every participant both
+    belongs to the deployed model's rows and is evaluated out of fold. Splits of another kind are an error.
+    """
+    kinds = {r[0] for r in splits_.select(F.col("held_out") == "session").distinct().collect()}
+    if len(kinds) != 1:
+        raise ValueError("splits of one run are asked for")
+    if kinds == {True}:
+        named = splits_.select(F.col("grp").alias(group), F.when(F.col("role") == "holdout", "evaluation").otherwise("calibration").alias("role"))
+        return named.distinct()
+    people = splits_.where("held_out = 'none'").select(F.col("grp").alias(group)).distinct()
+    return people.withColumn("role", F.explode(F.array(F.lit("calibration"), F.lit("evaluation"))))
+
+
+def with_roles(df: DataFrame, splits_: DataFrame, group: str) -> DataFrame:
+    """`df` of one run, a row for each of a row's roles: training (source rows), calibration, evaluation.
+
+    A collector row without a role is an error when it is met, so no rows are lost without a word.
+    """
+    named = roles(splits_, group).groupBy(group).agg(F.collect_set("role").alias("_roles"))
+    collector = df.where("domain = 'collector'").withColumn("_group", F.col(group).cast("string")).join(named.withColumnRenamed(group, "_group"), "_group", "left")
+    missing = F.raise_error(F.concat(F.lit("no role for "), F.coalesce("_group", F.lit("null")))).cast("array<string>")
+    collector = collector.withColumn("role", F.explode(F.coalesce("_roles", missing))).drop("_group", "_roles")
+    return df.where("domain <> 'collector'").withColumn("role", F.lit("training")).unionByName(collector)
 
 
-def lineage(df: DataFrame, columns: list[str]) -> DataFrame:
+def lineage(df: DataFrame, columns: list[str], by: tuple[str, ...] = ("role",)) -> DataFrame:
     """(role, rows, digest) of the rows in each role of a run."""
-    return digest.dataset_digest(df, columns, ("role",))
+    return digest.dataset_digest(df, columns, by)
+
+
+def trials_table(spark: SparkSession, trials: list[Trial]) -> DataFrame:
+    """(study, number, state, score, family, parameters, steps): a row for each trial; parameters are JSON."""
+    rows = [(t.study, t.number, t.state, float(t.score), t.family, json.dumps(t.parameters, sort_keys=True), [float(x) for x in t.steps]) for t in trials]
+    return spark.createDataFrame(rows, "study string, number int, state string, score double, family string, parameters string, steps array<double>")
 
 
-def write_report(spark: SparkSession, run: Run, df: DataFrame, path: str) -> None:
-    """Figures, splits with the fingerprint of the rows they belong to, trials and the model, below a folder."""
-    figures = None
-    for name, own in run.figures.items():
-        part = own.select(F.lit(name).alias("section"), "*")
-        figures = part if figures is None else figures.unionByName(part)
-    figures.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+def identity(run: Run, asked: Settings, **named) -> dict:
+    """What names a run and how it was chosen; `named`: hashes, dataset, name, index."""
+    best = next(t for t in run.trials if t.study == "final")
+    folds = run.splits.where("fold IS NOT NULL").select("held_out", "fold").distinct().groupBy("held_out").count().agg(F.max("count")).first()[0]
+    chosen = {"family": run.family, **run.parameters}
+    pooled = {"method": "grouped_out_of_fold", "folds": folds, "score": best.score} if run.strategy == "session_holdout" else {"method": "nested_participant_out_of_fold", "outer_folds": len(run.folds), "inner_folds": asked.folds}
+    return {
+        **named, "evaluation_strategy": run.strategy, "best_cross_validation_score": best.score, **({"best_cross_validation_macro_f1": best.score} if asked.metric == "macro_f1" else {}),
+        "selection_metric": asked.metric, "cross_validation": pooled, "best_params": chosen, "participant_outer_folds": run.folds, "feature_names": asked.features,
+    }
+
+
+def write_report(spark: SparkSession, run: Run, df: DataFrame, path: str, asked: Settings, **named) -> None:
+    """The metrics document, splits with the fingerprint of the rows they belong to, trials and the model, below a folder.
+
+    `named`: config_hash, trial_hash, trial_index, run_name and train_dataset, as reports ask for them.
+    """
+    named = {"config_hash": None, "trial_hash": None, "trial_index": None, "run_name": None, "train_dataset": None, **named}
+    write_text(spark, f"{path}/metrics.json", documents.of_run(spark, run, df, identity(run, asked, **named), asked.modes, asked.iterations, asked.seed) + "\n")
+    write_text(spark, f"{path}/trial.json", json.dumps({k: v for k, v in asdict(asked).items() if k not in ("folder", "spaces")}, sort_keys=True, indent=2) + "\n")
     stamp = digest.dataset_digest(df, [c for c in FINGERPRINT if c in df.columns]).select(F.col("digest").alias("fingerprint"))
     run.splits.crossJoin(F.broadcast(stamp)).write.mode("overwrite").parquet(f"{path}/splits")
-    rows = [(study, place, score, family, str(params)) for place, (study, score, family, params) in enumerate(run.trials)]
-    spark.createDataFrame(rows, "study string, place int, score double, family string, parameters string").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/trials")
+    trials_table(spark, run.trials).coalesce(1).write.mode("overwrite").json(f"{path}/trials")
     ml.save_model(run.model, f"{path}/model")

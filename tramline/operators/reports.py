@@ -17,13 +17,18 @@ def display_name() -> Column:
 
 
 def read_metrics(spark: SparkSession, path: str, section: str = "collector_holdout") -> DataFrame:
-    """One row for each metrics document below a folder: identity, a section's scores, report and confusion matrix."""
-    raw = spark.read.schema(f"{_DOCUMENT}, `{section}` string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metrics.json").json(path)
+    """One row for each metrics document below a folder: identity, a section's scores, report and confusion matrix.
+
+    Documents are files named metrics.json, or those that documents.write_documents has written.
+    """
+    raw = spark.read.schema(f"{_DOCUMENT}, `{section}` string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "{metrics.json,part-*.txt}").json(path)
+    # Models beside the documents are saved as text as well.
+    raw = raw.select("*", F.col("_metadata.file_path").alias("path")).where(F.col("path").rlike(r"/(metrics\.json|run=[^/]*/part-[^/]*\.txt)$"))
     held = F.col(f"`{section}`")
     scores = [F.get_json_object(held, f"$.{s}").try_cast("double").alias(s) for s in SCORES]
     report = F.from_json(F.get_json_object(held, "$.classification_report"), "map<string,string>")
     matrix = F.from_json(F.get_json_object(held, "$.confusion_matrix"), "array<array<double>>")
-    return raw.select("config_hash", "trial_hash", "train_dataset", "run_name", "trial_index", display_name().alias("name"), *scores, report.alias("report"), matrix.alias("matrix"), F.col("_metadata.file_path").alias("path"))
+    return raw.select("config_hash", "trial_hash", "train_dataset", "run_name", "trial_index", display_name().alias("name"), *scores, report.alias("report"), matrix.alias("matrix"), "path")
 
 
 def invalid_scores(metrics: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import balance, digest, features, metrics, ml, protocols, reports, sessions, snapshot, splits, windows
+from ..operators import balance, digest, documents, features, metrics, ml, protocols, reports, search, sessions, snapshot, splits, windows
 from ..sources import readers, store
 from ..streaming import incremental
 from . import views as V
@@ -800,13 +800,29 @@ def _figures(run):
 @query()
 def session_holdout_protocol(spark, d):
     rows = _model_rows(spark, d)
-    return _figures(protocols.session_holdout(rows, _asked(rows, [_FOREST], folds=2, balanced=True, collector_factor=2.0)))
+    trials = [_FOREST, ("random_forest", {"numTrees": 3, "maxDepth": 2}), ("multilayer_perceptron", {"hidden": "8_4", "maxIter": 20})]
+    return _figures(protocols.session_holdout(rows, _asked(rows, trials, folds=2, balanced=True, collector_factor=2.0)))
+
+
+#: Small ranges, for a search that is run as a query.
+_SPACES = {
+    "random_forest": {"numTrees": search.Number(2, 6, step=2), "maxDepth": search.Choice((2, 3)), "featureSubsetStrategy": search.Choice(("sqrt", "0.8"))},
+    "multilayer_perceptron": {"hidden": search.Choice(("4", "6_4")), "maxIter": search.Number(10, 20, step=5), "tol": search.Number(1e-4, 1e-3, log=True)},
+}
+
+
+@query()
+def trials_searched(spark, d):
+    """Trials of a study by search and pruning, for the smallest recall of a mode."""
+    rows = _model_rows(spark, d)
+    run = protocols.session_holdout(rows, _asked(rows, [], folds=3, spaces=_SPACES, searched=5, pruned=True, metric="minimum_class_recall"))
+    return protocols.trials_table(spark, run.trials)
 
 
 @query()
 def participant_nested_protocol(spark, d):
     rows = _model_rows(spark, d)
-    return _figures(protocols.participant_nested(rows, _asked(rows, [("random_forest", {"numTrees": 5, "maxDepth": 4})], folds=2)))
+    return _figures(protocols.participant_nested(rows, _asked(rows, [("random_forest", {"numTrees": 5, "maxDepth": 4}), ("random_forest", {"numTrees": 2, "maxDepth": 2})], folds=2, metric="minimum_class_recall")))
 
 
 _ROLES = f"""{V.FR}, g AS (SELECT DISTINCT label, session_id FROM fr WHERE domain = 'collector'), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5_key('session_id')}, session_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM g),
@@ -817,7 +833,7 @@ rr AS (SELECT fr.session_id, window_start_ms, 'training' AS role FROM fr WHERE d
 def _roles(spark, d):
     rows = _model_rows(spark, d)
     parts = splits.holdout(rows.where("domain = 'collector'"), {i: 0.5 for i in V.LABELS}, SEED, "group_id", _MODES)
-    return protocols.roles(rows, parts.select(F.lit("session").alias("held_out"), F.col("group_id").alias("grp"), "role"), "group_id")
+    return protocols.with_roles(rows, parts.select(F.lit("session").alias("held_out"), F.col("group_id").alias("grp"), "role"), "group_id")
 
 
 @query(f"WITH {_ROLES} SELECT role, count(*) AS rows, count(DISTINCT session_id) AS sessions FROM rr GROUP BY role")
@@ -831,6 +847,58 @@ def run_lineage(spark, d):
     return protocols.lineage(_roles(spark, d), ["session_id", "window_start_ms"])
 
 
+@query(f"""WITH {V.FR}, rr AS (SELECT 'training' AS role, session_id, window_start_ms FROM fr WHERE domain <> 'collector' UNION ALL SELECT unnest(['calibration', 'evaluation']), session_id, window_start_ms FROM fr WHERE domain = 'collector'),
+h AS (SELECT role, ('0x' || substr(md5(session_id || chr(31) || window_start_ms), 1, 15))::BIGINT AS h FROM rr), s AS (SELECT role, count(*) AS rows, sum(h) AS s, bit_xor(h) AS x FROM h GROUP BY role)
+SELECT role, rows, substr(sha256('session_id:string,window_start_ms:bigint|' || rows || '|' || s || '|' || x), 1, 36) AS digest FROM s""")
+def nested_lineage(spark, d):
+    """Of a nested run, every collector row is in the deployed model and is evaluated."""
+    rows = _model_rows(spark, d)
+    people = rows.where("domain = 'collector'").select("participant_id").distinct()
+    parts = people.select(F.explode(F.array(F.lit("none"), F.col("participant_id"))).alias("held_out"), F.col("participant_id").alias("grp"), F.lit("train").alias("role"))
+    return protocols.lineage(protocols.with_roles(rows, parts, "participant_id"), ["session_id", "window_start_ms"])
+
+
+def _documents(spark, d):
+    """A metrics document for each participant, written and read back."""
+    pred = V.predictions(spark, d)
+    u = F.substring("run", 2, 9).cast("int")
+    named = pred.select(F.col("participant_id").alias("run")).distinct()
+    named = named.select("run", F.struct(F.sha2("run", 256).alias("config_hash"), F.lit(None).cast("string").alias("trial_hash"), F.lit("events").alias("train_dataset"), F.when(u % 2 == 0, F.col("run")).alias("run_name"), F.when(u % 4 != 0, u % 50).alias("trial_index")).alias("identity"))
+    folder = _scratch(spark, "documents")
+    documents.write_documents(documents.documents(named, {"collector_holdout": documents.sections(pred, V.MODES, "participant_id")}), folder)
+    found = reports.read_metrics(spark, folder)
+    reports.check_scores(found)
+    return found
+
+
+_NAME = "CASE WHEN substr(run, 2)::INT % 2 = 0 THEN run || '-' ELSE '' END || 'events-' || substr(sha256(run), 1, 8)"
+
+
+@query(f"""WITH {_RUNS} SELECT {_NAME} AS name, CASE WHEN substr(run, 2)::INT % 4 <> 0 THEN substr(run, 2)::INT % 50 END AS trial_index, accuracy, balanced_accuracy, macro_f1, minimum_class_recall, true AS valid,
+(row_number() OVER (ORDER BY macro_f1 DESC, {_NAME}))::INT AS place FROM ru QUALIFY place <= 50""")
+def report_documents(spark, d):
+    """The first documents by their score, and whether their matrices fit their reports."""
+    found = _documents(spark, d)
+    top = reports.top_runs(rounded(found.select("name", "trial_index", *reports.SCORES)), "macro_f1", 50, ["name"])
+    bad = reports.bad_matrices(found).select("name", F.lit(False).alias("valid"))
+    place = F.row_number().over(Window.orderBy(F.desc("macro_f1"), "name"))
+    return top.withColumn("place", place).join(bad, "name", "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
+
+
+@query(f"WITH {_RUNS} SELECT {_NAME} AS name, mode, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::DOUBLE AS support FROM sc JOIN (VALUES " + ", ".join(f"('{m}', {n})" for m, n in V.MODES.items()) + ") AS m(mode, n) ON label = n")
+def report_mode_scores(spark, d):
+    return rounded(reports.mode_scores(_documents(spark, d)).drop("trial_index"))
+
+
+@query(f"WITH {V.PR}, {_GRID}, {_VOTES}, x AS (SELECT phone_position AS value, truth, prediction FROM pr), r AS ({_REPORT.format(by='value,', pr='x')}), s AS (SELECT value, {_MEANS} FROM (SELECT *, {_SCORES} FROM r) GROUP BY value), q AS ({_REPORT.format(by='', pr='vt')}), whole AS (SELECT {_MEANS} FROM (SELECT *, {_SCORES} FROM q)) SELECT 'by_phone_position' AS part, value, macro_f1, accuracy FROM s UNION ALL SELECT 'session_level', 'all', macro_f1, accuracy FROM whole")
+def document_slices(spark, d):
+    """Scores by phone position and of whole sessions, out of the document of all predictions."""
+    text = documents.sections(V.predictions(spark, d).withColumn("run", F.lit("all")), V.MODES)
+    each = text.select(F.explode(F.from_json(F.get_json_object("section", "$.by_phone_position"), "map<string,string>")).alias("value", "x")).select(F.lit("by_phone_position").alias("part"), "value", "x")
+    each = each.unionByName(text.select(F.lit("session_level").alias("part"), F.lit("all").alias("value"), F.get_json_object("section", "$.session_level").alias("x")))
+    return rounded(each.select("part", "value", *[F.get_json_object("x", f"$.{s}").cast("double").alias(s) for s in ("macro_f1", "accuracy")]))
+
+
 @query(f"WITH {V.PR} SELECT count(*) AS rows, count(DISTINCT session_id) AS sessions, count(DISTINCT participant_id) AS participants FROM pr")
 def evaluation_counts(spark, d):
     return metrics.counts(V.predictions(spark, d))

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..streaming.incremental import build_pending, file_system
 
@@ -52,9 +53,17 @@ def feature_policy(source: str, trial_hash: str, seconds: tuple[float, float], r
     return {"version": 1, "source": source, "trial": trial_hash, "seconds": list(seconds), **({"quality": quality} if source == "collector" else {})}
 
 
+def _parsed(text: str) -> object:
+    """What a policy file holds; nothing if it is damaged, so its dataset is rebuilt."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
 def check_domain(events: DataFrame, source: str) -> None:
     """An error unless all events belong to the source."""
-    others = [r[0] for r in events.where("domain IS NOT NULL").select("domain").distinct().where(f"domain <> '{source}'").limit(5).collect()]
+    others = [r[0] for r in events.where("domain IS NOT NULL").select("domain").distinct().where(F.col("domain") != source).limit(5).collect()]
     if others:
         raise ValueError(f"feature source {source!r} got events of {', '.join(sorted(others))}")
 
@@ -70,7 +79,7 @@ def build_source(events: DataFrame, root: str, source: str, policy: dict, build:
     target, ledger = f"{root}/{source}", f"{root}/_ledger-{source}"
     wanted, held = json.dumps(policy, sort_keys=True, indent=2), read_text(spark, f"{root}/{source}-{POLICY}")
     fs, own = file_system(spark, target)
-    if held is not None and json.loads(held) != policy:
+    if held is not None and _parsed(held) != policy:
         fs.delete(own, True)
         fs.delete(file_system(spark, ledger)[1], True)
     if not incremental and fs.exists(file_system(spark, f"{target}/_SUCCESS")[1]):
