@@ -46,8 +46,12 @@ def digits_ms(x: Column) -> Column:
 
 
 def iso_ms(x: Column) -> Column:
-    """An ISO-8601 time (UTC where no zone is given) as milliseconds, null if it is none."""
-    return F.unix_millis(F.try_to_timestamp(x))
+    """An ISO-8601 time (UTC where no zone is given, whatever the session's zone) as milliseconds, null if it is none."""
+    own = F.regexp_replace(F.trim(x), r"^([^:]*:\d\d)(?=$|[Zz+-])", "$1:00")
+    zoned = own.rlike(r":.*(?:[A-Za-z]|[+-]\d{1,2}(?::?\d{1,2})?)$")
+    utc = F.when(own.contains(":"), F.concat(own, F.lit("Z"))).otherwise(F.concat(own, F.lit("T00:00:00Z")))
+    # A time without a date would be taken as today's.
+    return F.unix_millis(F.try_to_timestamp(F.when(own.rlike(r"^\d{4}"), F.when(zoned, own).otherwise(utc))))
 
 
 def filled(x: Column) -> Column:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..sources.scratch import written
+from . import quantiles
 from . import windows as W
-from .sessions import filter_duration, session_stats
+from .sessions import filter_duration, large_sessions, session_stats, sliced_stats
 
 #: Other names of the aggregates, in lower case with spaces.
 ALIASES = {
@@ -130,6 +132,15 @@ def axis_correlation(rows: DataFrame, keys: list[str], axes: tuple[str, str, str
     return rows.groupBy(*keys).agg(*sums).select(*keys, mean.alias("mean_axis_correlation"))
 
 
+def large_baselines(events: DataFrame, sensors: dict[str, tuple[str, ...]], most: int) -> DataFrame:
+    """baselines of sessions that are too large for a task's percentile."""
+    out = baselines(events, {s: c for s, c in sensors.items() if s != "magnetometer"})
+    if "magnetometer" in sensors:
+        field = events.select("session_id", S.magnitude(sensors["magnetometer"]).alias("v"))
+        out = out.join(quantiles.median(field, ["session_id"], "v", most).withColumnRenamed("median", "baseline_magnetometer"), "session_id", "left")
+    return out
+
+
 def baselines(events: DataFrame, sensors: dict[str, tuple[str, ...]]) -> DataFrame:
     """(session_id, baseline_<sensor>): first pressure, median length of the magnetic field."""
     made = []
@@ -150,11 +161,13 @@ def feature_name(sensor: str, aggregate: str, context_ms: int, single: bool) ->
 def window_features(
     events: DataFrame, sensors: dict[str, tuple[str, ...]], window_ms: int, step_ms: int, contexts_ms: list[int] | None = None, aggregates: tuple[str, ...] | dict[str, tuple[str, ...]] = BASIC,
     rates: dict[str, float] | None = None, max_gap_ms: int | None = None, tie: tuple[str, ...] = (), seconds: tuple[float, float] | None = None,
+    most: int | None = None, slice_steps: int = 256,
 ) -> DataFrame:
     """One wide row for each window that passes the gate: identity of its first row, then float features by name.
 
     `aggregates`: names for all sensors, or for each of them. `seconds`: bounds of a session's
-    length; others are left out before anything is windowed, so that no session is too large.
+    length; others are left out before anything is windowed. Sessions of more than `most` rows are cut into slices of
+    `slice_steps` steps, which go to different tasks; without `most`, every session is one task's.
     """
     named = {s: tuple(normal_name(a) for a in (aggregates[s] if isinstance(aggregates, dict) else aggregates)) for s in sensors}
     every = list(dict.fromkeys(a for own in named.values() for a in own))
@@ -162,12 +175,35 @@ def window_features(
     events = events.where("session_id IS NOT NULL AND timestamp_ms IS NOT NULL")
     if seconds:
         events = filter_duration(events, *seconds)
+
+    def wide(assigned: DataFrame, keys: list[str], base: DataFrame | None) -> DataFrame:
+        return _wide(assigned, keys, base, sensors, named, window_ms, contexts, rates, max_gap_ms, tie)
+
+    based = "delta_from_session_baseline" in every
+    out = None
+    if most is not None:
+        # Rows / most sessions at most, beside a table of all rows.
+        large = written(large_sessions(events, most), "large")
+        own = events.join(F.broadcast(large), "session_id", "left_semi")
+        events = events.join(F.broadcast(large), "session_id", "left_anti")
+        slice_ms = slice_steps * step_ms
+        assigned = W.assign_sliced(own, sliced_stats(own, step_ms, slice_ms), window_ms, step_ms, slice_ms)
+        out = wide(assigned, ["session_id", "slice", "window_start_ms"], F.broadcast(large_baselines(own, sensors, most)) if based else None).drop("slice")
     # One exchange by session serves statistics, baselines and windows.
     events = events.repartition("session_id")
     assigned = W.assign_windows(events, session_stats(events, step_ms), window_ms, step_ms)
+    whole = wide(assigned, ["session_id", "window_start_ms"], baselines(events, sensors) if based else None)
+    return whole if out is None else whole.unionByName(out)
+
+
+def _wide(
+    assigned: DataFrame, keys: list[str], base: DataFrame | None, sensors: dict[str, tuple[str, ...]], named: dict[str, tuple[str, ...]], window_ms: int, contexts: list[int],
+    rates: dict[str, float] | None, max_gap_ms: int | None, tie: tuple[str, ...],
+) -> DataFrame:
+    """The rows of window_features, of events in their windows; `keys` name a window and say how rows are dealt."""
+    events, every = assigned, list(dict.fromkeys(a for own in named.values() for a in own))
     rows = W.with_contexts(assigned, contexts)
-    gate = W.quality_gate(rows, sensors, contexts, rates, max_gap_ms)
-    keys = ["session_id", "window_start_ms"]
+    gate = W.quality_gate(rows, sensors, contexts, rates, max_gap_ms, tuple(keys))
     ids = [c for c in ("domain", "participant_id", "device_id", "trip_id", "group_id", "vehicle_type", "label", "phone_position") if c in events.columns]
     out = assigned.groupBy(*keys).agg(F.min_by(F.struct(*ids, "window_end_ms"), F.struct("timestamp_ms", *tie)).alias("_id")).select(*keys, "_id.*").join(gate, keys, "left_semi")
     # All sensors' samples in one column, so that one pass gives the statistics of all.
@@ -175,8 +211,7 @@ def window_features(
     samples = F.explode(F.array(*[F.struct(F.lit(s).alias("_sensor"), S.magnitude(c).alias("v")) for s, c in sensors.items()]))
     long = rows.select(*keys, "context_ms", "timestamp_ms", *tie, samples.alias("_x")).select("*", "_x.*").drop("_x").where("v IS NOT NULL")
     long = first_per_time(long, one, [*tie, "v"])
-    if "delta_from_session_baseline" in every:
-        base = baselines(events, sensors)
+    if base is not None:
         own = F.array(*[F.struct(F.lit(c.removeprefix("baseline_")).alias("_sensor"), F.col(c).alias("baseline")) for c in base.columns if c != "session_id"])
         if len(base.columns) > 1:
             long = long.join(base.select("session_id", F.explode(own).alias("_b")).select("session_id", "_b.*"), ["session_id", "_sensor"], "left")

@@ -5,16 +5,15 @@ Doubles are rounded on both sides: to 6 places, kurtosis and spectra to 4.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import balance, digest, documents, features, metrics, ml, protocols, reports, search, sessions, snapshot, splits, windows
+from ..operators import balance, digest, documents, features, metrics, ml, protocols, quantiles, reports, search, sessions, snapshot, splits, windows
 from ..sources import readers, store
+from ..sources.scratch import scratch_dir
 from ..streaming import incremental
 from . import views as V
 
@@ -97,6 +96,46 @@ def window_assign(spark, d):
     return V.windowed(spark, d).select(*KEYS, "event_id")
 
 
+#: Every second event belongs to one large session.
+_HOT = f"""{V.ES}, hs AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE session_id END AS session_id, timestamp_ms + event_id AS timestamp_ms) FROM es),
+{V.stats_sql("hs", "h", V.WINDOW, V.STEP)}"""
+
+
+def _hot(spark, d):
+    own = V.event_sessions(spark, d)
+    return own.withColumns({"session_id": F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("session_id")), "timestamp_ms": F.col("timestamp_ms") + F.col("event_id")})
+
+
+@query(f"WITH {_HOT} SELECT session_id, window_start_ms, event_id FROM h_r WHERE session_id = 'hot'")
+def window_assign_sliced(spark, d):
+    """A session of half of all events, cut into slices of time that go to different tasks."""
+    own = _hot(spark, d)
+    own = own.join(F.broadcast(sessions.large_sessions(own, 1000)), "session_id", "left_semi")
+    return windows.assign_sliced(own, sessions.sliced_stats(own, V.STEP, V.STEP), V.WINDOW, V.STEP, V.STEP).select(*KEYS, "event_id")
+
+
+@query(f"WITH {_HOT} SELECT session_id, first_ms, last_ms, n, interval_ms FROM h_s WHERE session_id = 'hot'")
+def sliced_session_stats(spark, d):
+    return sessions.sliced_stats(_hot(spark, d).where("session_id = 'hot'"), V.STEP, V.DAY)
+
+
+@query(f"""WITH {_HOT}, b AS (SELECT session_id, arg_min(p, timestamp_ms) AS b, median(abs(p)) AS m FROM hs GROUP BY session_id)
+SELECT session_id, window_start_ms, round(avg(p)::FLOAT, 3) AS mean, round((max(p) - min(p))::FLOAT, 3) AS range, round((avg(p) - any_value(b))::FLOAT, 3) AS delta, round((avg(abs(p)) - any_value(m))::FLOAT, 3) AS field_delta FROM h_r JOIN b USING (session_id) GROUP BY ALL""")
+def feature_wide_hot(spark, d):
+    """Features of all sessions, of which one has half of all events."""
+    sensors = {"pressure": ("p",), "magnetometer": ("a",)}
+    found = features.window_features(_hot(spark, d).withColumn("a", F.abs("p")), sensors, V.WINDOW, V.STEP, aggregates=("mean", "range", "delta_from_session_baseline"), most=1000, slice_steps=1)
+    names = {"mean": "pressure#mean", "range": "pressure#range", "delta": "pressure#delta_from_session_baseline", "field_delta": "magnetometer#delta_from_session_baseline"}
+    return rounded(found.select(*KEYS, *[F.col(f"`{c}`").alias(n) for n, c in names.items()]), 3)
+
+
+@query("SELECT CASE WHEN l_orderkey % 3 > 0 THEN 'hot' ELSE l_returnflag END AS flag, median(l_extendedprice) AS median FROM lineitem GROUP BY 1")
+def medians_of_hot_keys(spark, d):
+    """Medians of keys, of which one has two thirds of all rows, by counts in cells."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.when(F.col("l_orderkey") % 3 > 0, "hot").otherwise(F.col("l_returnflag")).alias("flag"), "l_extendedprice")
+    return quantiles.median(line, ["flag"], "l_extendedprice", most=2000, cells=64)
+
+
 def _values(spark, d):
     return V.windowed(spark, d).withColumn("v", F.col("p"))
 
@@ -296,6 +335,20 @@ m AS (SELECT k, u, a, b, u % 7 <> 0 AS side, CASE WHEN u % 7 <> 0 AND u % 3 <> 0
 CASE WHEN u % 5 <> 0 THEN 'car' WHEN u % 7 <> 0 THEN 'bus' END AS vehicle_type, CASE WHEN u % 7 <> 0 THEN 'hand' ELSE 'unknown' END AS phone_position, CASE WHEN u % 2 <> 0 THEN a + 86400000 END AS s FROM u)"""
 
 
+@query(f"""WITH {V.ES} SELECT event_id, timestamp_ms // 1000 * 1000 AS plain, timestamp_ms // 1000 * 1000 AS utc, timestamp_ms // 1000 * 1000 - 7200000 AS east, timestamp_ms // 86400000 * 86400000 AS day, NULL::BIGINT AS none FROM es""")
+def utc_times(spark, d):
+    """Times without a zone are UTC in a session of another zone, too."""
+    text = V.event_sessions(spark, d).select("event_id", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss").alias("x"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone != "UTC":
+        text = text.withColumn("x", F.date_format(F.to_utc_timestamp("x", zone), "yyyy-MM-dd'T'HH:mm:ss"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        return text.select("event_id", S.iso_ms(F.col("x")).alias("plain"), S.iso_ms(F.concat("x", F.lit("Z"))).alias("utc"), S.iso_ms(F.concat("x", F.lit("+02:00"))).alias("east"), S.iso_ms(F.substring("x", 1, 10)).alias("day"), S.iso_ms(F.concat(F.lit("no"), "x")).alias("none"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 @query(f"{_META} SELECT participant_id, session_id, vehicle_type, phone_position FROM m WHERE vehicle_type IS NOT NULL AND (s IS NULL OR s <= b)")
 def metadata_fallback(spark, d):
     return readers.normalize_collector(_payloads(spark, d), {"car": 0, "bus": 1}).select("participant_id", "session_id", "vehicle_type", "phone_position").distinct()
@@ -695,18 +748,10 @@ def marks_advanced(spark, d):
     return incremental.advance_mark(marks, "b", own.where("NOT even").limit(1), 2)
 
 
-def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="tramline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {V.ES} SELECT session_id, count(*) AS n FROM es GROUP BY 1")
 def incremental_ingest_stream(spark, d):
     """The events by a file stream, run twice: each session is taken once."""
-    out = _scratch(spark, "ingest")
+    out = scratch_dir(spark, "ingest")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     for _ in range(2):
         incremental.run_available(spark, d, schema, f"{out}/events", f"{out}/stream", "parquet", lambda x: V.as_sessions(x).select("session_id", "timestamp_ms", "_file"), "events.parquet")
@@ -716,7 +761,7 @@ def incremental_ingest_stream(spark, d):
 @query(f"WITH {V.EW} SELECT session_id, count(*) AS windows FROM e_w GROUP BY 1")
 def incremental_features(spark, d):
     """Window grids of sessions as they come, in two steps; a session is built once."""
-    out, own = _scratch(spark, "features"), V.event_sessions(spark, d).select("domain", "session_id", "timestamp_ms").withColumn("domain", F.lit("collector"))
+    out, own = scratch_dir(spark, "features"), V.event_sessions(spark, d).select("domain", "session_id", "timestamp_ms").withColumn("domain", F.lit("collector"))
     policy = store.feature_policy("collector", "h", (0, 1e12))
     build = lambda x: windows.window_grid(sessions.session_stats(x, V.STEP), V.WINDOW, V.STEP)
     for part in (own.where("session_id < 'u5'"), own, own):
@@ -739,7 +784,7 @@ def _model_rows(spark, d):
     few = F.concat(F.lit("g"), (F.substring("participant_id", 2, 9).cast("int") / 3 % 4).cast("int").cast("string"))
     rows = rows.select("domain", few.alias("participant_id"), F.col("session").alias("session_id"), F.col("session").alias("group_id"), "label", F.lit("unknown").alias("phone_position"), "window_start_ms", "window_end_ms", *[c for c in rows.columns if "#" in c])
     # Read many times by the fits: written once.
-    path = _scratch(spark, "features")
+    path = scratch_dir(spark, "features")
     rows.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -749,11 +794,11 @@ _FOREST = ("random_forest", {"numTrees": 10, "maxDepth": 5})
 
 
 def _asked(rows, trials, **more):
-    return protocols.Settings(_scratch(rows.sparkSession, "run"), [c for c in rows.columns if "#" in c], _MODES, trials, seed=SEED, **more)
+    return protocols.Settings(scratch_dir(rows.sparkSession, "run"), [c for c in rows.columns if "#" in c], _MODES, trials, seed=SEED, **more)
 
 
 def _weighted_rows(spark, d):
-    path = _scratch(spark, "weighted")
+    path = scratch_dir(spark, "weighted")
     balance.class_weights(_model_rows(spark, d)).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -864,7 +909,7 @@ def _documents(spark, d):
     u = F.substring("run", 2, 9).cast("int")
     named = pred.select(F.col("participant_id").alias("run")).distinct()
     named = named.select("run", F.struct(F.sha2("run", 256).alias("config_hash"), F.lit(None).cast("string").alias("trial_hash"), F.lit("events").alias("train_dataset"), F.when(u % 2 == 0, F.col("run")).alias("run_name"), F.when(u % 4 != 0, u % 50).alias("trial_index")).alias("identity"))
-    folder = _scratch(spark, "documents")
+    folder = scratch_dir(spark, "documents")
     documents.write_documents(documents.documents(named, {"collector_holdout": documents.sections(pred, V.MODES, "participant_id")}), folder)
     found = reports.read_metrics(spark, folder)
     reports.check_scores(found)

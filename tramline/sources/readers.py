@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import EVENTS, NOR_COLUMNS, PAYLOAD, SENSORS, SIDECAR, US_RAW, VALUES
 from ..streaming.incremental import file_system
+from .scratch import written
 
 #: The names of the sources, which are the domains of their events as well.
 US, NOR, COLLECTOR = "us-tmd", "nor-tmd", "collector"
@@ -58,25 +59,49 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
-def included(path: Column, globs: tuple[str, ...]) -> Column:
-    """Whether a path matches a glob below some folder: `**/` is any folders, `*` and `?` stay within a name."""
-    marks = (("**/", "(?:.*/)?"), ("*", "[^/]*"), ("?", "[^/]"))
+def _pattern(glob: str) -> str:
+    """A glob as a regular expression: `**/` is any folders, `*` and `?` stay within a name, `[a-z]` and `[!a-z]` are classes."""
+    marks = (("**/", "(?:.*/)?"), ("**", ".*"), ("*", "[^/]*"), ("?", "[^/]"))
+    out, at = "", 0
+    while at < len(glob):
+        end = glob.find("]", at + 2 + glob.startswith("[!", at)) if glob[at] == "[" else -1
+        if end > 0:
+            own = glob[at + 1 : end]
+            negated = own.startswith("!")
+            inner = re.sub(r"([\\\[\]^&])", r"\\\1", own[negated:])
+            out, at = out + f"(?!/)[{'^' * negated}{inner}]", end + 1
+            continue
+        mark, meant = next(((m, r) for m, r in marks if glob.startswith(m, at)), (glob[at], re.escape(glob[at])))
+        out, at = out + meant, at + len(mark)
+    return out
+
+
+def included(path: Column, globs: tuple[str, ...], root: str = "") -> Column:
+    """Whether a path matches a glob below the folder `root`; without one, below any folder."""
+    start = re.escape(_plain(root).rstrip("/") + "/") if root else "(?:.*/)?"
+    plain = F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
     out = F.lit(False)
     for glob in globs:
-        pattern, at = "", 0
-        while at < len(glob):
-            mark, meant = next(((m, r) for m, r in marks if glob.startswith(m, at)), (glob[at], re.escape(glob[at])))
-            pattern, at = pattern + meant, at + len(mark)
-        out |= path.rlike(f"(?:^|/){pattern}$")
+        out |= plain.rlike(f"^{start}{_pattern(glob)}$")
     return out
 
 
+def _plain(uri: str) -> str:
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", uri)
+
+
+def _asked(spark: SparkSession, path: str, globs: tuple[str, ...]) -> tuple[Column, bool]:
+    """Which files at or below a path are asked for, and whether the path is a single file; that is always asked for."""
+    fs, own = file_system(spark, path)
+    if fs.getFileStatus(own).isFile():
+        return F.lit(True), True
+    return included(F.col("_metadata.file_path"), globs, fs.makeQualified(own).toString()), False
+
+
 def _csv(spark: SparkSession, path: str, globs: tuple[str, ...]) -> tuple[DataFrameReader, Column]:
     """A reader of the CSV files (of any case) at or below a path, and which of them are asked for."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
-    file = F.col("_metadata.file_path")
-    # Of a single file no folder is known: it is taken by name.
-    return reader, F.lit(True) if path.lower().endswith(".csv") else included(file, globs)
+    return reader, _asked(spark, path, globs)[0]
 
 
 def normalize_us(raw: DataFrame, labels: dict[str, int], domain: str = US) -> DataFrame:
@@ -140,39 +165,59 @@ def with_sidecars(payloads: DataFrame, sidecars: DataFrame) -> DataFrame:
     return joined.withColumn("side", F.coalesce("_exact", "_stem")).drop("_exact", "_stem", "_key", "_s")
 
 
-def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str = COLLECTOR) -> DataFrame:
-    """Nested sessions with `path` and `side` to events. Of two files with one session id the first path wins."""
+def chosen_sessions(heads: DataFrame, labels: dict[str, int]) -> DataFrame:
+    """What is known of each session to be taken: heads (payloads but for their samples) with `path` and `side`.
+
+    Sessions of no known label go. Of two files with one session id the first path wins.
+    """
 
     def first(*columns: str) -> Column:
         return F.coalesce(*[S.filled(F.col(c)) for c in columns])
 
-    named = payloads.select(
-        "path", "samples",
+    named = heads.select(
+        "path",
         F.coalesce(first("side.participant_id", "participant_id"), F.lit("unknown_participant")).alias("participant_id"),
-        first("session_id", "side.session_id").alias("session_id"),
+        F.coalesce(first("session_id", "side.session_id"), stem(F.col("path"))).alias("session_id"),
         F.coalesce(first("device_uuid", "side.device_uuid", "side.device_id"), F.lit("unknown_device")).alias("device_id"),
         F.lower(first("vehicle_type", "side.vehicle_type")).alias("vehicle_type"),
         F.coalesce(first("phone_position", "side.phone_position"), F.lit("unknown")).alias("phone_position"),
         F.coalesce(F.col("trimmed_start_ms").try_cast("bigint"), F.col("side.trimmed_start_ms").try_cast("bigint")).alias("s"),
         F.coalesce(F.col("trimmed_end_ms").try_cast("bigint"), F.col("side.trimmed_end_ms").try_cast("bigint")).alias("e"),
     )
-    named = named.withColumn("session_id", F.coalesce("session_id", stem(F.col("path"))))
     named = named.withColumn("label", S.lookup(F.col("vehicle_type"), labels)).where("label IS NOT NULL")
-    named = named.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("path"))).where("_k = 1")
-    rows = named.withColumn("x", F.explode("samples")).withColumn("timestamp_ms", F.col("x.ts").try_cast("double").cast("bigint"))
+    rest = [c for c in named.columns if c != "session_id"]
+    return named.groupBy("session_id").agg(F.min(F.struct(*rest)).alias("_r")).select("session_id", "_r.*")
+
+
+def collector_events(payloads: DataFrame, chosen: DataFrame, domain: str = COLLECTOR, sent: int = 100_000) -> DataFrame:
+    """Events of the chosen sessions' payloads (path, samples).
+
+    Up to `sent` sessions, what is known of them is sent to the tasks, and no exchange carries samples; with more
+    of them, one does. `chosen` is read several times: pass it written.
+    """
+    known = F.broadcast(chosen) if chosen.limit(sent + 1).count() <= sent else chosen
+    rows = payloads.select("path", "samples").join(known, "path").withColumn("x", F.explode("samples")).withColumn("timestamp_ms", F.col("x.ts").try_cast("double").cast("bigint"))
     rows = rows.where("s IS NULL OR e IS NULL OR timestamp_ms BETWEEN s AND e")
     rows = rows.withColumns({"domain": F.lit(domain), "trip_id": F.col("session_id")})
     return coerce(rows.select("*", group_id(), *[S.number(F.col(f"x.{c}")).alias(c) for c in VALUES]))
 
 
+def normalize_collector(payloads: DataFrame, labels: dict[str, int], domain: str = COLLECTOR) -> DataFrame:
+    """Nested sessions with `path` and `side` to events, in two phases: sessions are chosen without their samples."""
+    return collector_events(payloads, written(chosen_sessions(payloads.drop("samples"), labels), "sessions"), domain)
+
+
 def read_collector(spark: SparkSession, path: str, labels: dict[str, int], globs: tuple[str, ...] = ("**/*",)) -> DataFrame:
-    """JSON sessions, plain or gzip, with their sidecars."""
+    """JSON sessions, plain or gzip, with their sidecars. Samples are read once sessions are chosen."""
     every = lambda schema: spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
     file = F.element_at(F.split("path", "/"), -1)
-    payloads = every(PAYLOAD).option("pathGlobFilter", "*.{json,json.gz}").json(path).withColumn("path", F.col("_metadata.file_path"))
-    payloads = payloads.where(included(F.col("path"), globs) & ~F.lower("path").endswith(".metadata.json") & ~file.startswith("."))
-    sidecars = every(SIDECAR).option("pathGlobFilter", "*.metadata.json").json(path).withColumn("path", F.col("_metadata.file_path"))
-    return normalize_collector(with_sidecars(payloads, sidecars), labels)
+    asked, single = _asked(spark, path, globs)
+    payloads = every(PAYLOAD).option("pathGlobFilter", "*.{json,json.gz}").json(path).where(asked).withColumn("path", F.col("_metadata.file_path"))
+    payloads = payloads.where(~F.lower("path").endswith(".metadata.json") & ~file.startswith("."))
+    beside = str(file_system(spark, path)[1].getParent()) if single else path
+    sidecars = every(SIDECAR).option("pathGlobFilter", "*.metadata.json").json(beside).withColumn("path", F.col("_metadata.file_path"))
+    heads = with_sidecars(payloads.drop("samples"), sidecars)
+    return collector_events(payloads, written(chosen_sessions(heads, labels), "sessions"))
 
 
 for _name, _reader in ((US, read_us), (NOR, read_nor), (COLLECTOR, read_collector)):
