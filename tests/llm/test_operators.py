@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tramline.llm import fingerprints, language, media, packing, secrets, sentencepieces, simhash, spans, toxicity, urls
+from tramline.llm import fingerprints, language, media, packing, queries, secrets, sentencepieces, simhash, spans, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PHRASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo"
@@ -330,6 +330,27 @@ def test_simhash_dense_groups(spark):
         assert {i: label.get(i, i) for i in expected} == expected
 
 
+def test_toxicity_windows():
+    model = toxicity.train([f"grumpfuzz kvetchmug plain{i}" for i in range(40)], [f"plain{i} word{i % 7} and so on" for i in range(80)])
+    one = model.distance("grumpfuzz")
+    assert one >= model.least and model.distance("grumpfuzz kvetchmug") > one and model.distance("") == model.distance(" ") == 0
+    # Words of one window add up, those further apart don't; so do words on either side of a cut between parts.
+    assert model.distance("grumpfuzz " + "a " * 40 + "grumpfuzz") == one
+    filler = "a " * ((1 << 19) - 3)
+    assert model.distance(filler + "grumpfuzz grumpfuzz " + filler) == 2 * one == model.distance("grumpfuzz grumpfuzz")
+    assert model.distance("x" * 3_000_000) == 0
+
+
+def test_toxicity_held_out(spark):
+    """The registered query on real tables: at least three of four toxic texts of the held-out fold, and few others."""
+    at = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: r for r in queries.op8_toxicity(spark, at).collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").where("toxic is not null").select("doc_id", "toxic").collect()}
+    held = [(toxic[i], r["predicted"]) for i, r in found.items() if r["held_out"] and i in toxic]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for i, r in found.items())
+    assert sum(p for t, p in held if t) >= 0.75 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 0.02 * len(held)
+
+
 def test_toxicity_of_rare_words():
     rng = random.Random(14)
     words = ["".join(rng.choices("aehinorst", k=6)) for _ in range(300)]
