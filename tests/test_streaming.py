@@ -47,3 +47,22 @@ def test_stream_windows(spark, tmp_path):
     found = _run(spark, tmp_path, 1000, 500)
     assert len(found) == len(set(found))
     assert set(found) == _expected(own, 1000, 500)
+
+
+def test_state_is_panes(spark, tmp_path):
+    """A thousand rows of an open window are a few panes of state; a long silence is passed over at once."""
+    own = [("a", HOUR + 3 * i, float(i % 10)) for i in range(2000)]
+    _drop(tmp_path / "in", "0.json", own)
+    _run(spark, tmp_path, 4000, 1500)
+    (held,) = spark.read.format("statestore").load(f"{tmp_path}/mark").select("value.groupState.*").collect()
+    # Two windows have closed; of the third one six panes are held.
+    assert sum(held["counts"]) == 1000 and held["panes"] == list(range(6, 12))
+    late = [("a", 3 * HOUR * 1000 + 7, 1.0)]
+    _drop(tmp_path / "in", "1.json", late)
+    _run(spark, tmp_path, 4000, 1500)
+    _drop(tmp_path / "in", "2.json", [("z", 9 * HOUR * 1000, 0.0)])
+    found = _run(spark, tmp_path, 4000, 1500)
+    near = {x for x in _expected(own, 4000, 1500)}
+    assert near <= set(found) and len(found) == len(set(found))
+    rest = set(found) - near
+    assert rest and all(n == 1 and mean == 1.0 and start <= late[0][1] < start + 4000 and (start - HOUR) % 1500 == 0 for _, start, n, mean in rest)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -18,18 +20,32 @@ def session_durations(features: DataFrame) -> DataFrame:
     return features.withColumn("_new", new).groupBy(*_SESSION).agg((F.sum("_new") / 1000.0).alias("seconds"))
 
 
+def _bucket(df: DataFrame, column: str, length: int = 3) -> Column:
+    """What follows the beginning that all values share: a bucket of few values whose order is that of the column."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    shared = len(os.path.commonprefix([low or "", high or ""]))
+    return F.substring(column, shared + 1, length)
+
+
 def select_sessions(durations: DataFrame, seed: int) -> DataFrame:
-    """Whole sessions of each label, a round through its participants at a time, until the shortest label's total is reached."""
+    """Whole sessions of each label, a round through its participants at a time, until the shortest label's total is reached.
+
+    What comes before a session is the sum of earlier rounds, of earlier buckets of participants in its round, and of
+    its bucket; so no task sees all sessions of a label, or of a round.
+    """
     target = durations.groupBy("label").agg(F.sum("seconds").alias("s")).agg(F.min("s").alias("target"))
     key = S.shuffle_key(seed, "session_id")
-    rounds = durations.withColumn("round", F.row_number().over(Window.partitionBy("label", "participant_id").orderBy(key, "session_id")))
-    # Sums before a session: those of whole rounds, and those within its round; no task sees all sessions of a label.
-    earlier = rounds.groupBy("label", "round").agg(F.sum("seconds").alias("_s"))
-    earlier = earlier.select("label", "round", (F.sum("_s").over(Window.partitionBy("label").orderBy("round")) - F.col("_s")).alias("_before"))
-    done = Window.partitionBy("label", "round").orderBy("participant_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = rounds.withColumn("before", F.coalesce(F.sum("seconds").over(done), F.lit(0.0)))
-    sofar = within.join(earlier, ["label", "round"]).withColumn("before", F.col("before") + F.col("_before")).drop("_before")
-    return sofar.select(*rounds.columns, "before").crossJoin(F.broadcast(target)).where("before < target").drop("before")
+    rounds = durations.withColumn("round", F.row_number().over(Window.partitionBy("label", "participant_id").orderBy(key, "session_id"))).withColumn("_b", _bucket(durations, "participant_id"))
+    before = lambda keys, order: F.sum("_s").over(Window.partitionBy(*keys).orderBy(order)) - F.col("_s")
+    buckets = rounds.groupBy("label", "round", "_b").agg(F.sum("seconds").alias("_s"))
+    whole = buckets.groupBy("label", "round").agg(F.sum("_s").alias("_s")).select("label", "round", before(["label"], "round").alias("_rounds"))
+    parts = buckets.select("label", "round", "_b", before(["label", "round"], "_b").alias("_buckets"))
+    done = Window.partitionBy("label", "round", "_b").orderBy("participant_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = rounds.withColumn("_within", F.coalesce(F.sum("seconds").over(done), F.lit(0.0)))
+    sofar = within.join(parts, ["label", "round", "_b"]).join(whole, ["label", "round"])
+    # Sums of parts in another order differ in their last digits: lengths are whole milliseconds.
+    reached = F.round(F.col("_rounds") + F.col("_buckets") + F.col("_within"), 3) < F.round("target", 3)
+    return sofar.crossJoin(F.broadcast(target)).where(reached).select(*durations.columns, "round", "target")
 
 
 def balance_durations(features: DataFrame, seed: int) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,19 +115,45 @@ def draw(seed: int, iteration: Column, place: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
 
 
-def bootstrap_ci(pred: DataFrame, labels: list[int], iterations: int, seed: int, group: str = "participant_id") -> DataFrame:
+def _drawn_here(named: DataFrame, groups: int, labels: list[int], iterations: int, seed: int) -> DataFrame:
+    """(iteration, truth, prediction, n) of all draws, made in the tasks from counts by place that are sent to them."""
+    at = {x: i for i, x in enumerate(labels)}
+    table = np.zeros((groups, len(labels) ** 2), np.int64)
+    for r in named.where(F.col("truth").isin(labels) & F.col("prediction").isin(labels)).select("i", "truth", "prediction", "n").collect():
+        table[r["i"], at[r["truth"]] * len(labels) + at[r["prediction"]]] = r["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch["id"].to_pylist()
+            found = np.zeros((len(own), table.shape[1]), np.int64)
+            for k, iteration in enumerate(own):
+                places = [int(hashlib.md5(f"{seed}-{iteration}-{p}".encode()).hexdigest()[:8], 16) % groups for p in range(groups)]
+                found[k] = np.bincount(places, minlength=groups) @ table
+            k, cell = np.nonzero(found)
+            truth, prediction = np.array(labels)[cell // len(labels)], np.array(labels)[cell % len(labels)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[k]), pa.array(truth, pa.int32()), pa.array(prediction, pa.int32()), pa.array(found[k, cell])], names=["iteration", "truth", "prediction", "n"])
+
+    return named.sparkSession.range(iterations).mapInArrow(run, "iteration long, truth int, prediction int, n long")
+
+
+def bootstrap_ci(pred: DataFrame, labels: list[int], iterations: int, seed: int, group: str = "participant_id", sent: int = 2_000_000) -> DataFrame:
     """(metric, low, high): 2.5 and 97.5 percentiles over draws of whole groups with replacement.
 
-    Only group-level confusion counts are drawn: iterations x groups x labels^2 rows at most.
+    Only group-level confusion counts are drawn. Up to `sent` of them (groups x labels^2), they are sent to the tasks, which
+    share the iterations: nothing is exchanged for the draws. With more of them, draws are rows that
+    are joined, iterations x groups at most.
     """
     spark = pred.sparkSession
     counts = pred.groupBy(F.col(group).cast("string").alias("grp"), "truth", "prediction").agg(F.count(F.lit(1)).alias("n"))
     named = numbered(counts, "grp", seed).withColumnRenamed("place", "i")
-    total = named.agg(F.count(F.lit(1)).alias("groups"))
-    draws = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(named.select(F.col("i").alias("place"))).crossJoin(F.broadcast(total))
-    drawn = draws.withColumn("i", draw(seed, F.col("iteration"), F.col("place"), F.col("groups"))).join(named, "i").groupBy("iteration", "grp").agg(F.count(F.lit(1)).alias("times"))
-    conf = drawn.join(counts, "grp").groupBy("iteration", "truth", "prediction").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    groups = counts.select("grp").distinct().count()
     side = spark.createDataFrame([(x,) for x in labels], "truth int")
+    if groups * len(labels) ** 2 <= sent:
+        conf = _drawn_here(counts.join(F.broadcast(named), "grp"), groups, labels, iterations, seed)
+    else:
+        draws = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(named.select(F.col("i").alias("place"), F.col("of").alias("groups")))
+        drawn = draws.withColumn("i", draw(seed, F.col("iteration"), F.col("place"), F.col("groups"))).join(named, "i").groupBy("iteration", "grp").agg(F.count(F.lit(1)).alias("times"))
+        conf = drawn.join(counts, "grp").groupBy("iteration", "truth", "prediction").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
     grid = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(side.crossJoin(side.withColumnRenamed("truth", "prediction"))))
     conf = grid.join(conf, ["iteration", "truth", "prediction"], "left").select("iteration", "truth", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
     each = overall(conf, ("iteration",))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -44,16 +44,17 @@ def check_modes(df: DataFrame, modes: dict[str, int], group: str, least: int = 2
         raise ValueError(f"modes with fewer than {least} of {group}: {', '.join(sparse)}")
 
 
-def numbered(groups: DataFrame, group: str, seed: int) -> DataFrame:
-    """Distinct groups with `place`, from 0 on, in shuffled order; no task sees all groups.
+def numbered(groups: DataFrame, group: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (by, group) with `place`, from 0 on within `by`, in shuffled order, and `of`, how many there are; no task sees all groups.
 
     The first three hex digits of a group's key are its bucket: a place is a rank within the
     bucket and the rows of the buckets before, of which there are 4096 at most.
     """
-    keyed = groups.select(group).distinct().withColumn("key", S.shuffle_key(seed, group)).withColumn("bucket", F.substring("key", 1, 3))
-    before = keyed.groupBy("bucket").count().withColumn("before", F.sum("count").over(Window.orderBy("bucket")) - F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key", group))
-    return keyed.withColumn("rank", rank).join(F.broadcast(before), "bucket").select(group, (F.col("rank") - 1 + F.col("before")).alias("place"))
+    keyed = groups.select(*by, group).distinct().withColumn("key", S.shuffle_key(seed, group)).withColumn("bucket", F.substring("key", 1, 3))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    before = keyed.groupBy(*by, "bucket").count().withColumn("before", F.sum("count").over(whole.orderBy("bucket")) - F.col("count")).withColumn("of", F.sum("count").over(whole))
+    rank = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("key", group))
+    return keyed.withColumn("rank", rank).join(F.broadcast(before), [*by, "bucket"]).select(*by, group, (F.col("rank") - 1 + F.col("before")).alias("place"), "of")
 
 
 def holdout(df: DataFrame, fraction: float | dict[int, float], seed: int, group: str = "group_id", modes: dict[str, int] | None = None) -> DataFrame:
@@ -66,11 +67,8 @@ def holdout(df: DataFrame, fraction: float | dict[int, float], seed: int, group:
         modes = {str(r["label"]): r["label"] for r in df.select("label").distinct().collect()}
     check_groups(df, modes, group)
     share = S.lookup(F.col("label"), fraction) if isinstance(fraction, dict) else F.lit(fraction)
-    groups = df.select("label", group).distinct()
-    own = Window.partitionBy("label")
-    ranked = groups.withColumn("k", F.row_number().over(own.orderBy(S.shuffle_key(seed, group), group))).withColumn("n", F.count(F.lit(1)).over(own))
-    count = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * share), F.col("n") - 1))
-    return ranked.select("label", group, F.when(F.col("k") <= count, "calibration").otherwise("holdout").alias("role"))
+    count = F.greatest(F.lit(1), F.least(F.floor(F.col("of") * share), F.col("of") - 1))
+    return numbered(df, group, seed, ("label",)).select("label", group, F.when(F.col("place") < count, "calibration").otherwise("holdout").alias("role"))
 
 
 def group_kfold(df: DataFrame, k: int, seed: int, group: str = "group_id") -> DataFrame:
@@ -93,6 +91,19 @@ def leave_one_out(df: DataFrame, participant: str = "participant_id") -> DataFra
     return own.select(F.col(participant).alias("fold")).crossJoin(own).withColumn("role", F.when(F.col("fold") == F.col(participant), "test").otherwise("train"))
 
 
+def fold_role(fold: Column, participant: Column) -> Column:
+    """What a participant is to a fold of leave-one-out: rows carry their participant, so no table of pairs is needed."""
+    return F.when(participant.eqNullSafe(fold), "test").otherwise("train")
+
+
+def leave_one_out_sizes(df: DataFrame, participant: str = "participant_id", group: str = "group_id") -> DataFrame:
+    """(fold, test_rows, train_rows, test_groups, train_groups): one row a participant; a group belongs to one participant."""
+    own = df.groupBy(F.col(participant).alias("fold")).agg(F.count(F.lit(1)).alias("test_rows"), F.count_distinct(group).alias("test_groups"))
+    # One row.
+    all_ = own.agg(F.sum("test_rows").alias("_r"), F.sum("test_groups").alias("_g"))
+    return own.crossJoin(F.broadcast(all_)).select("fold", "test_rows", (F.col("_r") - F.col("test_rows")).alias("train_rows"), "test_groups", (F.col("_g") - F.col("test_groups")).alias("train_groups"))
+
+
 def stratified_group_kfold(df: DataFrame, k: int, seed: int, scope: str | None = None, group: str = "participant_id") -> DataFrame:
     """(scope, group, fold): each group goes where the label counts of folds stay most even; largest spread first.
 

@@ -463,6 +463,12 @@ def lopo_folds(spark, d):
     return splits.leave_one_out(V.event_sessions(spark, d).where("domain = 'collector'"))
 
 
+@query(f"WITH {V.ES}, c AS (SELECT participant_id AS fold, count(*) AS test_rows, count(DISTINCT session_id) AS test_groups FROM es GROUP BY 1) SELECT fold, test_rows, (SELECT count(*) FROM es) - test_rows AS train_rows, test_groups, (SELECT count(DISTINCT session_id) FROM es) - test_groups AS train_groups FROM c")
+def lopo_sizes(spark, d):
+    """A row for each participant, from roles by predicate, without the table of pairs."""
+    return splits.leave_one_out_sizes(V.event_sessions(spark, d))
+
+
 @query()
 def stratified_group_kfold(spark, d):
     return splits.stratified_group_kfold(V.event_sessions(spark, d).where("domain = 'collector'"), 5, SEED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,37 +81,53 @@ def advance_mark(marks: DataFrame, source: str, seen: DataFrame, version: int =
 def stream_windows(events: DataFrame, window_ms: int, step_ms: int, lateness: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
     """(session_id, window_start_ms, n, mean) of session-anchored windows as they close.
 
-    `events`: a stream of session_id, timestamp_ms, v and event time ts. Rows wait in state until
-    the watermark passes; windows start at the session's first row, so rows before it that come
-    late are dropped. A session's state is its open rows; it goes when the watermark has passed the
-    session's last row by `idle_ms`. Rows that still come after that begin a session anew.
+    `events`: a stream of session_id, timestamp_ms, v and event time ts. Rows are added to panes, the longest pieces of time that
+    windows and steps are made of; a window is the sum of its panes once the watermark has passed it. Windows start at the
+    session's first row, so rows before it that come late are dropped. A session's state is the count and sum of each open
+    pane, however many rows there are; it goes when the watermark has passed the session's last row by `idle_ms`. Rows that
+    still come after that begin a session anew.
     """
+    pane = math.gcd(window_ms, step_ms)
+    in_window, in_step = window_ms // pane, step_ms // pane
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, begun, last, times, values = state.get if state.exists else (None, 0, None, [], [])
-        parts = [(np.array(times, np.int64), np.array(values, np.float64)), *((b["timestamp_ms"].to_numpy(np.int64), b["v"].to_numpy(np.float64)) for b in batches)]
-        times, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(times, kind="stable")
-        times, values = times[order], values[order]
+        first, begun, last, *held = state.get if state.exists else (None, 0, None, [], [], [])
+        panes = {k: (n, total) for k, n, total in zip(*held, strict=True)}
         mark = state.getCurrentWatermarkMs()
-        if len(times):
-            first, last = int(times[0]) if first is None else first, max(int(times[-1]), last or 0)
+        if first is None:
+            # Where a session's panes lie is known once its first rows are.
+            batches = list(batches)
+            first = min((int(b["timestamp_ms"].min()) for b in batches if len(b)), default=None)
+        for b in batches:
+            if not len(b):
+                continue
+            times, values = b["timestamp_ms"].to_numpy(np.int64), b["v"].to_numpy(np.float64)
+            last = max(int(times.max()), last or 0)
+            found, place = np.unique((times - first) // pane, return_inverse=True)
+            for k, n, total in zip(found.tolist(), np.bincount(place).tolist(), np.bincount(place, values).tolist(), strict=True):
+                if k >= begun * in_step:
+                    before = panes.get(k, (0, 0.0))
+                    panes[k] = (before[0] + n, before[1] + total)
         out = []
-        while len(times) and first + begun * step_ms + window_ms <= mark:
-            start = first + begun * step_ms
-            own = values[slice(*np.searchsorted(times, [start, start + window_ms]))]
-            if len(own):
-                out.append((key[0], start, len(own), float(own.mean())))
+        while panes and first + begun * step_ms + window_ms <= mark:
+            # Windows without rows are passed over at once.
+            begun = max(begun, (min(panes) - in_window) // in_step + 1)
+            if first + begun * step_ms + window_ms > mark:
+                break
+            own = [panes[k] for k in range(begun * in_step, begun * in_step + in_window) if k in panes]
+            n = sum(x for x, _ in own)
+            if n:
+                out.append((key[0], first + begun * step_ms, n, sum(x for _, x in own) / n))
             begun += 1
-            kept = np.searchsorted(times, first + begun * step_ms)
-            times, values = times[kept:], values[kept:]
-        if last is None or not len(times) and last + idle_ms <= mark:
+            panes = {k: x for k, x in panes.items() if k >= begun * in_step}
+        if last is None or not panes and last + idle_ms <= mark:
             state.remove()
         else:
-            state.update((first, begun, last, times.tolist(), values.tolist()))
-            state.setTimeoutTimestamp(max(mark + 1, first + begun * step_ms + window_ms if len(times) else last + idle_ms))
+            order = sorted(panes)
+            state.update((first, begun, last, order, [panes[k][0] for k in order], [panes[k][1] for k in order]))
+            state.setTimeoutTimestamp(max(mark + 1, first + begun * step_ms + window_ms if panes else last + idle_ms))
         yield pd.DataFrame(out, columns=["session_id", "window_start_ms", "n", "mean"])
 
     return events.withWatermark("ts", lateness).groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, window_start_ms long, n long, mean double", "first long, begun long, last long, times array<long>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        update, "session_id string, window_start_ms long, n long, mean double", "first long, begun long, last long, panes array<long>, counts array<long>, sums array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
