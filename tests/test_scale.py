@@ -66,3 +66,27 @@ def test_leave_one_out_by_predicate(spark, sessions):
     for fold in ("participant-0001", "participant-0200"):
         roles = {r["role"]: r["count"] for r in df.withColumn("role", splits.fold_role(F.lit(fold), F.col("participant_id"))).groupBy("role").count().collect()}
         assert sizes[fold]["test_rows"] == roles.get("test", 0) == sizes[fold]["test_groups"] and sizes[fold]["train_rows"] == roles["train"]
+
+
+def test_stratified_folds(spark):
+    rng = random.Random(3)
+    rows = [(f"g{g}", label) for g in range(60) for label in range(3) for _ in range((5, 40, 130)[(g + label) % 3] + rng.randrange(3))]
+    df = spark.createDataFrame(rows, "participant_id string, label int")
+    folds = {r["participant_id"]: r["fold"] for r in splits.stratified_group_kfold(df, 4, 7).collect()}
+    assert len(folds) == 60 and set(folds.values()) == {0, 1, 2, 3}
+    counts = [[sum(1 for g, x in rows if folds[g] == f and x == label) for f in range(4)] for label in range(3)]
+    assert all(max(c) < 1.25 * min(c) for c in counts)
+    assert folds == {r["participant_id"]: r["fold"] for r in splits.stratified_group_kfold(df.repartition(5), 4, 7).collect()}
+    # Plain version of what is left over: each goes where counts stay most even.
+    table = [("a", 5, {"0": 4.0, "1": 1.0}), ("b", 3, {"0": 1.0, "1": 4.0}), ("c", 8, {"0": 2.0})]
+    assert {p: len(x) for p, x in splits.dealt(table, 4).items()} == {"a": 1, "b": 3, "c": 0}
+    with pytest.raises(ValueError, match="at least two"):
+        splits.dealt([("a", 1, {"0": 1.0})], 4)
+
+
+def test_stratified_folds_of_many_groups(spark):
+    """A million groups of few profiles: one row a profile is dealt, sizes of folds and of labels in folds are even."""
+    df = spark.range(1_000_000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("participant_id"), (F.col("id") % 5).cast("int").alias("label"))
+    assert splits.profiles(df).select("profile").distinct().count() == 5
+    found = splits.stratified_group_kfold(df, 4, 1).join(df, "participant_id").groupBy("fold", "label").count().collect()
+    assert len(found) == 20 and {r["count"] for r in found} == {50_000}

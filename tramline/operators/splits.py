@@ -54,7 +54,7 @@ def numbered(groups: DataFrame, group: str, seed: int, by: tuple[str, ...] = ())
     whole = Window.partitionBy(*by) if by else Window.partitionBy()
     before = keyed.groupBy(*by, "bucket").count().withColumn("before", F.sum("count").over(whole.orderBy("bucket")) - F.col("count")).withColumn("of", F.sum("count").over(whole))
     rank = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("key", group))
-    return keyed.withColumn("rank", rank).join(F.broadcast(before), [*by, "bucket"]).select(*by, group, (F.col("rank") - 1 + F.col("before")).alias("place"), "of")
+    return keyed.withColumn("rank", rank).join(before if by else F.broadcast(before), [*by, "bucket"]).select(*by, group, (F.col("rank") - 1 + F.col("before")).alias("place"), "of")
 
 
 def holdout(df: DataFrame, fraction: float | dict[int, float], seed: int, group: str = "group_id", modes: dict[str, int] | None = None) -> DataFrame:
@@ -104,29 +104,66 @@ def leave_one_out_sizes(df: DataFrame, participant: str = "participant_id", grou
     return own.crossJoin(F.broadcast(all_)).select("fold", "test_rows", (F.col("_r") - F.col("test_rows")).alias("train_rows"), "test_groups", (F.col("_g") - F.col("test_groups")).alias("train_groups"))
 
 
-def stratified_group_kfold(df: DataFrame, k: int, seed: int, scope: str | None = None, group: str = "participant_id") -> DataFrame:
-    """(scope, group, fold): each group goes where the label counts of folds stay most even; largest spread first.
+def profiles(df: DataFrame, scope: str | None = None, group: str = "participant_id") -> DataFrame:
+    """(scope, grp, profile, counts): each group's rows by label, and these numbers cut to their first two binary digits.
 
-    There are min(k, groups) folds in a scope; fewer than two are an error. Runs on one row for
-    each group and label of a scope.
+    `counts` is a map; a profile is text. There are few profiles, however many groups there are.
     """
     named = df.withColumn("scope", F.col(scope) if scope else F.lit("all"))
-    counts = named.groupBy("scope", F.col(group).alias("grp"), "label").count().withColumn("key", S.shuffle_key(seed, "grp"))
+    counts = named.groupBy("scope", F.col(group).cast("string").alias("grp"), "label").agg(F.count(F.lit(1)).alias("n"))
+    low = F.pow(F.lit(2.0), F.floor(F.log2("n")) - 1)
+    cut = F.when(F.col("n") < 4, F.col("n")).otherwise((F.floor(F.col("n") / low) * low).cast("bigint"))
+    entry = F.struct(F.col("label").cast("string").alias("label"), cut.alias("cut"), F.col("n").alias("n"))
+    own = counts.groupBy("scope", "grp").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    text = F.array_join(F.transform("_e", lambda e: F.concat_ws(":", e["label"], e["cut"].cast("string"))), ",")
+    return own.select("scope", "grp", text.alias("profile"), F.map_from_entries(F.transform("_e", lambda e: F.struct(e["label"], e["n"]))).alias("counts"))
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot_table(index=["grp", "key"], columns="label", values="count", fill_value=0)
-        table = table.iloc[np.lexsort((table.index.get_level_values("key"), -table.std(axis=1, ddof=0).to_numpy()))]
-        share = table.to_numpy(float) / table.to_numpy(float).sum(axis=0)
-        n = min(k, len(table))
-        if n < 2:
-            raise ValueError(f"cross-validation needs at least two of {group}")
-        folds, sizes, out = np.zeros((n, share.shape[1])), np.zeros(n), []
-        for own in share:
+
+def dealt(rows: list[tuple[str, int, dict[str, float]]], k: int, what: str = "group") -> dict[str, list[int]]:
+    """Folds of the groups of each profile beyond those dealt round: (profile, groups, mean counts by label) -> their folds.
+
+    A profile's groups go round all folds as often as they can, which leaves the folds as even as before. Each of the rest goes where the label counts
+    of folds stay most even; profiles of the largest spread first.
+    """
+    n = min(k, sum(c for _, c, _ in rows))
+    if n < 2:
+        raise ValueError(f"cross-validation needs at least two of {what}")
+    labels = sorted({x for _, _, counts in rows for x in counts})
+    table = np.array([[counts.get(x, 0.0) for x in labels] for _, _, counts in rows])
+    total = np.array([c for _, c, _ in rows]) @ table
+    folds, sizes, out = np.zeros((n, len(labels))), np.zeros(n), {}
+    for i in sorted(range(len(rows)), key=lambda i: (-table[i].std(), rows[i][0])):
+        own, rest = table[i] / total, []
+        for _ in range(rows[i][1] % n):
             trial = [(np.std(np.vstack([folds[:f], folds[f] + own, folds[f + 1 :]]), axis=0).mean(), sizes[f], f) for f in range(n)]
             best = min(trial)[2]
             folds[best] += own
             sizes[best] += 1
-            out.append(best)
-        return pd.DataFrame({"scope": rows["scope"].iloc[0], "grp": table.index.get_level_values("grp"), "fold": out})
+            rest.append(best)
+        out[rows[i][0]] = rest
+    return out
+
 
-    return counts.groupBy("scope").applyInPandas(deal, "scope string, grp string, fold int").withColumnRenamed("grp", group)
+def stratified_group_kfold(df: DataFrame, k: int, seed: int, scope: str | None = None, group: str = "participant_id") -> DataFrame:
+    """(scope, group, fold): folds of a scope have groups of every profile of label counts, as evenly as they can.
+
+    Folds are dealt to profiles, of which there are few; a group's fold is that of its shuffled place among those of its profile.
+    There are min(k, groups) folds in a scope; fewer than two are an error.
+    """
+    each = profiles(df, scope, group)
+    labels = F.explode("counts").alias("label", "n")
+    means = each.select("scope", "profile", labels).groupBy("scope", "profile", "label").agg(F.sum("n").alias("n"))
+    sizes = each.groupBy("scope", "profile").agg(F.count(F.lit(1)).alias("groups"))
+    # A row for each profile and label.
+    table = sizes.join(means, ["scope", "profile"])
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [(p, int(g["groups"].iloc[0]), dict(zip(g["label"], (g["n"] / g["groups"]).astype(float), strict=True))) for p, g in rows.groupby("profile")]
+        found = dealt(own, k, group)
+        return pd.DataFrame({"scope": rows["scope"].iloc[0], "profile": list(found), "folds": min(k, sum(c for _, c, _ in own)), "rest": list(found.values())})
+
+    folds = table.groupBy("scope").applyInPandas(deal, "scope string, profile string, folds int, rest array<int>")
+    placed = numbered(each, "grp", seed, ("scope", "profile")).join(folds, ["scope", "profile"])
+    whole = F.floor(F.col("of") / F.col("folds")) * F.col("folds")
+    fold = F.when(F.col("place") < whole, (F.col("place") % F.col("folds")).cast("int")).otherwise(F.get("rest", (F.col("place") - whole).cast("int")))
+    return placed.select("scope", F.col("grp").alias(group), fold.alias("fold"))
