@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,22 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def smallest(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of `df` with the `most` smallest keys, and about as many more; keys are hashes, as signed longs.
+
+    Keys are counted by how far they lie above the least long, in powers of two; so neither the driver nor one task
+    gets `most` rows of every partition.
+    """
+    level = F.ceil(F.log2(F.col(key).cast("double") + float(1 << 63) + 1))
+    counts = sorted((r["level"], r["count"]) for r in df.groupBy(level.alias("level")).count().collect())
+    total = 0
+    for at, n in counts:
+        total += n
+        if total >= most:
+            return df.where(level <= at)
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or the first of name_, name__ and so on that isn't a column of `df` (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_chunks, texts
+from ._common import materialize, smallest, text_chunks, texts
 
 MARKER = bytes(range(128, 160))
 CACHE = 300_000
@@ -144,7 +144,8 @@ def fit(df: DataFrame, labels: DataFrame | None = None, max_toxic: int = 600, ma
     """
     known = (df if labels is None else labels).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic")).withColumn("key", F.xxhash64(F.col("id").cast("string")))
-    first = [known.where(F.col("toxic") == t).orderBy("key", "id").limit(n) for t, n in ((True, max_toxic), (False, max_ordinary))]
+    known = materialize(known)
+    first = [smallest(known.where(F.col("toxic") == t), "key", n).orderBy("key", "id").limit(n) for t, n in ((True, max_toxic), (False, max_ordinary))]
     # At most max_toxic + max_ordinary ids.
     chosen = F.broadcast(materialize(first[0].union(first[1])))
     found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").where(F.length("text") <= max_chars).collect()
