@@ -82,6 +82,18 @@ def test_ranks_of_ties(spark):
     assert got == {r[0]: None for r in rows} | {r[0]: k + 1 for k, r in enumerate(order[: len(order) * 70 // 100])}
 
 
+def test_prefixes_of_a_long_text():
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    starts, ends, sizes, counts = resampling.prefixes([text, "", "a b"])
+    assert counts.tolist() == [200_000, 0, 2] and sizes[:200_000].tolist() == [len(w) for w in text.split()]
+    assert int(ends[199_999]) == zlib.crc32(text.encode()) and int(starts[199_999]) == zlib.crc32(text[: text.rindex(" ") + 1].encode()) and starts[200_000] == 0
+    found = [own for own, _ in resampling.buckets_of([text], 3, 10_000)]
+    words = text.split()
+    for at in (0, 70_000, 150_123, 199_997):
+        assert [int(own[at]) for own in found] == [zlib.crc32(" ".join(words[at : at + n]).encode()) % 10_000 for n in (1, 2, 3)]
+
+
 def test_crc_of_long_pieces():
     rng = random.Random(1)
     for n in (0, 1, 63, 64, 65, 4095, 100_000):
@@ -119,6 +131,9 @@ def test_substrings_random(spark):
     own = [(i, "".join(rng.choice(pool)[rng.randrange(30) :] for _ in range(rng.randint(1, 8)))) for i in range(120)]
     got = substrings.dedup(spark.createDataFrame(own, "doc_id long, text string"), 48, 12, 9).orderBy("doc_id").collect()
     assert [(*r[1:4], bytes(r[4])) for r in got] == cut([x for _, x in own], 48)
+    # The same in blocks of a few strings, as long texts are taken.
+    got = substrings.dedup(spark.createDataFrame(own, "doc_id long, text string"), 48, 12, 9, block=70).orderBy("doc_id").collect()
+    assert [(*r[1:4], bytes(r[4])) for r in got] == cut([x for _, x in own], 48)
 
 
 def test_substrings_long_and_empty(spark, docs):

@@ -81,16 +81,26 @@ def prefixes(own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """(starts, ends, sizes, counts): CRCs of the normal form up to each word's start and end, bytes of words, words of texts."""
     starts, ends, sizes, counts = [], [], [], []
     for text in own:
-        words = text.encode().translate(_NORMAL).split()
-        c = 0
-        for w in words:
-            starts.append(c)
-            c = crc32(w, c)
-            ends.append(c)
-            c = crc32(b" ", c)
-        sizes.extend(map(len, words))
-        counts.append(len(words))
-    return np.array(starts, np.uint32), np.array(ends, np.uint32), np.array(sizes, np.int64), np.array(counts, np.int64)
+        raw = text.encode().translate(_NORMAL)
+        c, at, n = 0, 0, 0
+        while at < len(raw):
+            # Long texts piece by piece, cut between words.
+            cut = raw.find(b" ", at + _CHUNK)
+            end = cut if cut >= 0 else len(raw)
+            words = raw[at:end].split()
+            first, last = [], []
+            for w in words:
+                first.append(c)
+                c = crc32(w, c)
+                last.append(c)
+                c = crc32(b" ", c)
+            starts.append(np.array(first, np.uint32))
+            ends.append(np.array(last, np.uint32))
+            sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+            n, at = n + len(words), end
+        counts.append(n)
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return joined(starts, np.uint32), joined(ends, np.uint32), joined(sizes, np.int64), np.array(counts, np.int64)
 
 
 def buckets_of(own: list[str], size: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

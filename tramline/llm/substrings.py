@@ -62,8 +62,19 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def runs(raw: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, strings, anchor's place) of each run of a text's bytes: strings start at start, start + 1, ..."""
+def runs(raw: np.ndarray, length: int, anchor: int, block: int) -> tuple[np.ndarray, ...]:
+    """(start, strings, anchor's place) of each run of a text's bytes: strings start at start, start + 1, ...
+
+    Long texts are taken in blocks of strings. A run that a block's end cuts is taken for another run of its
+    anchor, so its strings are compared one by one.
+    """
+    parts = [_runs(raw[i : i + block + length - 1], length, anchor) for i in range(0, max(1, len(raw) - length + 1), block)]
+    starts = np.repeat(np.arange(len(parts)) * block, [len(p[0]) for p in parts])
+    start, strings, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return start + starts, strings, place + starts
+
+
+def _runs(raw: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     n = len(raw) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
@@ -100,14 +111,14 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(own.alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
 
 
-def occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
+def occurrences(rows: DataFrame, length: int, anchor: int, block: int) -> DataFrame:
     """(digit, low, high, id, at): digests of each run's anchor and of its bytes, and where it is; at has tag, start and strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, max_bytes=_CHUNK):
             columns = [[np.zeros(0, np.int64)] for _ in range(5)]
             for raw, own, tag in zip(_bytes(batch["text"]), batch["id"].to_pylist(), batch["tag"].to_pylist(), strict=True):
-                start, size, place = runs(np.frombuffer(raw, np.uint8), length, anchor)
+                start, size, place = runs(np.frombuffer(raw, np.uint8), length, anchor, block)
                 if not len(start):
                     continue
                 view, starts = memoryview(raw), start.tolist()
@@ -124,12 +135,12 @@ def _tag_of(at: str) -> Column:
     return F.shiftrightunsigned(at, _START + _SIZE)
 
 
-def repeats(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, block: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, at): runs of strings that occur again, by the key of their row; at has tag, start and number of strings."""
     if not 0 < anchor <= length or length - anchor >= 1 << _SIZE:
         raise ValueError(f"the anchor must be at most the length, which must be below the anchor and {1 << _SIZE}")
     rows = _rows(df, id_col, text_col)
-    found = occurrences(rows, length, anchor)
+    found = occurrences(rows, length, anchor, block)
     # First digit: what is alone leaves.
     again = materialize(found.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digit"))
     found = materialize(found.join(again, "digit"))
@@ -272,9 +283,9 @@ def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def dedup(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, length: int = 200, anchor: int = 64, most: int = 2048, block: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): kept bytes as binary, since cuts may split a code point. One row per row of `df`."""
-    found = repeats(df, length, anchor, most, id_col, text_col)
+    found = repeats(df, length, anchor, most, block, id_col, text_col)
     lists = found.groupBy(F.col("id").alias("key"), _tag_of("at").alias("tag")).agg(F.collect_list("at").alias("runs"))
     key, tag = _key(F.col("id"), F.col("text"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"key": key, "tag": tag})
