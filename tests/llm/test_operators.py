@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -460,6 +461,44 @@ def test_secrets_beyond_patterns(spark):
     assert len(wrong) <= 6
 
 
+def test_secrets_learns_from_all(spark):
+    """The candidates that come last by the hash of their place count, too."""
+    rng = random.Random(44)
+    tokens = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(12, 20))) for _ in range(5300)]
+    found = [(9000 + i, f'now token = "{"".join(rng.choices("0123456789abcdef", k=40))}" is set') for i in range(60)]
+    last = set(sorted(range(5300), key=lambda i: xxhash.xxh64_intdigest(f"{i}:4"))[5000:])
+    nets = []
+    for change in (False, True):
+        rows = [(i, f"the {x.upper() if change and i in last else x} was") for i, x in enumerate(tokens)]
+        nets.append(secrets.fit(spark.createDataFrame(rows + found, "doc_id long, text string")))
+    assert not np.array_equal(nets[0].embedding, nets[1].embedding)
+
+
+def test_secrets_in_shards(spark):
+    """Shards hold every window; weights don't depend on partitions; the threshold keeps the recall on all held-out findings."""
+    rng = random.Random(45)
+    tokens = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(12, 20))) for _ in range(700)]
+    rows = [(i, f"the {x} was" + (f' and token = "{"".join(rng.choices("0123456789abcdef", k=40))}"' if i % 9 == 0 else "")) for i, x in enumerate(tokens)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    pool = secrets.labelled(df).distinct()
+    counts = {(r["held"], r["finding"]): r["count"] for r in pool.groupBy("held", "finding").count().collect()}
+    assert counts[False, False] + counts[True, False] == 700 and counts[False, True] + counts[True, True] == 78
+    rest, held = secrets.dealt(pool, False, {**counts, (False, False): 10**6}, 6).collect(), secrets.dealt(pool, True, counts, 2)
+    assert sorted(r["window"] for r in rest if not r["finding"]) == sorted(r["window"] for r in pool.where("not held and not finding").collect())
+    assert all({r["window"] for r in rest if r["finding"] and r["shard"] == k} == {r["window"] for r in pool.where("not held and finding").collect()} for k in range(6))
+    net, again = secrets.fit(df, recall=0.9, shard=100), secrets.fit(df.repartition(5), recall=0.9, shard=100)
+    assert np.array_equal(net.flat(), again.flat()) and net.threshold == again.threshold
+    scores = []
+    for k in range(2):
+        own = pa.Table.from_pylist([r.asDict() for r in held.where(F.col("shard") == k).collect()])
+        x, y = secrets.varied(*secrets.samples(own), seed=2 * k + 6)
+        scores += net.logits(x[y == 1]).tolist()
+    # The largest step of 1/1024 below the score of which one in ten may lie.
+    least = np.float32(np.floor(sorted(scores)[int((1 - 0.9) * len(scores))] * 1024) / 1024)
+    assert secrets.accepted(held, net, 2, 0.9) == float(1 / (1 + np.exp(-least)))
+    assert secrets.fit(df.where("text not like '%token%'")).scores(np.zeros((3, secrets.WINDOW), np.uint8)).max() < 0.01
+
+
 def test_free_candidates():
     rng = random.Random(43)
     for _ in range(300):
