@@ -392,6 +392,49 @@ def test_keep_one_finds_copies_of_exact_similarity(spark):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(range(0, 2 * len(pairs), 2))
 
 
+def test_keep_one_finds_copies_of_few_shingles(spark):
+    rng, rows = random.Random(15), []
+    # Sets of n shingles, and the same without the last one: similarity 0.8 and more.
+    for i in range(1500):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(5 + i % 5 + 4)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(range(0, 3000, 2))
+
+
+@pytest.mark.parametrize("count", [10**5, 2_700_000, 10**8, 10**10])
+def test_comparisons_of_a_fingerprint_are_bounded(count):
+    """Of unlike fingerprints, each meets about as many others in a table of any size, and no exact half has a large share."""
+    made = simhash.mixed_halves(count)
+    assert len(set(made)) == len(made) and all(a + size <= 64 and b + width <= 64 for _, a, size, _, b, width in made)
+    assert all(count / 2**size <= 1 << 17 for _, _, size, *_ in made)
+    assert sum(count * width / 2 ** (size + width - 1) / 2 for _, _, size, _, _, width in made) <= 1 << 17
+
+
+def test_links_of_mixed_halves(spark):
+    """Chains connect what brute force over the same pieces links, with groups of copies above SMALL and parts dealt by variant."""
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2**64, (60, len(simhash.LANES)), np.uint64)
+    near = np.concatenate([np.repeat(base[:1], 500, 0), np.repeat(base[1:5], 40, 0), np.repeat(base[5:], 3, 0)])
+    for _ in range(9):
+        flipped = rng.integers(0, 64, near.shape).astype(np.uint64)
+        near ^= (rng.random(near.shape) < 0.6).astype(np.uint64) << flipped
+    pieces = simhash.mixed_halves(len(near))[:16]
+    apart = np.bitwise_count(near[:, None, :3] ^ near[None, :, :3]).astype(int)
+    good, met = (apart[..., 0] <= 26) & (apart.sum(2) <= 54), np.zeros((len(near),) * 2, bool)
+    for lane, a, size, other, b, width in pieces:
+        one, two = ((near[:, simhash.LANES.index(x)] >> np.uint64(y)) & np.uint64((1 << n) - 1) for x, y, n in ((lane, a, size), (other, b, width)))
+        met |= (one[:, None] == one) & (np.bitwise_count(two[:, None] ^ two) <= 1)
+    parent = list(range(len(near)))
+    for i, j in zip(*np.nonzero(good & met)):
+        x, y = simhash._find(parent, int(i)), simhash._find(parent, int(j))
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(near.view(np.int64))], ", ".join(f"{n} long" for n in ("node", *simhash.LANES)))
+    for most in (1 << 19, 20):
+        label = {r["node"]: r["label"] for r in simhash.components(simhash.links(df, 26, 64, 54, most, pieces, simhash.LANES[:3])).collect()}
+        assert [label.get(i, i) for i in range(len(near))] == [simhash._find(parent, i) for i in range(len(near))]
+
+
 def test_exact_links_in_blocks(spark):
     rng = np.random.default_rng(12)
     texts = [" ".join(f"a{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(12)]

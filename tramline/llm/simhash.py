@@ -12,7 +12,10 @@ written to the shared folder.
 Links may further be verified by more lanes of 64 bits, made from the same shingle hashes:
 then all lanes together must differ in `total` bits at most. `keep_one` takes such links as
 candidates only: within each group that they connect, the sets of hashed shingles themselves
-are compared, and similarities (Jaccard) of `least` or more are its links.
+are compared, and similarities (Jaccard) of `least` or more are its links. Its segments put an exact
+half of one lane beside a wildcard half of another, for `LANES` lanes; the exact half grows with the number of
+fingerprints, so that a fingerprint is compared with about as many others in a table of any size. Sets of a few
+shingles are indexed by digests with each shingle left out instead, which finds all of their links.
 
 Equal fingerprints are merged before indexing. A null or empty text has the fingerprint zero,
 which is linked like any other. Rows that share an id belong to one document each.
@@ -31,16 +34,21 @@ from pyspark.sql import functions as F
 from ._common import WORD, free_name, materialize, text_chunks, texts
 
 WIDTH = 64
-#: Columns of the lanes.
-LANES = ("bits", "more", "most")
+#: Columns of the lanes; the first CHECKED ones are compared.
+LANES = ("bits", "more", "most", "lane3", "lane4", "lane5", "lane6", "lane7")
+CHECKED = 3
 #: Shares of up to so many fingerprints are compared by array operations over many shares.
-SMALL = 8
+SMALL = 256
+#: Rows of such shares that are compared at once.
+ROWS = 1 << 15
 #: Pairs of larger shares that are compared at once.
 PAIRS = 1 << 17
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    flags = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, WIDTH)
+    # A byte holds the sum of 255 rows.
+    return sum(flags[i : i + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for i in range(0, len(flags), 255))
 
 
 def fingerprint(text: str, size: int = 4) -> int:
@@ -98,30 +106,42 @@ def segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def halves(bits: int) -> list[tuple[int, int, int, int]]:
-    """(first bit, size) of the exact half and of the one with the wildcard, of each segment cut in two, either way."""
+def halves(bits: int) -> list[tuple[str, int, int, str, int, int]]:
+    """(lane, first bit, size) of the exact half and of the one with the wildcard, of each segment cut in two, either way."""
     out = []
     for first, size in segments(bits):
         low = size // 2
-        two = (first, low), (first + low, size - low)
-        out += [(*exact, *wild) for exact, wild in (two, two[::-1]) if wild[1]]
+        two = ("bits", first, low), ("bits", first + low, size - low)
+        out += [(*exact, *wild) for exact, wild in (two, two[::-1]) if wild[2]]
     return out
 
 
+def mixed_halves(count: int, each: int = 8, wild: int = 12, share: int = 1 << 17) -> list[tuple[str, int, int, str, int, int]]:
+    """The same for `count` fingerprints of all lanes: `each` wildcard halves a lane, beside exact halves of the next lane.
+
+    Exact halves have 6 bits, and one more whenever the count doubles beyond what gives `share` rows to each of their values.
+    For each two of these bits every wildcard half gets another exact one, as fewer copies have them equal.
+    """
+    size = max(6, ((count - 1) // share).bit_length())
+    step, apart = (WIDTH - wild) // (each - 1), (WIDTH - size) // (each - 1)
+    rounds = 1 + -(-(size - 6) // 2)
+    return [(LANES[(k + 1 + r) % len(LANES)], (apart * i + r * 3) % (WIDTH - size + 1), size, LANES[k], step * i, wild) for k in range(len(LANES)) for r in range(rounds) for i in range(each)]
+
+
 def _bits_of(column: str, first: int, size: int) -> Column:
     return F.shiftrightunsigned(column, first).bitwiseAND((1 << size) - 1 if size < 63 else -1) if size else F.lit(0).cast("long")
 
 
-def _parts(own: DataFrame, bits: int) -> DataFrame:
-    """(part, wild, width, node, bits): two rows for each segment; a part is its exact half, wild is what the other half holds.
+def _parts(own: DataFrame, pieces: list[tuple[str, int, int, str, int, int]], kept: list[str]) -> DataFrame:
+    """(part, wild, width, `kept`): a row for each piece; a part is its exact half, wild is what the other half holds.
 
-    Fingerprints whose segments differ in one bit share the part whose wildcard half has it.
+    Fingerprints whose exact halves are equal and whose other halves differ in one bit share a part.
     """
     made = [
-        F.struct((F.lit(i << 40).bitwiseOR(_bits_of("bits", first, size)) if size <= 40 else F.xxhash64(F.lit(i), _bits_of("bits", first, size))).alias("part"), _bits_of("bits", start, width).alias("wild"), F.lit(width).alias("width"))
-        for i, (first, size, start, width) in enumerate(halves(bits))
+        F.struct((F.lit(i << 40).bitwiseOR(_bits_of(lane, first, size)) if size <= 40 else F.xxhash64(F.lit(i), _bits_of(lane, first, size))).alias("part"), _bits_of(other, start, width).alias("wild"), F.lit(width).alias("width"))
+        for i, (lane, first, size, other, start, width) in enumerate(pieces)
     ]
-    return own.select("*", F.explode(F.array(*made)).alias("e")).select("e.*", *own.columns)
+    return own.select(*kept, F.explode(F.array(*made)).alias("e")).select("e.*", *kept)
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -185,18 +205,32 @@ def _chains(nodes: np.ndarray, values: list[np.ndarray], bits: int, total: int)
 
 
 def _joined(node: np.ndarray, values: list[np.ndarray], bounds: np.ndarray, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each group of places between bounds: chains in groups above SMALL, else all of them."""
+    """Links within each group of places between bounds: all of a group, or chains where there are many or the group is above SMALL."""
     heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.diff(bounds)
-    # Small groups: every pair of places at once, for all groups of a size.
-    for n in range(2, SMALL + 1):
-        first = bounds[:-1][size == n]
-        for x in range(n if len(first) else 0):
-            for y in range(x + 1, n):
-                near = first[_near(values, first + x, first + y, bits, total)]
-                heads.append(np.minimum(node[near + x], node[near + y]))
-                tails.append(np.maximum(node[near + x], node[near + y]))
-    for k in np.flatnonzero(size > SMALL):
+    chained = size > SMALL
+    # Small groups: places and those so many places on, for all groups of some rows at once.
+    small = np.flatnonzero((size > 1) & ~chained)
+    first, n = bounds[small], size[small]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // ROWS, prepend=-1)) if len(n) else []
+    for low, high in zip(cuts, [*cuts[1:], len(n)]):
+        own, of = n[low:high], np.repeat(np.arange(high - low), n[low:high])
+        starts = np.cumsum(own) - own
+        at = np.repeat(first[low:high] - starts, own) + np.arange(len(of))
+        names, mine = node[at], [v[at] for v in values]
+        left = (starts + own)[of] - np.arange(len(of)) - 1
+        todo, found = np.flatnonzero(left), [np.zeros((2, 0), np.int64)]
+        for d in range(1, int(own.max())):
+            todo = todo[left[todo] >= d]
+            near = todo[_near(mine, todo, todo + d, bits, total)]
+            found.append(np.stack([near, near + d]))
+        a, b = np.concatenate(found, axis=1)
+        many = np.bincount(of[a], minlength=len(own)) > 4 * own + 16
+        chained[small[low:high][many]] = True
+        kept = ~many[of[a]]
+        heads.append(np.minimum(names[a[kept]], names[b[kept]]))
+        tails.append(np.maximum(names[a[kept]], names[b[kept]]))
+    for k in np.flatnonzero(chained):
         part = slice(bounds[k], bounds[k + 1])
         a, b = _chains(node[part], [v[part] for v in values], bits, total)
         heads.append(a)
@@ -226,20 +260,21 @@ def _shares(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int
             yield [c[: bounds[-1]] for c in columns], bounds
 
 
-def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut: int | None = None, most: int = 1 << 16) -> DataFrame:
+def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, most: int = 1 << 16, pieces: list[tuple[str, int, int, str, int, int]] | None = None, lanes_: tuple[str, ...] | None = None) -> DataFrame:
     """(a, b): chains that connect all nodes within `bits` bits (and `total` bits of all lanes).
 
-    `own`: (node, bits[, more, ...]), nodes and fingerprints distinct. With `cut`, `bits` only sets
-    the segments that bring nodes together, and up to `cut` bits of the lane are accepted.
+    `own`: (node, bits[, more, ...]), nodes and fingerprints distinct. With `pieces`, these bring nodes
+    together instead of the segments of `bits`; with `lanes_`, only these lanes are compared.
 
     Rows are dealt by the exact half of a segment; the task makes the wildcard variants of the
     other half. Parts of more than `most` rows are dealt by variant instead, and variants of more
     than `block` rows in pairs of blocks.
     """
-    kept, reach = own.columns, bits if cut is None else cut
-    parts = _parts(own, bits)
-    wide = materialize(parts.groupBy("part").count().where(F.col("count") > most).select("part"))
-    some = not wide.isEmpty()
+    kept = ["node", *lanes_] if lanes_ else own.columns
+    parts = _parts(own, pieces or halves(bits), kept)
+    # A part is no larger than the table.
+    wide = materialize(parts.groupBy("part").count().where(F.col("count") > most).select("part")) if own.count() > most else None
+    some = wide is not None and not wide.isEmpty()
     near = (parts.join(wide, "part", "left_anti") if some else parts).select("part", "wild", "width", *kept)
     near = near.repartition("part").sortWithinPartitions("part")
 
@@ -251,10 +286,10 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut:
             for bit in range(int(width.max())):
                 # Nodes of a share whose other halves are equal but for this bit.
                 at = np.flatnonzero(width > bit)
-                key = wild[at] & ~(1 << bit)
-                at = at[np.lexsort((key, share[at]))]
-                own = share[at], wild[at] & ~(1 << bit)
-                found.append(_joined(node[at], [v[at] for v in values], np.concatenate([_starts(*own), [len(at)]]), reach, total))
+                key = share[at] << 32 | wild[at] & ~(1 << bit)
+                order = np.argsort(key)
+                at, key = at[order], key[order]
+                found.append(_joined(node[at], [v[at] for v in values], np.concatenate([_starts(key), [len(at)]]), bits, total))
             pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -273,7 +308,7 @@ def links(own: DataFrame, bits: int = 4, block: int = 4096, total: int = 0, cut:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for columns, bounds in _shares(batches, ("entry", "i", "j", *kept), 3):
-                a, b = _joined(columns[3], [c.view(np.uint64) for c in columns[4:]], bounds, reach, total)
+                a, b = _joined(columns[3], [c.view(np.uint64) for c in columns[4:]], bounds, bits, total)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         out = out.union(dealt.mapInArrow(run, "a long, b long"))
@@ -328,17 +363,29 @@ def linked(df: DataFrame, bits: int = 4, size: int = 4, id_col: str = "doc_id",
     return own.join(named, lanes_).select(F.col("id").alias(id_col), *lanes_, "component_id")
 
 
+def _short(hashes: np.ndarray) -> list[int]:
+    """Digests of a set of 4 to 8 shingles, and of one of 5 to 9 without each of them; of other sets none.
+
+    Of sets with fewer than 10 shingles together, those similar by 0.8 and more differ in one: one set's first digest is another's later one.
+    """
+    if not 4 <= len(hashes) <= 9:
+        return []
+    whole = np.bitwise_xor.reduce(hashes)
+    return [whole, *((whole ^ hashes) if len(hashes) > 4 else [])]
+
+
 def _sets(df: DataFrame, size: int, count: int) -> DataFrame:
-    """(id, key, bits, more, ...): digest and lanes of each row's set of shingles; `df`: (id, text)."""
-    names = ["id", "key", *LANES[:count]]
+    """(id, key, bits, more, ..., short): digest, lanes and short digests of each row's set of shingles; `df`: (id, text)."""
+    names = ["id", "key", *LANES[:count], "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             found = [np.unique(_hashes(x, size)) for x in texts(batch)]
             own = np.array([[xxhash.xxh3_64_intdigest(x.tobytes()), *_lanes(x, count)] for x in found], np.uint64).reshape(-1, count + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(own[:, k]) for k in range(count + 1))], names=names)
+            short = pa.array([np.array(_short(x), np.uint64).view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(own[:, k]) for k in range(count + 1)), short], names=names)
 
-    return df.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return df.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", short array<long>")
 
 
 def _similar(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -419,22 +466,25 @@ def verified(rows: DataFrame, group: DataFrame, size: int, least: float, most: i
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def candidates(nodes: DataFrame, bits: int = 10, cut: int = 24, total: int = 54, indexed: int = 2) -> DataFrame:
-    """(a, b): chains between nodes that `indexed` lanes, each an alternative to the others, bring together.
+def candidates(nodes: DataFrame, cut: int = 26, total: int = 54, most: int = 1 << 19, each: int = 16) -> DataFrame:
+    """(a, b): chains between nodes that the pieces of all lanes bring together, and links of short sets.
 
-    At similarity 0.8 lanes differ in about 10 bits each; `cut` (of the lane) and `total` (of all
-    three lanes) lie well above that. `nodes`: (node, bits, more, most).
+    At similarity 0.8 lanes differ in about 10 bits each; `cut` (of the first lane) and `total` (of all
+    that are checked) lie well above that. `nodes`: (node, short, bits, more, ...).
     """
-    found = None
-    for lane in LANES[:indexed]:
-        # One lane at a time, written, so that the shuffle files of one are held only.
-        own = nodes.select("node", F.col(lane).alias("bits"), *[F.col(x).alias(f"{x}_") for x in LANES if x != lane])
-        made = materialize(links(own, bits, total=total, cut=cut))
-        found = made if found is None else found.union(made)
+    short = nodes.where(F.size("short") > 0)
+    whole = short.where(F.size("short") != 10).select(F.col("node").alias("a"), F.col("short")[0].alias("digest"))
+    less = short.select(F.col("node").alias("b"), F.explode(F.slice("short", 2, 9)).alias("digest"))
+    found = materialize(whole.join(less, "digest").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    nodes = nodes.select("node", *LANES)
+    pieces = mixed_halves(nodes.count())
+    for i in range(0, len(pieces), each):
+        # Some pieces at a time, written, so that the shuffle files of these are held only.
+        found = found.union(materialize(links(nodes, cut, total=total, most=most, pieces=pieces[i : i + each], lanes_=LANES[:CHECKED])))
     return found.distinct()
 
 
-def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 54, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, size: int = 5, total: int = 54, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df` that are the first document (smallest id) of their component; all columns stay.
 
     Links are similarities of `least` and more, by the sets of shingles of `size` words, of pairs
@@ -444,8 +494,8 @@ def keep_one(df: DataFrame, bits: int = 10, size: int = 5, total: int = 54, leas
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(WORD)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lanes_ = list(LANES)
     own = materialize(_sets(rows, size, len(lanes_)))
-    nodes = materialize(own.groupBy("key", *lanes_).agg(F.min("id").alias("node")))
-    group = components(materialize(candidates(nodes.select("node", *lanes_), bits, total=total)))
+    nodes = materialize(own.groupBy("key", *lanes_).agg(F.min("id").alias("node"), F.first("short").alias("short")))
+    group = components(materialize(candidates(nodes, total=total)))
     label = components(materialize(verified(rows, materialize(nodes.select("node", "key").join(group, "node")), size, least)))
     named = materialize(nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
     key = free_name(df, "_id")
